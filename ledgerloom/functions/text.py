@@ -56,27 +56,31 @@ def literal_of(alternative: str) -> str | None:
     return out or None
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """``text`` contains a match of ``pattern`` (case-sensitive).
+def sql_literal(value: str | None) -> str:
+    """A Spark SQL string literal."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matches_sql(column: str, pattern: str, flags: str = "") -> str:
+    """SQL condition: ``column`` contains a match of ``pattern``.
 
     Literal alternatives become substring searches, which cost far less than a regex; only the
-    rest is left to one ``rlike``.
+    rest is left to one ``rlike``.  With flags, everything is left to the regex.
     """
     plain, regex = [], []
-    for alternative in split_alternatives(pattern):
-        literal = literal_of(alternative)
-        if literal is None:
-            regex.append(alternative)
-        else:
-            plain.append(literal)
-    condition = None
-    for literal in plain:
-        hit = text.contains(literal)
-        condition = hit if condition is None else condition | hit
+    for alternative in [pattern] if flags else split_alternatives(pattern):
+        literal = None if flags else literal_of(alternative)
+        (regex.append(alternative) if literal is None else plain.append(literal))
+    conditions = [f"contains({column}, {sql_literal(p)})" for p in plain]
     if regex:
-        hit = text.rlike("|".join(regex))
-        condition = hit if condition is None else condition | hit
-    return condition
+        conditions.append(f"{column} rlike {sql_literal(flags + '|'.join(regex))}")
+    return "(" + " or ".join(conditions) + ")"
+
+
+def matches(column: str, pattern: str) -> Column:
+    return F.expr(matches_sql(column, pattern))
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -200,11 +204,8 @@ def match_text(descriptor: Column, description: Column) -> Column:
     return F.coalesce(F.nullif(descriptor, F.lit("")), description)
 
 
-def any_name_hint(text: Column) -> Column:
-    condition = F.lit(False)
-    for pattern, _ in V.NAME_HINTS:
-        condition = condition | matches(text, pattern)
-    return condition
+def any_name_hint(column: str) -> Column:
+    return F.expr(" or ".join(matches_sql(column, p) for p, _ in V.NAME_HINTS))
 
 
 def with_city_state_stripped(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -215,22 +216,23 @@ def with_city_state_stripped(df: DataFrame, source: str, target: str) -> DataFra
         head: F.regexp_replace(source, V.CITY_STATE, ""),
     })
     df = df.withColumn(words, F.split(city, " "))
+    last = f"{target}_last"
+    df = df.withColumn(last, F.regexp_replace(F.upper(F.element_at(words, -1)), r"^\.+|\.+$", ""))
     count = F.size(words)
 
     def tail_is_city(n: int) -> Column:
         tail = F.slice(words, F.greatest(count - n + 1, F.lit(1)), F.lit(n))
         return F.replace(F.upper(F.array_join(tail, " ")), F.lit("."), F.lit("")).isin(V.MULTIWORD_CITIES)
 
-    last = F.regexp_replace(F.upper(F.element_at(words, -1)), r"^\.+|\.+$", "")
     dropped = (F.when((count > 1) & tail_is_city(3), F.least(count, F.lit(3)))
                .when((count > 1) & tail_is_city(2), F.lit(2))
-               .when(last.isin(V.COMPANY_SUFFIXES) | any_name_hint(last), F.lit(0))
+               .when(F.col(last).isin(V.COMPANY_SUFFIXES) | any_name_hint(last), F.lit(0))
                .otherwise(F.lit(1)))
     kept = F.array_join(F.slice(words, F.lit(1), count - dropped), " ")
     return df.withColumn(
         target,
         F.when(F.col(city) == "", F.col(source)).otherwise(F.rtrim(F.concat(F.col(head), F.lit(" "), kept))),
-    ).drop(city, head, words)
+    ).drop(city, head, words, last)
 
 
 def with_clean(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -251,12 +253,11 @@ def with_clean(df: DataFrame, source: str, target: str) -> DataFrame:
     return df.drop(base, flag, bare)
 
 
-def hint_case(text: Column, hints) -> Column:
+def hint_case(column: str, hints) -> Column:
     """The category of the first hint that fires, else null."""
-    branch = F
-    for pattern, category in hints:
-        branch = branch.when(matches(text, pattern), F.lit(category))
-    return branch.otherwise(F.lit(None).cast("string"))
+    return F.expr("case " + " ".join(
+        f"when {matches_sql(column, pattern)} then {sql_literal(category)}"
+        for pattern, category in hints) + " end")
 
 
 def processor_category(raw: Column) -> Column:
@@ -272,7 +273,7 @@ def with_category_hint(df: DataFrame, source: str, target: str) -> DataFrame:
     raw, cleaned = f"{target}_raw", f"{target}_cleaned"
     df = with_clean(df.withColumn(raw, F.upper(source)), raw, cleaned)
     return df.withColumn(
-        target, F.coalesce(hint_case(F.col(cleaned), V.NAME_HINTS), processor_category(F.col(raw)))
+        target, F.coalesce(hint_case(cleaned, V.NAME_HINTS), processor_category(F.col(raw)))
     ).drop(raw, cleaned)
 
 
@@ -281,7 +282,7 @@ def with_suggested_category(df: DataFrame, source: str, target: str) -> DataFram
     raw, cleaned = f"{target}_raw", f"{target}_cleaned"
     df = with_clean(df.withColumn(raw, F.upper(source)), raw, cleaned)
     return df.withColumn(
-        target, hint_case(F.upper(F.col(cleaned)), V.ADVISORY_HINTS)).drop(raw, cleaned)
+        target, hint_case(cleaned, V.ADVISORY_HINTS)).drop(raw, cleaned)
 
 
 def rail_counterparty(text: Column) -> Column:

@@ -21,16 +21,14 @@ CHUNK = 20
 STAGE_RULES = 400
 
 
-def first_match(subject: Column, patterns: list[str], offset: int = 0, regex_flags: str = "") -> Column:
-    """1-based position of the first pattern found in ``subject``, else null."""
+def first_match(subject: str, patterns: list[str], offset: int = 0, flags: str = "") -> Column:
+    """1-based position of the first pattern found in column ``subject``, else null."""
     chunks = []
     for start in range(0, len(patterns), CHUNK):
-        branch = F
-        for i, pattern in enumerate(patterns[start:start + CHUNK], start + offset + 1):
-            hit = subject.rlike(regex_flags + pattern) if regex_flags else X.matches(subject, pattern)
-            branch = branch.when(hit, F.lit(i))
-        chunks.append(branch.otherwise(F.lit(None).cast("int")))
-    return F.coalesce(*chunks) if chunks else F.lit(None).cast("int")
+        branches = [f"when {X.matches_sql(subject, pattern, flags)} then {i}"
+                    for i, pattern in enumerate(patterns[start:start + CHUNK], start + offset + 1)]
+        chunks.append("case " + " ".join(branches) + " end")
+    return F.expr(f"coalesce({', '.join(chunks)})" if chunks else "cast(null as int)")
 
 
 def with_rule_match(df: DataFrame, subject: str, rules: list, target: str, flags: str = "") -> DataFrame:
@@ -44,13 +42,13 @@ def with_rule_match(df: DataFrame, subject: str, rules: list, target: str, flags
     for start in range(0, len(rules), STAGE_RULES):
         patterns = [p for p, _, _ in rules[start:start + STAGE_RULES]]
         df = df.withColumn(number, F.coalesce(F.col(number),
-                                              first_match(F.col(subject), patterns, start, flags)))
+                                              first_match(subject, patterns, start, flags)))
     if not rules:
         empty = F.struct(F.lit(None).cast("string").alias("merchant"),
                          F.lit(None).cast("string").alias("category"))
         return df.withColumn(target, F.when(F.lit(False), empty)).drop(number)
-    merchants = F.array(*[F.lit(m) for _, m, _ in rules])
-    categories = F.array(*[F.lit(c) for _, _, c in rules])
+    merchants = F.expr(f"array({', '.join(X.sql_literal(m) for _, m, _ in rules)})")
+    categories = F.expr(f"array({', '.join(X.sql_literal(c) for _, _, c in rules)})")
     return df.withColumn(target, F.when(F.col(number).isNotNull(), F.struct(
         F.element_at(merchants, F.col(number)).alias("merchant"),
         F.element_at(categories, F.col(number)).alias("category")))).drop(number)

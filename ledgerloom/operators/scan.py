@@ -16,23 +16,28 @@ from pyspark.sql import functions as F
 def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: list[str], *,
                  sums: dict[str, Column] | None = None,
                  previous: dict[str, Column] | None = None,
-                 last_seen: dict[str, Column] | None = None) -> DataFrame:
+                 last_seen: dict[str, Column] | None = None,
+                 seen_before: dict[str, Column] | None = None) -> DataFrame:
     """Add scan columns over ``keys`` ordered by ``segments`` then ``order``.
 
     ``sums``: inclusive running sum; ``previous``: the value on the row before; ``last_seen``: the
-    last non-null value up to and including the row.  ``segments + order`` must be a total order
+    last non-null value up to and including the row; ``seen_before``: the same without the row.
+    ``segments + order`` must be a total order
     inside a key, and a segment must be a contiguous stretch of it.
     """
-    sums, previous, last_seen = sums or {}, previous or {}, last_seen or {}
+    sums, previous, last_seen, seen_before = sums or {}, previous or {}, last_seen or {}, seen_before or {}
+    carried = {**last_seen, **seen_before}
     inside = Window.partitionBy(*keys, *segments).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)
 
-    inputs = {f"in_{o}": c for o, c in {**sums, **previous, **last_seen}.items()}
+    inputs = {f"in_{o}": c for o, c in {**sums, **previous, **carried}.items()}
     df = df.withColumns(inputs)
     local = {o: F.sum(f"in_{o}").over(so_far) for o in sums}
     local |= {o: F.lag(f"in_{o}").over(inside) for o in previous}
     local |= {o: F.last(f"in_{o}", ignorenulls=True).over(so_far) for o in last_seen}
+    local |= {o: F.last(f"in_{o}", ignorenulls=True).over(earlier) for o in seen_before}
     if not segments:
         return df.withColumns(local).drop(*inputs)
 
@@ -40,13 +45,13 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
         *[F.sum(f"in_{o}").alias(f"end_{o}") for o in sums],
         *[F.max_by(f"in_{o}", position).alias(f"end_{o}") for o in previous],
         *[F.max_by(f"in_{o}", F.when(F.col(f"in_{o}").isNotNull(), position)).alias(f"end_{o}")
-          for o in last_seen],
+          for o in carried],
     )
     across = Window.partitionBy(*keys).orderBy(*segments)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carries = {f"carry_{o}": F.sum(f"end_{o}").over(before) for o in sums}
     carries |= {f"carry_{o}": F.lag(f"end_{o}").over(across) for o in previous}
-    carries |= {f"carry_{o}": F.last(f"end_{o}", ignorenulls=True).over(before) for o in last_seen}
+    carries |= {f"carry_{o}": F.last(f"end_{o}", ignorenulls=True).over(before) for o in carried}
     carry = summary.select(*keys, *segments, *[c.alias(o) for o, c in carries.items()])
 
     out = df.join(carry, keys + segments).withColumns(
@@ -54,7 +59,7 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
     final = {o: F.coalesce(F.col(o), F.lit(0)) + F.coalesce(F.col(f"carry_{o}"), F.lit(0)) for o in sums}
     final |= {o: F.when(F.col("row_in_segment") == 1, F.col(f"carry_{o}")).otherwise(F.col(o))
               for o in previous}
-    final |= {o: F.coalesce(F.col(o), F.col(f"carry_{o}")) for o in last_seen}
+    final |= {o: F.coalesce(F.col(o), F.col(f"carry_{o}")) for o in carried}
     return out.withColumns(final).drop(*inputs, *carries, "row_in_segment")
 
 
