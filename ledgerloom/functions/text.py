@@ -204,53 +204,50 @@ def match_text(descriptor: Column, description: Column) -> Column:
     return F.coalesce(F.nullif(descriptor, F.lit("")), description)
 
 
-def any_name_hint(column: str) -> Column:
-    return F.expr(" or ".join(matches_sql(column, p) for p, _ in V.NAME_HINTS))
+def in_list(values: list[str]) -> str:
+    return "(" + ", ".join(sql_literal(v) for v in values) + ")"
 
 
 def with_city_state_stripped(df: DataFrame, source: str, target: str) -> DataFrame:
     """Drop a trailing ``<CITY> <ST>``; a company suffix or a business word in front is kept."""
-    city, head, words = f"{target}_city", f"{target}_head", f"{target}_words"
+    city, head, words, last, count = (f"{target}_{part}" for part in ("city", "head", "words", "last", "count"))
     df = df.withColumns({
         city: F.regexp_extract(source, V.CITY_STATE, 1),
         head: F.regexp_replace(source, V.CITY_STATE, ""),
+    }).withColumn(words, F.split(city, " ")).withColumns({
+        last: F.expr(f"trim(both '.' from upper(element_at({words}, -1)))"),
+        count: F.size(words),
     })
-    df = df.withColumn(words, F.split(city, " "))
-    last = f"{target}_last"
-    df = df.withColumn(last, F.regexp_replace(F.upper(F.element_at(words, -1)), r"^\.+|\.+$", ""))
-    count = F.size(words)
-
-    def tail_is_city(n: int) -> Column:
-        tail = F.slice(words, F.greatest(count - n + 1, F.lit(1)), F.lit(n))
-        return F.replace(F.upper(F.array_join(tail, " ")), F.lit("."), F.lit("")).isin(V.MULTIWORD_CITIES)
-
-    dropped = (F.when((count > 1) & tail_is_city(3), F.least(count, F.lit(3)))
-               .when((count > 1) & tail_is_city(2), F.lit(2))
-               .when(F.col(last).isin(V.COMPANY_SUFFIXES) | any_name_hint(last), F.lit(0))
-               .otherwise(F.lit(1)))
-    kept = F.array_join(F.slice(words, F.lit(1), count - dropped), " ")
-    return df.withColumn(
-        target,
-        F.when(F.col(city) == "", F.col(source)).otherwise(F.rtrim(F.concat(F.col(head), F.lit(" "), kept))),
-    ).drop(city, head, words, last)
+
+    def tail_is_city(n: int) -> str:
+        tail = f"slice({words}, greatest({count} - {n - 1}, 1), {n})"
+        return f"replace(upper(array_join({tail}, ' ')), '.', '') in {in_list(V.MULTIWORD_CITIES)}"
+
+    hinted = " or ".join(matches_sql(last, p) for p, _ in V.NAME_HINTS)
+    dropped = (f"case when {count} > 1 and {tail_is_city(3)} then least({count}, 3) "
+               f"when {count} > 1 and {tail_is_city(2)} then 2 "
+               f"when {last} in {in_list(V.COMPANY_SUFFIXES)} or {hinted} then 0 else 1 end")
+    kept = f"array_join(slice({words}, 1, {count} - {dropped}), ' ')"
+    return df.withColumn(target, F.expr(
+        f"case when {city} = '' then {source} else rtrim({head} || ' ' || {kept}) end")
+    ).drop(city, head, words, last, count)
 
 
 def with_clean(df: DataFrame, source: str, target: str) -> DataFrame:
     """The name left after channel, processor, store, phone, URL, city and state are stripped."""
-    base, flag, bare = f"{target}_base", f"{target}_channel", f"{target}_bare"
+    base, flag, bare, name = (f"{target}_{part}" for part in ("base", "channel", "bare", "name"))
     df = df.withColumns({
         flag: F.col(source).rlike(V.CHANNEL_PREFIX),
         base: strip_codes(strip_wrappers(F.col(source))),
     })
     df = with_city_state_stripped(df, base, bare)
-    name = F.when(F.col(flag), F.col(base)).otherwise(F.col(bare))
-    name = F.regexp_replace(F.regexp_replace(name, V.TRAILING_STATE, " "), r"\s+", " ")
-    df = df.withColumn(target, F.trim(F.regexp_replace(name, V.EDGE_PUNCTUATION, "")))
-    emptied = (F.col(target) == "") | F.upper(F.col(target)).isin(V.STATE_CODES)
-    df = df.withColumn(
-        target,
-        F.when(emptied, F.regexp_extract(source, V.DOMAIN_ROOT, 1)).otherwise(F.col(target)))
-    return df.drop(base, flag, bare)
+    kept = F.when(F.col(flag), F.col(base)).otherwise(F.col(bare))
+    kept = F.regexp_replace(F.regexp_replace(kept, V.TRAILING_STATE, " "), r"\s+", " ")
+    df = df.withColumn(name, F.trim(F.regexp_replace(kept, V.EDGE_PUNCTUATION, "")))
+    return df.withColumn(target, F.expr(
+        f"case when {name} = '' or upper({name}) in {in_list(V.STATE_CODES)} "
+        f"then regexp_extract({source}, {sql_literal(V.DOMAIN_ROOT)}, 1) else {name} end")
+    ).drop(base, flag, bare, name)
 
 
 def hint_case(column: str, hints) -> Column:

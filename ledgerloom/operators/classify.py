@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as V
 from ledgerloom.functions import text as X
 from ledgerloom.sources.rules import RULE_SCHEMA, Rules
-from ledgerloom.storage import broadcast_if_small, materialize
+from ledgerloom.storage import broadcast_if_small, materialize, spread
 
 CHUNK = 20
 STAGE_RULES = 400
+LITERAL_LOOKUP = 500
 
 
 def first_match(subject: str, patterns: list[str], offset: int = 0, flags: str = "") -> Column:
@@ -78,6 +79,14 @@ def with_rail_outcome(df: DataFrame, text: str, payees: list, target: str) -> Da
         .when(F.col(who).isNotNull(), named)).drop(who)
 
 
+def _literal_lookup(key: str, rules: list) -> Column:
+    """The rule of an id from a short literal list; no join, no job."""
+    branches = " ".join(
+        f"when {key} = {X.sql_literal(i)} then named_struct('merchant', {X.sql_literal(m)}, 'category', {X.sql_literal(c)})"
+        for i, m, c in rules)
+    return F.expr(f"case {branches} end") if rules else F.when(F.lit(False), _pair(F.lit(None), F.lit(None)))
+
+
 def _pair(merchant: Column, category: Column) -> Column:
     return F.struct(merchant.cast("string").alias("merchant"), category.cast("string").alias("category"))
 
@@ -99,12 +108,12 @@ def classify_texts(texts: DataFrame, rules: Rules | None = None) -> DataFrame:
     df = with_rule_match(df, "subject", V.DESCRIPTOR_RULES, "shipped_hit")
     df = with_rule_match(df, "subject", V.ARRIVAL_RULES, "arrival_hit", "(?i)")
     df = with_rail_outcome(df, "rail_text", rules.payees, "rail_hit")
-    if rules.ach:
+    if len(rules.ach) <= LITERAL_LOOKUP:
+        df = df.withColumn("ach_hit", _literal_lookup("upper(trim(originator))", rules.ach))
+    else:
         table = spark.createDataFrame(
             [(i, "ach", p, m, c) for i, (p, m, c) in enumerate(rules.ach)], RULE_SCHEMA)
         df = with_originator_rule(df, "originator", table, "ach_hit")
-    else:
-        df = df.withColumn("ach_hit", F.when(F.lit(False), _pair(F.lit(None), F.lit(None))))
     df = X.with_clean(df, "payee_text", "clean_name")
     df = df.withColumn("name", F.coalesce(
         F.nullif(X.titlecase(F.col("clean_name")), F.lit("")), F.col("payee_text")))
@@ -146,7 +155,10 @@ def classification_table(transactions: DataFrame, rules: Rules | None = None) ->
     """One classified row per distinct (text, account, kind), written as a table."""
     distinct = transactions.select(
         X.match_text(F.col("descriptor"), F.col("description")).alias("text"), "account", "kind").distinct()
-    return materialize(classify_texts(distinct, rules), "classification")
+    distinct = materialize(distinct, "texts")
+    # rules cost far more than bytes suggest: keep every core busy instead of letting adaptive
+    # execution merge the short partitions
+    return materialize(classify_texts(spread(distinct, "text"), rules), "classification")
 
 
 def with_classification(transactions: DataFrame, rules: Rules | None = None) -> DataFrame:

@@ -64,9 +64,13 @@ def longest_common_substring(texts: DataFrame, group: str, text: str, min_length
 def _grams(df: DataFrame, text: str, lengths: list[int]) -> DataFrame:
     """One row per distinct gram of ``text``."""
     size = F.length(text)
-    arrays = [F.when(size >= n, F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda i, n=n: F.substr(F.col(text), i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>")) for n in lengths]
+
+    def of_length(n: int):
+        starts = F.sequence(F.lit(1), size - n + 1)
+        pieces = F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(n)))
+        return F.when(size >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+    arrays = [of_length(n) for n in lengths]
     return df.withColumn("gram", F.explode(F.array_distinct(F.concat(*arrays))))
 
 

@@ -53,3 +53,10 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     execution may split when a key is hot.
     """
     return F.broadcast(df) if measured_bytes(df, limit) <= limit else df
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Repartition for a CPU-heavy step; a given number is not merged by adaptive execution."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *columns)
