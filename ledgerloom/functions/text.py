@@ -111,7 +111,7 @@ def resolve_year(month: Column, day: Column, start: Column, end: Column,
     def cost(d: Column) -> Column:
         return F.when(d < start, F.datediff(start, d)).when(d > end, F.datediff(d, end)).otherwise(0)
 
-    month, day = month.cast("int"), day.cast("int")
+    month, day = month.try_cast("int"), day.try_cast("int")
     first, second = date_of(F.year(start), month, day), date_of(F.year(end), month, day)
     best = F.least(
         F.when(first.isNotNull(), F.struct(cost(first).alias("cost"), first.alias("d"))),
@@ -122,7 +122,7 @@ def resolve_year(month: Column, day: Column, start: Column, end: Column,
 
 def year_for(month: Column, day: Column, close: Column) -> Column:
     """A bare MM/DD at or before a closing date: a later month belongs to the year before."""
-    month, day = month.cast("int"), day.cast("int")
+    month, day = month.try_cast("int"), day.try_cast("int")
     return date_of(F.year(close) - F.when(month > F.month(close), 1).otherwise(0), month, day)
 
 
@@ -131,7 +131,9 @@ def long_date(text: Column) -> Column:
 
 
 def short_date(text: Column) -> Column:
-    return F.try_to_date(text, "MM/dd/yy")
+    """MM/DD/YY with two-digit years 69-99 in the twentieth century."""
+    day = F.try_to_date(text, "MM/dd/yy")
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
 
 
 def month_key(day: Column) -> Column:

@@ -54,7 +54,7 @@ def rules_frame(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], RULE_SCHEMA)
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=True)  # a file, or a folder with one part
     valid = raw.select(F.try_parse_json("value").isNotNull().alias("ok")).first()
     if valid is None or not valid["ok"]:
         raise RulesError(f"could not read rules file {path}: not valid JSON")
