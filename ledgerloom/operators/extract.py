@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as V
 from ledgerloom.functions import text as X
 from ledgerloom.operators.scan import ordered_scan
+from ledgerloom.storage import materialize
 
 DOC, SEGMENT, ORDER = ["stmt_id"], ["page_no"], ["line_no"]
 RESET = "<reset>"
@@ -186,9 +187,11 @@ def assemble_wrapped_rows(lines: DataFrame, row: str, noise: str | None, flush:
     df = lines.withColumn("role", F.when(flush, "flush").when(text.rlike(row), "whole")
                           .when(starts_row(text), "start").otherwise("more"))
     boundary = F.col("role") != "more"
-    df = ordered_scan(df, DOC, SEGMENT, ORDER, sums={"group_no": boundary.cast("int"), "index": F.lit(1)})
-    df = ordered_scan(df, DOC, SEGMENT, ORDER, last_seen={
-        "head": F.when(boundary, F.struct("role", "index"))})
+    df = df.select(*DOC, *SEGMENT, *ORDER, "text", "role")
+    df = materialize(ordered_scan(df, DOC, SEGMENT, ORDER, sums={"group_no": boundary.cast("int"), "index": F.lit(1)}), "scan")
+    # four branches below read the outcome of the scans
+    df = materialize(ordered_scan(df, DOC, SEGMENT, ORDER, last_seen={
+        "head": F.when(boundary, F.struct("role", "index"))}), "buffers")
     position = F.coalesce(F.col("index") - F.col("head.index"), F.lit(0))
     buffered = (F.col("head.role") == "start") & (position <= V.MAX_WRAPPED_LINES)
     quiet = F.lit(False) if noise is None else text.rlike(noise)
@@ -224,8 +227,9 @@ def append_continuations(lines: DataFrame, row: str, noise: str, reset: Column,
                           .when(text.rlike(row), "row").when(text.rlike(noise), "noise")
                           .when(F.length(text) <= longest, "short").otherwise("long"))
     opens = F.col("role").isin("row", "reset")
-    df = ordered_scan(df, DOC, SEGMENT, ORDER, sums={"group_no": opens.cast("int")},
-                      last_seen={"opened_by": F.when(opens, F.col("role"))})
+    df = df.select(*DOC, *SEGMENT, *ORDER, "text", "section", "role")
+    df = materialize(ordered_scan(df, DOC, SEGMENT, ORDER, sums={"group_no": opens.cast("int")},
+                                  last_seen={"opened_by": F.when(opens, F.col("role"))}), "sections")
     belongs = (F.col("role") == "short") & (F.col("opened_by") == "row")
     rows = df.where((F.col("role") == "row") | belongs).groupBy(*DOC, "group_no").agg(
         F.min("line_no").alias("line_no"), F.min_by("text", "line_no").alias("text"), F.min_by("section", "line_no").alias("section"),
@@ -253,11 +257,13 @@ def find_anchors(lines: DataFrame, anchors: list[str] = V.ANC_ANCHORS) -> DataFr
     is looked for from the start.
     """
     state = lines.select("stmt_id").distinct()
+    prefix = " ".join(f"when startswith(text, {X.sql_literal(a)}) then true" for a in anchors)
+    hits = materialize(lines.where(F.expr(f"case {prefix} else false end")).select("stmt_id", "line_no", "text"), "hits")
     previous = F.lit(0)
     for i, anchor in enumerate(anchors):
-        hits = lines.where(F.col("text").startswith(anchor)).select("stmt_id", "line_no")
         found = F.min(F.when(F.col("line_no") >= previous, F.col("line_no"))).alias(f"a{i}")
-        state = state.join(hits, "stmt_id", "left").groupBy("stmt_id", *[f"a{j}" for j in range(i)]).agg(found)
+        here = hits.where(F.col("text").startswith(anchor)).select("stmt_id", "line_no")
+        state = state.join(here, "stmt_id", "left").groupBy("stmt_id", *[f"a{j}" for j in range(i)]).agg(found)
         previous = F.coalesce(F.col(f"a{i}"), F.lit(0))
     return state
 
@@ -289,7 +295,8 @@ def table_region(lines: DataFrame) -> DataFrame:
 
 
 def parse_running(lines: DataFrame, periods: DataFrame) -> DataFrame:
-    placed = table_region(lines).where((F.col("table") == "in") | F.col("text").rlike(V.RUN_TABLE_HEADER))
+    placed = materialize(table_region(lines).where(
+        (F.col("table") == "in") | F.col("text").rlike(V.RUN_TABLE_HEADER)), "region")
     flush = F.col("text").rlike(V.RUN_TABLE_HEADER) | F.col("text").rlike(V.RUN_END)
     rows = assemble_wrapped_rows(placed.where(~F.col("text").rlike(V.RUN_BEGIN)).drop("table"), V.RUN_ROW, V.RUN_NOISE, flush)
     part = lambda g: F.regexp_extract("text", V.RUN_ROW, g)
@@ -311,7 +318,7 @@ def parse_card(lines: DataFrame, periods: DataFrame, layout_lines: DataFrame) ->
 def parse_sectioned(lines: DataFrame) -> DataFrame:
     skip = "|".join(f"(?:{p})" for p in (V.SEC_BEGIN, V.SEC_END)) + "|" + \
         rf"(?:^({'|'.join(V.SEC_SECTIONS)})\s+{V.PLAIN_MONEY}$)"
-    placed = assign_section(lines).where(~F.col("text").rlike(skip))
+    placed = materialize(assign_section(lines).where(~F.col("text").rlike(skip)), "placed")
     rows = append_continuations(placed, V.SEC_ROW, V.SEC_NOISE, section_event().isNotNull())
     part = lambda g: F.regexp_extract("text", V.SEC_ROW, g)
     when = X.short_date(F.concat_ws("/", part(1), part(2), part(3)))
@@ -320,7 +327,7 @@ def parse_sectioned(lines: DataFrame) -> DataFrame:
 
 
 def parse_anchored(lines: DataFrame, periods: DataFrame) -> DataFrame:
-    anchors = find_anchors(lines)
+    anchors = materialize(find_anchors(lines), "anchors")
     part = lambda g: F.regexp_extract("text", V.ANC_ROW, g)
 
     def wrapped(start: str, end: str, sign: int, kind: str) -> DataFrame:

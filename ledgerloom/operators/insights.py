@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as V
 from ledgerloom.operators import spend as S
 from ledgerloom.operators.timeseries import longest_streak, price_drift
+from ledgerloom.storage import materialize
 
 COLUMNS = ["finding", "tone", "weight", "subject", "value", "reference", "pct"]
 
@@ -22,11 +23,13 @@ def _row(df: DataFrame, finding: str, tone: Column, weight: Column, subject: Col
 def insights(df: DataFrame, recurring: DataFrame, period="all", limit: int = 6) -> DataFrame:
     """The weightiest findings: total change, category change, largest row, price drift, open spend, streak."""
     none = F.lit(None)
-    all_months = S.spend_months(df)
+    folded = S.month_rollup(df)
+    recurring = materialize(recurring, "recurring")
+    all_months = S.spend_months(folded)
     months = S.period_months(all_months, period)
     prior = S.prior_window(all_months, months)
     rows = S.spend_rows(S.period_filter(df, months))
-    change = S.period_change(df, months, prior)
+    change = S.period_change(folded, months, prior)
     # both totals come from the one category frame; a missing prior window leaves them without findings
     has_prior = F.col("prior_spend") > 0
     totals = change.agg(F.sum("current_spend").alias("current_spend"), F.sum("prior_spend").alias("prior_spend"))
@@ -46,12 +49,12 @@ def insights(df: DataFrame, recurring: DataFrame, period="all", limit: int = 6)
     last, first = F.col("last_amount").cast("double"), F.col("first_amount").cast("double")
     drift = _row(price_drift(recurring), "price_drift", F.lit("up"), (last - first) * 12, F.col("merchant"),
                  last, first, F.col("pct"))
-    sums = rows.agg(F.sum(F.when(F.col("category") == V.UNCATEGORIZED, -F.col("signed"))).cast("double").alias("open_spend"),
+    sums = S.spend_rows(S.period_filter(folded, months)).agg(F.sum(F.when(F.col("category") == V.UNCATEGORIZED, -F.col("signed"))).cast("double").alias("open_spend"),
                     F.sum(-F.col("signed")).cast("double").alias("total"))
     open_rows = _row(sums.where((F.col("open_spend") >= 20) & (F.col("open_spend") / F.col("total") >= 0.01)),
                      "uncategorized", F.lit("warn"), F.col("open_spend"), none, F.col("open_spend"), F.col("total"),
                      F.col("open_spend") / F.col("total") * 100)
-    streak = longest_streak(S.period_filter(S.cashflow_monthly(df), months))
+    streak = longest_streak(S.period_filter(S.cashflow_monthly(folded), months))
     red = _row(streak.where(F.col("streak") >= 2), "deficit_streak", F.lit("warn"), F.col("streak") * 100.0, none,
                F.col("streak"), none, none)
     found = moved

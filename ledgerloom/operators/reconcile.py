@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
 from ledgerloom.operators.scan import ordered_scan
+from ledgerloom.storage import materialize
 
 TOLERANCE = 0.005
 MONEY = "decimal(18,2)"
@@ -157,7 +158,7 @@ def running_balance_breaks(statements: DataFrame, transactions: DataFrame, *, se
     opening = statements.where(printed("beginning_balance").isNotNull() & (F.col("layout_name") == "chase_checking")).select(
         "stmt_id", printed("beginning_balance").alias("opening"))
     rows = transactions.select("stmt_id", *segments, *order, "amount", "balance")
-    walked = ordered_scan(rows, ["stmt_id"], segments, order, sums={"walked": F.col("amount")})
+    walked = materialize(ordered_scan(rows, ["stmt_id"], segments, order, sums={"walked": F.col("amount")}), "walk")
     anchored = ordered_scan(walked.withColumn("gap", F.col("balance") - F.col("walked")),
                             ["stmt_id"], segments, order, seen_before={"offset": F.col("gap")})
     broken = F.abs(F.coalesce(F.col("offset"), F.col("opening")) - F.col("gap")) > step

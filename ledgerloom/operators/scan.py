@@ -23,7 +23,8 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
     ``sums``: inclusive running sum; ``previous``: the value on the row before; ``last_seen``: the
     last non-null value up to and including the row; ``seen_before``: the same without the row.
     ``segments + order`` must be a total order
-    inside a key, and a segment must be a contiguous stretch of it.
+    inside a key, and a segment must be a contiguous stretch of it.  ``df`` is read twice (rows and
+    summary), so a chain of scans is cut with ``materialize`` between its links.
     """
     sums, previous, last_seen, seen_before = sums or {}, previous or {}, last_seen or {}, seen_before or {}
     carried = {**last_seen, **seen_before}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
 from ledgerloom.functions import text as X
+from ledgerloom.storage import materialize
 
 ROW_ORDER = ("date", "txn_id")
 
@@ -113,6 +114,18 @@ def with_partial_flag(months: DataFrame) -> DataFrame:
 
 
 # --- reports ------------------------------------------------------------------------
+def month_rollup(df: DataFrame) -> DataFrame:
+    """Sums per month, category, account kind, row kind and direction, written as a table.
+
+    It has at most a few hundred rows per month whatever the ledger holds, and every report below
+    that only sums can read it in place of the rows.  Reports of several parts start here, so the
+    ledger is scanned once for all of them.
+    """
+    folded = df.groupBy("month", "category", "account", "kind", (F.col("signed") > 0).alias("arrives")).agg(
+        F.sum("signed").alias("signed"), F.sum("amount").alias("amount"))
+    return materialize(folded, "rollup")
+
+
 def spent() -> Column:
     return -F.col("signed")
 
@@ -176,6 +189,7 @@ def zero_filled(cells: DataFrame, column: str, members: Column) -> DataFrame:
 
 def monthly_category_grid(df: DataFrame, top: int = 7) -> DataFrame:
     """Month x (top categories of the whole period, rest as Other), zero-filled."""
+    df = month_rollup(df)
     cells = month_category_spend(df)
     best = ranked_categories(df).limit(top).agg(F.collect_list("category")).scalar()
     folded = (cells.withColumn("best", best)
@@ -187,6 +201,7 @@ def monthly_category_grid(df: DataFrame, top: int = 7) -> DataFrame:
 
 def category_month_matrix(df: DataFrame) -> DataFrame:
     """Month x category in long form, zero-filled over all categories of spend."""
+    df = month_rollup(df)
     cells = month_category_spend(df)
     members = cells.agg(F.collect_set("category")).scalar()
     return zero_filled(cells, "category", members)
@@ -228,6 +243,7 @@ def transfers_net(df: DataFrame) -> DataFrame:
 
 def finance_charges_monthly(df: DataFrame) -> DataFrame:
     """Interest and fees on cards per month of spend, zero-filled, the peak month marked."""
+    df = month_rollup(df)
     charges = (df.where((F.col("account") == "credit") & F.col("kind").isin("interest", "fee"))
                .groupBy("month").agg(F.sum("amount").alias("charges")))
     series = spend_months(df).join(charges, "month", "left").fillna(0, ["charges"])
@@ -298,6 +314,7 @@ def account_groups(statements: DataFrame, key=("account", "account_last4")) -> D
 
 def headline_kpis(df: DataFrame, statements: DataFrame, period="all", key=("account", "account_last4")) -> DataFrame:
     """One row of headline figures for a period."""
+    df = month_rollup(df)
     all_months = spend_months(df)
     months = period_months(all_months, period)
     flags = with_partial_flag(all_months)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
 from ledgerloom.operators.scan import ordered_scan, weighted_median
+from ledgerloom.storage import materialize
 
 
 def cents(value: Column) -> Column:
@@ -37,7 +38,7 @@ def gaps(days: DataFrame) -> DataFrame:
 
 def gap_statistics(gap_rows: DataFrame) -> DataFrame:
     """Per merchant: number of gaps, exact median and median absolute deviation."""
-    counted = gap_rows.groupBy("merchant", "gap").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(gap_rows.groupBy("merchant", "gap").agg(F.count(F.lit(1)).alias("n")), "gaps")
     median = counted.groupBy("merchant").agg(
         F.sum("n").alias("gap_count"), F.percentile("gap", F.lit(0.5), F.col("n")).alias("gap_median"))
     spread = (counted.join(median, "merchant")
@@ -67,7 +68,7 @@ def find_recurring(spend: DataFrame, corpus_end: Column | str, *, min_charges: i
     of months) come before the gap statistics, and those before the median of amounts.
     """
     end = F.lit(corpus_end).cast("date") if isinstance(corpus_end, str) else corpus_end
-    days = charge_days(spend)
+    days = materialize(charge_days(spend), "days")
     totals = days.groupBy("merchant").agg(
         F.sum("charges").alias("row_count"), F.count_distinct(F.date_format("date", "yyyy-MM")).alias("months"),
         F.sum("amount_sum").alias("total"), F.sum("square_sum").alias("squares"),
@@ -82,8 +83,10 @@ def find_recurring(spend: DataFrame, corpus_end: Column | str, *, min_charges: i
     variance = F.col("squares").cast("double") / F.col("row_count") - mean * mean
     found = totals.join(regular, "merchant").withColumn(
         "cv", F.sqrt(F.greatest(variance, F.lit(0.0))) / mean).where(F.col("cv") <= max_cv)
+    found = materialize(found, "found")
     amounts = (spend.join(found.select("merchant"), "merchant", "left_semi")
                .groupBy("merchant", (-F.col("signed")).alias("amount")).agg(F.count(F.lit(1)).alias("n")))
+    amounts = materialize(amounts, "amounts")
     middle = weighted_median(amounts, ["merchant"], "amount", "n")
     stale = F.datediff(end, F.col("last_date"))
     active = stale <= F.col("gap_median") * stale_periods
@@ -110,6 +113,7 @@ def price_drift(found: DataFrame, min_pct: float = 8) -> DataFrame:
 def monthly_obligations(found: DataFrame) -> DataFrame:
     """Standing charges at their monthly equivalent, with the total per month and per year."""
     live = found.where("active")
+    live = materialize(live, "obligations")
     total = live.agg(F.sum("monthly")).scalar()
     return live.select("merchant", "category", "cadence", "monthly").withColumns(
         {"total_monthly": total, "total_yearly": total * 12}).orderBy(F.desc("monthly"), "merchant")

@@ -17,7 +17,7 @@ def discover(spark: SparkSession, root: str, extension: str = "txt") -> DataFram
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select("path", F.col("length").alias("size")))
     # only the part below the root decides: the root itself may lie under a dot folder
-    marker = F.lit(root.rstrip("/").removeprefix("file:").lstrip("/") + "/")
+    marker = root.rstrip("/").removeprefix("file:").lstrip("/") + "/"
     below = F.substring_index(F.col("path"), marker, -1)
     return (found.withColumn("name", F.element_at(F.split("path", "/"), -1))
             .where(F.lower("name").endswith("." + extension.lower()) & ~F.concat(F.lit("/"), below).rlike(r"/\."))
