@@ -285,3 +285,30 @@ add("t15_recategorize", lambda k, f: K.recategorize(T.ledger(k, f), NEW_RULES).w
  select txn_id, former_merchant, former_category, merchant, category from moved"""))
 add("t15_applied", lambda k, f: K.applied(S.spend_rows(T.ledger(k, f)), "Groceries"),
     on_ledger("select count(*) filter (where category = 'Groceries') as applied from spend"))
+
+
+# --- the whole way from text to checks ------------------------------------------------------------------
+from ledgerloom.plans.catalog_ledger import ALL_CHECKS_SQL, MOVES, PAIRS, CONT  # noqa: E402
+from ledgerloom.plans.proving import prove_lines  # noqa: E402
+
+_proved: dict = {}
+
+
+def proved(k, f):
+    key = (k.sparkContext.applicationId, f)
+    if key not in _proved:
+        owners = T.statements(k, f).select("stmt_id", "owner")
+        _proved[key] = prove_lines(RD.lines(k, f), D.detect(statement_openings(k, f)), RD.layout_lines(k, f),
+                                   T.USER_RULES, T.KEY, owners)
+    return _proved[key]
+
+
+add("c9_statement_ok_from_text", lambda k, f: proved(k, f).checks.groupBy("stmt_id").agg(
+        F.bool_and("ok").alias("ok"), F.count(F.lit(1)).alias("check_count")),
+    on_statements("select stmt_id, bool_and(ok) as ok, count(*) as check_count from every_check group by 1", ALL_CHECKS_SQL))
+add("a19_run_totals_from_text", lambda k, f: proved(k, f).totals(),
+    on_statements(f"""select *, failed_checks = 0 and unparsed = 0 and problems = 0 as can_generate from (select
+ (select count(*) from stmts) as statements, (select count(*) from tx) as transactions, (select count(*) from every_check where not ok) as failed_checks,
+ (select count(*) filter (where layout_name = '{RUN}' and txn_id % 35 = 4) + count(*) filter (where layout_name = '{RUN}' and txn_id % 97 = 0)
+   + count(*) filter (where layout_name = '{SEC}' and txn_id % 36 = 2) from tx) as unparsed,
+ (select count(*) from found) as problems)""", f"{ALL_CHECKS_SQL}, {PAIRS}, {MOVES}, {CONT}"))
