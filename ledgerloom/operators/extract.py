@@ -288,6 +288,13 @@ def _row(df: DataFrame, date: Column, description: Column, amount: Column, kind:
     return parsed.withColumn("outcome", outcome).select(*ROW_COLUMNS)
 
 
+def with_parts(df: DataFrame, pattern: str, groups: int) -> tuple[DataFrame, list[Column]]:
+    """All capture groups of ``text`` from one regex pass; null where the text does not match."""
+    mark = "\x01"
+    df = df.withColumn("parts", F.split(F.regexp_replace("text", pattern, mark.join(f"${g}" for g in range(1, groups + 1))), mark))
+    return df, [F.get("parts", F.lit(g)) if g else F.when(F.size("parts") > 1, F.get("parts", F.lit(0))) for g in range(groups)]
+
+
 def table_region(lines: DataFrame) -> DataFrame:
     """Running-balance layout: whether the line above left the scan inside the table."""
     event = F.when(F.col("text").rlike(V.RUN_TABLE_HEADER), "in").when(F.col("text").rlike(V.RUN_END), "out")
@@ -299,19 +306,19 @@ def parse_running(lines: DataFrame, periods: DataFrame) -> DataFrame:
         (F.col("table") == "in") | F.col("text").rlike(V.RUN_TABLE_HEADER)), "region")
     flush = F.col("text").rlike(V.RUN_TABLE_HEADER) | F.col("text").rlike(V.RUN_END)
     rows = assemble_wrapped_rows(placed.where(~F.col("text").rlike(V.RUN_BEGIN)).drop("table"), V.RUN_ROW, V.RUN_NOISE, flush)
-    part = lambda g: F.regexp_extract("text", V.RUN_ROW, g)
+    rows, (mm, dd, description, amount, balance) = with_parts(rows, V.RUN_ROW, 5)
     return _row(rows.join(periods, "stmt_id"),
-                X.resolve_year(part(1), part(2), F.col("period_start"), F.col("period_end")), part(3), X.parse_money(part(4)),
-                X.classify_kind(F.lit("checking"), F.col("amount"), F.col("description"), F.lit(None)), X.parse_money(part(5)))
+                X.resolve_year(mm, dd, F.col("period_start"), F.col("period_end")), description, X.parse_money(amount),
+                X.classify_kind(F.lit("checking"), F.col("amount"), F.col("description"), F.lit(None)), X.parse_money(balance))
 
 
 def parse_card(lines: DataFrame, periods: DataFrame, layout_lines: DataFrame) -> DataFrame:
     rows = lines.where(F.col("text").rlike(V.CARD_ROW)).withColumn("outcome", F.lit("row"))
-    part = lambda g: F.regexp_extract("text", V.CARD_ROW, g)
-    rows = rows.withColumns({"mmdd": F.substring("text", 1, 5), "amount": X.parse_money(part(4))})
+    rows, (mm, dd, description, printed) = with_parts(rows, V.CARD_ROW, 4)
+    rows = rows.withColumns({"mmdd": F.substring("text", 1, 5), "amount": X.parse_money(printed)})
     labelled = section_lookup(rows, section_labels(layout_lines))
     return _row(labelled.join(periods, "stmt_id"),
-                X.resolve_year(part(1), part(2), F.col("period_start"), F.col("period_end")), part(3), F.col("amount"),
+                X.resolve_year(mm, dd, F.col("period_start"), F.col("period_end")), description, F.col("amount"),
                 X.classify_kind(F.lit("credit"), F.col("amount"), F.col("description"), F.col("section")))
 
 
@@ -320,22 +327,22 @@ def parse_sectioned(lines: DataFrame) -> DataFrame:
         rf"(?:^({'|'.join(V.SEC_SECTIONS)})\s+{V.PLAIN_MONEY}$)"
     placed = materialize(assign_section(lines).where(~F.col("text").rlike(skip)), "placed")
     rows = append_continuations(placed, V.SEC_ROW, V.SEC_NOISE, section_event().isNotNull())
-    part = lambda g: F.regexp_extract("text", V.SEC_ROW, g)
-    when = X.short_date(F.concat_ws("/", part(1), part(2), part(3)))
-    return _row(rows, when, F.concat_ws(" ", part(4), F.col("more")), X.parse_money(part(5)),
+    rows, (mm, dd, yy, description, printed) = with_parts(rows, V.SEC_ROW, 5)
+    when = X.short_date(F.concat_ws("/", mm, dd, yy))
+    return _row(rows, when, F.concat_ws(" ", description, F.col("more")), X.parse_money(printed),
                 X.classify_kind(F.lit("checking"), F.col("amount"), F.col("description"), F.lit(None)))
 
 
 def parse_anchored(lines: DataFrame, periods: DataFrame) -> DataFrame:
     anchors = materialize(find_anchors(lines), "anchors")
-    part = lambda g: F.regexp_extract("text", V.ANC_ROW, g)
 
     def wrapped(start: str, end: str, sign: int, kind: str) -> DataFrame:
         region = slice_between(lines, anchors, start, end).where(~F.col("text").rlike(V.ANC_RULE_LINE))
         # the line that opens a section is its header, not a row
         rows = assemble_wrapped_rows(region, V.ANC_ROW, r"^(Deposits and interest|Other withdrawals|Date )", F.lit(False))
-        return _row(rows.join(periods, "stmt_id"), X.year_for(part(1), part(2), F.col("period_end")), part(3),
-                    (X.parse_money(part(4)) * sign).cast("decimal(18,2)"), F.lit(kind))
+        rows, (mm, dd, description, printed) = with_parts(rows, V.ANC_ROW, 4)
+        return _row(rows.join(periods, "stmt_id"), X.year_for(mm, dd, F.col("period_end")), description,
+                    (X.parse_money(printed) * sign).cast("decimal(18,2)"), F.lit(kind))
 
     checks = extract_multi(slice_between(lines, anchors, "a3", "a4")).join(periods, "stmt_id")
     checks = _row(checks.withColumns({"outcome": F.lit("row"), "text": F.lit("")}),

@@ -70,7 +70,7 @@ def find_recurring(spend: DataFrame, corpus_end: Column | str, *, min_charges: i
     end = F.lit(corpus_end).cast("date") if isinstance(corpus_end, str) else corpus_end
     days = materialize(charge_days(spend), "days")
     totals = days.groupBy("merchant").agg(
-        F.sum("charges").alias("row_count"), F.count_distinct(F.date_format("date", "yyyy-MM")).alias("months"),
+        F.sum("charges").alias("row_count"), F.size(F.collect_set(F.date_format("date", "yyyy-MM"))).alias("months"),
         F.sum("amount_sum").alias("total"), F.sum("square_sum").alias("squares"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.min_by("first_amount", "date").alias("first_amount"), F.max_by("last_amount", "date").alias("last_amount"),

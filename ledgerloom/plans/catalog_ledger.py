@@ -20,6 +20,7 @@ from ledgerloom.plans.check_sql import d, n, on_all, on_ledger, on_statements, s
 from ledgerloom.plans.registry import add
 from ledgerloom.sources import rules as RU
 from ledgerloom.sources import tables as TB
+from ledgerloom.storage import spread
 
 L, ST = T.ledger, T.statements
 KEY = T.KEY
@@ -75,7 +76,7 @@ add("j1_originator_lookup", lambda k, f: K.with_originator_rule(
  select txn_id, originator, s_name as rule_merchant from o left join supplier
  on upper(trim(originator)) = '9' || lpad(cast(s_suppkey as string), 9, '0') where originator is not null""")
 add("j2_first_matching_rule", lambda k, f: K.with_rule_match(
-        S.with_match_text(L(k, f)).select(F.upper("match_text").alias("subject")).distinct(), "subject", V.DESCRIPTOR_RULES, "hit")
+        spread(S.with_match_text(L(k, f)).select(F.upper("match_text").alias("subject")).distinct(), "subject"), "subject", V.DESCRIPTOR_RULES, "hit")
     .select("subject", F.col("hit.merchant").alias("rule_merchant"), F.col("hit.category").alias("rule_category")),
     f"""with {C.TX}, t as (select distinct upper(coalesce(nullif(descriptor, ''), description)) as subject from tx),
  m as (select subject, {C.rule_number('subject', V.DESCRIPTOR_RULES)} as no from t)
@@ -127,7 +128,7 @@ def _hint_classifier(cases):
 
 def _document_cases(k, f):
     docs = T.read(k, f, "documents").join(T.read(k, f, "labels"), "doc_id")
-    return E.predictions(docs.select(
+    return E.predictions(spread(docs, "doc_id").select(
         "doc_id", "text", "lang",
         F.when(F.col("doc_id") % 5 == 0, "en").otherwise(F.col("lang")).alias("expected_merchant"),
         F.when(F.col("toxic") == 1, "Groceries").when(F.col("quality") == 1, V.UNCATEGORIZED)
