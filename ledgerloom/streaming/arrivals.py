@@ -14,8 +14,8 @@ from ledgerloom.sources.rules import Rules
 
 def arriving_pages(spark: SparkSession, folder: str, page_break: str = "\f", files_per_batch: int = 1000) -> DataFrame:
     """New files of a folder as a stream of pages, one document per file."""
-    files = (spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch)
-             .schema("value string").text(folder))
+    files = (spark.readStream.option("maxFilesPerTrigger", files_per_batch).schema("value string")
+             .text(folder, wholetext=True))
     pages = files.select(F.col("_metadata.file_path").alias("stmt_id"),
                          F.posexplode(F.split("value", page_break)).alias("page_no", "text"))
     return pages.withColumn("page_no", F.col("page_no") + 1)
