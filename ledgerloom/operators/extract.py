@@ -261,9 +261,11 @@ def find_anchors(lines: DataFrame, anchors: list[str] = V.ANC_ANCHORS) -> DataFr
     hits = materialize(lines.where(F.expr(f"case {prefix} else false end")).select("stmt_id", "line_no", "text"), "hits")
     previous = F.lit(0)
     for i, anchor in enumerate(anchors):
-        found = F.min(F.when(F.col("line_no") >= previous, F.col("line_no"))).alias(f"a{i}")
-        here = hits.where(F.col("text").startswith(anchor)).select("stmt_id", "line_no")
-        state = state.join(here, "stmt_id", "left").groupBy("stmt_id", *[f"a{j}" for j in range(i)]).agg(found)
+        # inner join first: its many-row side may be split when one document has most of the hits,
+        # and the minimum is combined before rows meet
+        found = (hits.where(F.col("text").startswith(anchor)).join(state, "stmt_id")
+                 .where(F.col("line_no") >= previous).groupBy("stmt_id").agg(F.min("line_no").alias(f"a{i}")))
+        state = state.join(found, "stmt_id", "left")
         previous = F.coalesce(F.col(f"a{i}"), F.lit(0))
     return state
 

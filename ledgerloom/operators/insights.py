@@ -40,7 +40,7 @@ def insights(df: DataFrame, recurring: DataFrame, period="all", limit: int = 6)
                  F.col("current_spend"), F.col("prior_spend"), pct)
     biggest = (change.where((F.col("prior_spend") >= 20) & (F.abs("change") >= 20))
                .orderBy(F.desc(F.abs("change")), "category").limit(1))
-    category = _row(biggest, "category_change", tone, F.abs(delta), F.col("category"), F.col("current_spend"),
+    category = _row(biggest, "category_change", tone, F.abs("change"), F.col("category"), F.col("current_spend"),
                     F.col("prior_spend"), F.abs(delta) / F.col("prior_spend").cast("double") * 100)
     # the first row in newest-first order among equals
     top = rows.orderBy("signed", F.desc("date"), F.desc("txn_id")).limit(1)

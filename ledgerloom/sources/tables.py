@@ -22,6 +22,14 @@ def summary_keys(statements: DataFrame) -> DataFrame:
     return statements.select(F.explode(F.map_keys("summary")).alias("key")).distinct()
 
 
+def column_names(values: DataFrame, what: str, most: int = 1000) -> list[str]:
+    """Values that become columns, sorted; too many for a table is an error, never a cut."""
+    names = [r[0] for r in values.orderBy(values.columns[0]).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} {what}; use the long form")
+    return names
+
+
 def export_transactions(transactions: DataFrame) -> DataFrame:
     """Export columns in export order, sorted."""
     if "balance" not in transactions.columns:
@@ -31,7 +39,7 @@ def export_transactions(transactions: DataFrame) -> DataFrame:
 
 def export_statements(statements: DataFrame, checks: DataFrame) -> DataFrame:
     """One row per statement, every printed label of the corpus a column."""
-    keys = [r["key"] for r in summary_keys(statements).orderBy("key").limit(1000).collect()]
+    keys = column_names(summary_keys(statements), "printed labels")
     ok = statement_ok(statements, checks).select("stmt_id", F.col("ok").alias("checks_passed"))
     return S.report_order(statements.join(ok, "stmt_id")).select(
         "account", "account_last4", F.col("source_file").alias("file"), "period_start", "period_end", "txn_count",
@@ -47,8 +55,7 @@ def export_by_category_long(transactions: DataFrame) -> DataFrame:
 
 def export_by_category(transactions: DataFrame) -> DataFrame:
     """The same as a matrix, a column per category.  Categories come from rules, so there are few."""
-    names = [r["category"] for r in S.spend_rows(transactions).select("category").distinct()
-             .orderBy("category").limit(1000).collect()]
+    names = column_names(S.spend_rows(transactions).select("category").distinct(), "categories")
     wide = export_by_category_long(transactions).groupBy("month").pivot("category", [*names, "total"]).agg(F.first("spend"))
     return wide.orderBy("month")
 
