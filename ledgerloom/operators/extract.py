@@ -256,16 +256,16 @@ def find_anchors(lines: DataFrame, anchors: list[str] = V.ANC_ANCHORS) -> DataFr
     Only lines that start with an anchor take part; a missing anchor leaves null and the next one
     is looked for from the start.
     """
-    state = lines.select("stmt_id").distinct()
+    state = materialize(lines.select("stmt_id").distinct(), "anchors")
     prefix = " ".join(f"when startswith(text, {X.sql_literal(a)}) then true" for a in anchors)
     hits = materialize(lines.where(F.expr(f"case {prefix} else false end")).select("stmt_id", "line_no", "text"), "hits")
     previous = F.lit(0)
     for i, anchor in enumerate(anchors):
         # inner join first: its many-row side may be split when one document has most of the hits,
-        # and the minimum is combined before rows meet
+        # and the minimum is combined before rows meet; the short state is cut so it is read, not redone
         found = (hits.where(F.col("text").startswith(anchor)).join(state, "stmt_id")
                  .where(F.col("line_no") >= previous).groupBy("stmt_id").agg(F.min("line_no").alias(f"a{i}")))
-        state = state.join(found, "stmt_id", "left")
+        state = materialize(state.join(found, "stmt_id", "left"), "anchors")
         previous = F.coalesce(F.col(f"a{i}"), F.lit(0))
     return state
 
@@ -336,7 +336,7 @@ def parse_sectioned(lines: DataFrame) -> DataFrame:
 
 
 def parse_anchored(lines: DataFrame, periods: DataFrame) -> DataFrame:
-    anchors = materialize(find_anchors(lines), "anchors")
+    anchors = find_anchors(lines)
 
     def wrapped(start: str, end: str, sign: int, kind: str) -> DataFrame:
         region = slice_between(lines, anchors, start, end).where(~F.col("text").rlike(V.ANC_RULE_LINE))

@@ -62,8 +62,11 @@ def inflow_rows(df: DataFrame) -> DataFrame:
 
 
 def spend_months(df: DataFrame) -> DataFrame:
-    """The months present in spend: at most one row per calendar month."""
-    return spend_rows(df).select("month").distinct()
+    """The months present in spend: at most one row per calendar month.
+
+    Written as a table: periods, windows and flags read it several times.
+    """
+    return materialize(spend_rows(df).select("month").distinct(), "months")
 
 
 def period_months(months: DataFrame, period="all") -> DataFrame:
