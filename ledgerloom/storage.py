@@ -36,6 +36,48 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Owner of the intermediate tables of one run.
+
+    Every cut lands in one folder of its own under the shared checkpoint folder; ``close`` removes
+    all of them but those named, so a finished run leaves only its result.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "run") -> None:
+        self.spark = spark
+        self.root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self._paths: dict[int, str] = {}
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def cut(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        path = self.path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove one cut that nothing reads any more."""
+        remove_path(self.spark, self._paths.pop(id(df)))
+
+    def close(self, *keep: DataFrame) -> None:
+        kept = {id(df) for df in keep}
+        for key, path in list(self._paths.items()):
+            if key not in kept:
+                remove_path(self.spark, self._paths.pop(key))
+        if not kept:
+            remove_path(self.spark, self.root)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table this library wrote, through the file system Spark uses for it."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def measured_bytes(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> int:
     """In-memory size of ``df``, by aggregation over it (strings and a per-row overhead)."""
     width = F.lit(16)
