@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BATCH = 500
@@ -48,7 +49,7 @@ def chunked(batches: Iterator[pa.RecordBatch], limit: int, size_of: str) -> Iter
     held = 0
     for batch in batches:
         column = batch.column(size_of)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
         first = 0
         for row, n in enumerate(sizes.tolist()):
             held += n

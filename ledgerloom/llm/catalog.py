@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, language_id, packing, simhash
+from ledgerloom.llm import (decontaminate, factors, language_id, packing, paragraphs, quality, simhash,
+                            token_counts, url_filters, vectors)
+from ledgerloom.storage import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +29,44 @@ def as_documents(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("stmt_id", "doc_id")
 
 
+URL_RULES = """
+    select * from values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                         ('net', '/es/', 'block'), ('net', '/fr/', 'block') as rules(host, path, verdict)"""
+
+
+@query
+def op1_url_filters(spark, sf_dir):
+    return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.sql(URL_RULES))
+
+
+SQL["op1_url_filters"] = """
+    with parts as (
+        select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest
+        from pages),
+    split as (
+        select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz') as host,
+               regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path
+        from parts),
+    judged as (
+        select *, case
+            when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%'
+                then 'www.example.com/en/'
+            when (host = 'example.com' or host like '%.example.com') and path like '/en/%' then 'example.com/en/'
+            when (host = 'net' or host like '%.net') and path like '/es/%' then 'net/es/'
+            when (host = 'net' or host like '%.net') and path like '/fr/%' then 'net/fr/'
+            when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end as rule
+        from split)
+    select page_id, host, path, rule,
+           case when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'block' else 'allow' end as verdict
+    from judged"""
+
+
+@query
+def op2_quality(spark, sf_dir):
+    return as_documents(quality.score_quality(documents(spark, sf_dir)))
+
+
 @query
 def op3_simhash(spark, sf_dir):
     return as_documents(simhash.near_duplicate_statements(documents(spark, sf_dir)))
@@ -37,14 +77,40 @@ def op4_language_id(spark, sf_dir):
     return as_documents(language_id.identify_languages(documents(spark, sf_dir)))
 
 
+@query
+def op5_token_counts(spark, sf_dir):
+    space = Workspace(spark, "op5")
+    return as_documents(token_counts.count_tokens(
+        documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), space.path("cache"), space=space))
+
+
 @query
 def op6_decontamination(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return as_documents(decontaminate.contaminated_statements(documents(spark, sf_dir), items))
 
 
+@query
+def op7_substring_dedup(spark, sf_dir):
+    lines = documents(spark, sf_dir).select("stmt_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    found = paragraphs.duplicate_lines(lines)
+    return found.select(F.col("stmt_id").alias("doc_id"), F.col("line_no").alias("paragraph"),
+                        F.col("class_stmt_id").alias("class_doc_id"), F.col("class_line_no").alias("class_paragraph"),
+                        "removed")
+
+
 @query
 def op8_packing(spark, sf_dir):
     return as_documents(packing.pack_statements(
         documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
         ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    return as_documents(factors.remove_repeated_passages(documents(spark, sf_dir)).drop("kept"))
+
+
+@query
+def op10_embedding_dedup(spark, sf_dir):
+    return vectors.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -11,7 +11,7 @@ from ledgerloom.llm.batches import Rolling, chunked, dealt, packed, small_batche
 from ledgerloom.storage import Workspace
 
 GRAM = 3
-SPACING = 6
+SPACING = 2
 THRESHOLD = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_WORDS = 8

@@ -161,8 +161,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network
     return train([r[1].encode() for r in rows], [r[0] for r in rows]) if rows else None
 
 
-def predict(statements: DataFrame, net: Network | None) -> DataFrame:
-    """``statements`` (stmt_id, text) -> (stmt_id, lang_pred, score), one row per row.
+def predict(statements: DataFrame, net: Network | None, carry: tuple[str, ...] = ("stmt_id",)) -> DataFrame:
+    """``statements`` (stmt_id, text) -> (the columns to ``carry``, lang_pred, score), one row per row.
 
     Every window of the whole text is judged; the score is the mean probability of the best
     language over windows, weighted by the letters in each.  A text that is null or has no letter is
@@ -170,14 +170,15 @@ def predict(statements: DataFrame, net: Network | None) -> DataFrame:
     ids stay as they are.
     """
     small_batches(statements.sparkSession)
-    kind = statements.schema["stmt_id"].dataType.simpleString()
+    names = [f"carried_{k}" for k in range(len(carry))]
+    kinds = [f"{n} {statements.schema[c].dataType.simpleString()}" for n, c in zip(names, carry)]
 
     def run(batches):
         tables = net.tables() if net else None
         letters = np.zeros(CLASSES, np.float32)
         letters[2:28] = letters[32:] = 1
         for batch in batches:
-            texts, has = text_bytes(batch.column(1)), np.asarray(batch.column(2))
+            texts, has = text_bytes(batch.column(0)), np.asarray(batch.column(1))
             total = np.zeros((len(texts), len(net.languages) if net else 1))
             row = 0
             while net and row < len(texts):
@@ -200,13 +201,13 @@ def predict(statements: DataFrame, net: Network | None) -> DataFrame:
             known = has & (sums > 0)
             best = total.argmax(axis=1)
             score = np.where(known, total.max(axis=1) / np.where(sums > 0, sums, 1), 0.0)
-            names = [net.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()),
-                                              pa.array(np.clip(score, 0, 1))], ["stmt_id", "lang_pred", "score"])
+            found = [net.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(found, pa.string()),
+                                              pa.array(np.clip(score, 0, 1))], [*names, "lang_pred", "score"])
 
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return (statements.select("stmt_id", "text", has_letter.alias("has_letter"))
-            .mapInArrow(run, f"stmt_id {kind}, lang_pred string, score double"))
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
+    return (statements.select("text", has_letter, *[F.col(c).alias(n) for n, c in zip(names, carry)])
+            .mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"])))
 
 
 def held_out(number: str = "stmt_id"):
@@ -221,4 +222,13 @@ def identify_languages(statements: DataFrame, per_language: int = SAMPLE_PER_LAN
     teaches and is no input of a prediction.
     """
     net = fit(statements.where(~held_out()).select("text", "lang"), per_language)
-    return predict(statements, net).select("stmt_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(statements, net).withColumnRenamed("carried_0", "stmt_id").select(
+        "stmt_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def with_known_language(statements: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """The statements, with all their columns, whose text is in some language (not ``und``)."""
+    columns = statements.columns
+    net = fit(statements.where(~held_out()).select("text", "lang"), per_language)
+    judged = predict(statements, net, tuple(columns)).where("lang_pred <> 'und'")
+    return judged.select(*[F.col(f"carried_{k}").alias(c) for k, c in enumerate(columns)])
