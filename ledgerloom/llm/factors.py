@@ -278,9 +278,8 @@ def _with_texts(batches, wanted: tuple[int, ...]) -> Iterator[tuple[np.ndarray,
 def _to_compare(buckets: int, groups: int):
     """The bytes of the runs to compare, to the bucket of their anchor or, if crowded, of each span."""
     def run(batches):
+        runs, bodies, wide, spans, held = [], [], [], [], 0
         for ids, texts, own, _ in _with_texts(batches, (COMPARE, SCATTER)):
-            rows, known = [], []
-            runs, bodies, wide, spans = [], [], [], []
             for doc, text, some in zip(ids.tolist(), texts, own):
                 for lo, n, tag, op in zip(some["lo"].tolist(), some["n"].tolist(), some["tag"].tolist(), some["op"].tolist()):
                     if op == COMPARE:
@@ -290,38 +289,45 @@ def _to_compare(buckets: int, groups: int):
                         for k in range(lo, lo + n):
                             wide.append((doc, tag, k, 1))
                             spans.append(text[k:k + SPAN])
-            if spans:
-                first: dict[bytes, int] = {}
-                for row, span in zip(wide, spans):
-                    first[span] = min(row[0], first.get(span, row[0]))
-                known = [row for row, span in zip(wide, spans) if row[0] > first[span]]
-                kept = [k for k, (row, span) in enumerate(zip(wide, spans)) if row[0] == first[span]]
-                wide, spans = [wide[k] for k in kept], [spans[k] for k in kept]
-            if runs:
-                body = np.frombuffer(b"".join(bodies), np.uint8)
-                size = np.fromiter(map(len, bodies), np.int64, len(bodies))
-                begin = np.cumsum(size) - size
-                at = np.arange(len(body) - GRAM + 1)
-                grams = np.append(Rolling(body).slices(at, at + GRAM), np.uint64(0))
-                # the anchor is the smallest gram among those inside every span of the run
-                edges = np.stack([begin + size - SPAN, begin + SPAN - GRAM + 1], axis=1).ravel()
-                target = (np.minimum.reduceat(grams, edges)[::2] % np.uint64(buckets)).astype(np.int64)
-                rows += _part_rows(runs, bodies, target)
-            if spans:
-                body = np.frombuffer(b"".join(spans), np.uint8)
-                at = np.arange(0, len(body), SPAN)
-                target = (Rolling(body).slices(at, at + SPAN) % np.uint64(buckets)).astype(np.int64)
-                rows += _part_rows(wide, spans, target)
-            if known:
-                columns = {k: np.array(v, t) for (k, t), v in zip(PART.items(), zip(*known))}
-                columns["op"] = np.full(len(known), REMOVE, np.uint8)
-                rows += [(t, 1, n, blob) for t, n, blob in dealt_rows(columns, FOUND, group_of(columns["doc"], groups))]
-            if rows:
-                yield _rows(rows)
+                    held += n - 1 + SPAN
+            if held > CHUNK_BYTES:
+                yield _parts(runs, bodies, wide, spans, buckets, groups)
+                runs, bodies, wide, spans, held = [], [], [], [], 0
+        yield _parts(runs, bodies, wide, spans, buckets, groups)
 
     return run
 
 
+def _parts(runs, bodies, wide, spans, buckets: int, groups: int) -> pa.RecordBatch:
+    """Packed rows of runs by anchor and of single spans by content, equal spans folded to the smallest doc."""
+    rows = []
+    if runs:
+        body = np.frombuffer(b"".join(bodies), np.uint8)
+        size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        begin = np.cumsum(size) - size
+        at = np.arange(len(body) - GRAM + 1)
+        grams = np.append(Rolling(body).slices(at, at + GRAM), np.uint64(0))
+        # the anchor is the smallest gram among those inside every span of the run
+        edges = np.stack([begin + size - SPAN, begin + SPAN - GRAM + 1], axis=1).ravel()
+        target = (np.minimum.reduceat(grams, edges)[::2] % np.uint64(buckets)).astype(np.int64)
+        rows += _part_rows(runs, bodies, target)
+    if spans:
+        first: dict[bytes, int] = {}
+        for row, span in zip(wide, spans):
+            first[span] = min(row[0], first.get(span, row[0]))
+        known = [row for row, span in zip(wide, spans) if row[0] > first[span]]
+        if known:
+            columns = {k: np.array(v, t) for (k, t), v in zip(PART.items(), zip(*known))}
+            columns["op"] = np.full(len(known), REMOVE, np.uint8)
+            rows += [(t, 1, n, blob) for t, n, blob in dealt_rows(columns, FOUND, group_of(columns["doc"], groups))]
+        kept = [k for k, (row, span) in enumerate(zip(wide, spans)) if row[0] == first[span]]
+        wide, spans = [wide[k] for k in kept], [spans[k] for k in kept]
+        at = np.arange(0, len(spans) * SPAN, SPAN)
+        target = (Rolling(np.frombuffer(b"".join(spans), np.uint8)).slices(at, at + SPAN) % np.uint64(buckets)).astype(np.int64)
+        rows += _part_rows(wide, spans, target)
+    return _rows(rows)
+
+
 def _part_rows(runs, bodies, target):
     order = np.argsort(target, kind="stable")
     out = []
@@ -430,19 +436,20 @@ def remove_repeated_passages(statements: DataFrame, space: Workspace | None = No
     spark = statements.sparkSession
     small_batches(spark)
     space = space or Workspace(spark, "factors")
-    n = partitions(spark)
-    buckets = groups = 4 * n
+    # one bucket of anchors and one group of texts per partition: packed rows go to the partition they name
+    n = buckets = groups = partitions(spark)
     carry = carry or []
     known = statements.where("stmt_id is not null").withColumn("stmt_id", F.col("stmt_id").cast("bigint"))
     runs = known.select("stmt_id", "text").mapInArrow(_cut_to_runs(buckets, groups), ROW)
-    found = space.cut(runs.repartition(n, "target").mapInArrow(_judge(groups), ROW), "found")
+    found = space.cut(runs.repartitionById(n, F.col("target").cast("int")).mapInArrow(_judge(groups), ROW), "found")
 
     def with_texts(starts: DataFrame, carry: list[str]) -> DataFrame:
         starts = starts.withColumn("more", F.lit(None).cast("binary"))
-        return starts.union(bundles(known, groups, carry)).repartition(n, "target").sortWithinPartitions("target", "kind")
+        rows = starts.union(bundles(known, groups, carry))
+        return rows.repartitionById(n, F.col("target").cast("int")).sortWithinPartitions("target", "kind")
 
     parts = with_texts(found, []).mapInArrow(_to_compare(buckets, groups), ROW)
-    more = space.cut(parts.repartition(n, "target").mapInArrow(_compare(groups), ROW), "more")
+    more = space.cut(parts.repartitionById(n, F.col("target").cast("int")).mapInArrow(_compare(groups), ROW), "more")
     shape = "stmt_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
     beside = [f"carried_{k} {statements.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)]
     cut = with_texts(found.union(more), carry).mapInArrow(_cut_out, ", ".join([shape, *beside]))
