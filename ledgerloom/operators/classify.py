@@ -19,7 +19,6 @@ from ledgerloom.storage import broadcast_if_small, materialize, spread
 
 CHUNK = 20
 STAGE_RULES = 400
-LITERAL_LOOKUP = 500
 
 
 def first_match(subject: str, patterns: list[str], offset: int = 0, flags: str = "") -> Column:
@@ -56,8 +55,12 @@ def with_rule_match(df: DataFrame, subject: str, rules: list, target: str, flags
 
 
 def with_originator_rule(df: DataFrame, originator: str, ach_rules: DataFrame, target: str) -> DataFrame:
-    """Struct of the rule keyed on the originator id (an equi lookup on ``upper(trim(id))``)."""
-    table = ach_rules.select(F.col("pattern").alias("ach_key"), F.struct("merchant", "category").alias(target))
+    """Struct of the rule keyed on the originator id (an equi lookup on ``upper(trim(id))``).
+
+    Of several rules with one id the last wins, so the lookup never multiplies rows.
+    """
+    table = ach_rules.groupBy(F.upper(F.trim("pattern")).alias("ach_key")).agg(
+        F.max_by(F.struct("merchant", "category"), "ord").alias(target))
     keyed = df.withColumn("ach_key", F.upper(F.trim(originator)))
     return keyed.join(broadcast_if_small(table), "ach_key", "left").drop("ach_key")
 
@@ -79,14 +82,6 @@ def with_rail_outcome(df: DataFrame, text: str, payees: list, target: str) -> Da
         .when(F.col(who).isNotNull(), named)).drop(who)
 
 
-def _literal_lookup(key: str, rules: list) -> Column:
-    """The rule of an id from a short literal list; no join, no job."""
-    branches = " ".join(
-        f"when {key} = {X.sql_literal(i)} then named_struct('merchant', {X.sql_literal(m)}, 'category', {X.sql_literal(c)})"
-        for i, m, c in rules)
-    return F.expr(f"case {branches} end") if rules else F.when(F.lit(False), _pair(F.lit(None), F.lit(None)))
-
-
 def _pair(merchant: Column, category: Column) -> Column:
     return F.struct(merchant.cast("string").alias("merchant"), category.cast("string").alias("category"))
 
@@ -108,12 +103,12 @@ def classify_texts(texts: DataFrame, rules: Rules | None = None) -> DataFrame:
     df = with_rule_match(df, "subject", V.DESCRIPTOR_RULES, "shipped_hit")
     df = with_rule_match(df, "subject", V.ARRIVAL_RULES, "arrival_hit", "(?i)")
     df = with_rail_outcome(df, "rail_text", rules.payees, "rail_hit")
-    if len(rules.ach) <= LITERAL_LOOKUP:
-        df = df.withColumn("ach_hit", _literal_lookup("upper(trim(originator))", rules.ach))
-    else:
+    if rules.ach:
         table = spark.createDataFrame(
             [(i, "ach", p, m, c) for i, (p, m, c) in enumerate(rules.ach)], RULE_SCHEMA)
         df = with_originator_rule(df, "originator", table, "ach_hit")
+    else:
+        df = df.withColumn("ach_hit", F.when(F.lit(False), _pair(F.lit(None), F.lit(None))))
     df = X.with_clean(df, "payee_text", "clean_name")
     df = df.withColumn("name", F.coalesce(
         F.nullif(X.titlecase(F.col("clean_name")), F.lit("")), F.col("payee_text")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom import fixed_values as V
 from ledgerloom.operators.scan import ordered_scan
 from ledgerloom.operators.spend import account_label, with_balances
+from ledgerloom.storage import materialize
 
 ACCOUNT = ["account", "account_last4"]
 
@@ -30,22 +31,26 @@ def polarity_of(account: Column, layouts=None) -> Column:
 
 def with_previous_statement(statements: DataFrame, key: list[str] = ACCOUNT) -> DataFrame:
     """Each statement beside the one before it in its account (``previous`` struct, null for the first)."""
-    base = with_balances(statements)
-    return ordered_scan(base, key, ["period_start"], ["stmt_id"], previous={
-        "previous": F.struct("stmt_id", "period_end", "closing_balance")})
+    base = with_balances(statements).withColumn("period_year", F.year("period_start"))
+    return ordered_scan(base, key, ["period_year"], ["period_start", "stmt_id"], previous={
+        "previous": F.struct("stmt_id", "period_end", "closing_balance")}).drop("period_year")
 
 
-def period_gaps(statements: DataFrame, key: list[str] = ACCOUNT) -> DataFrame:
-    """Signed gap (or overlap) days between consecutive statements of an account."""
-    pairs = with_previous_statement(statements, key).where(F.col("previous").isNotNull())
-    return (pairs.withColumn("days", F.datediff("period_start", F.col("previous.period_end")) - 1)
+def period_gaps(statements: DataFrame, key: list[str] = ACCOUNT, pairs: DataFrame | None = None) -> DataFrame:
+    """Signed gap (or overlap) days between consecutive statements of an account.
+
+    ``pairs``: the statements with the one before, if they are at hand already.
+    """
+    pairs = with_previous_statement(statements, key) if pairs is None else pairs
+    return (pairs.where(F.col("previous").isNotNull()).withColumn("days", F.datediff("period_start", F.col("previous.period_end")) - 1)
             .where(F.col("days") != 0)
             .select(*key, "stmt_id", F.col("previous.period_end").alias("prior_end"), "period_start", "days"))
 
 
-def balance_chain(statements: DataFrame, key: list[str] = ACCOUNT, tolerance: float = 0.005) -> DataFrame:
+def balance_chain(statements: DataFrame, key: list[str] = ACCOUNT, tolerance: float = 0.005,
+                  pairs: DataFrame | None = None) -> DataFrame:
     """Statements whose opening balance is not the closing balance before it."""
-    pairs = with_previous_statement(statements, key)
+    pairs = with_previous_statement(statements, key) if pairs is None else pairs
     close, opened = F.col("previous.closing_balance"), F.col("opening_balance")
     return (pairs.where(F.abs(close - opened) > tolerance)
             .select(*key, "stmt_id", close.alias("prior_close"), opened.alias("opening_balance")))
@@ -84,20 +89,21 @@ def continuity(statements: DataFrame, transactions: DataFrame, key: list[str] =
         missing = [c for c in wide if c not in found.columns]
         return found if not missing else found.join(statements.select("stmt_id", *missing), "stmt_id")
 
-    gaps = with_names(period_gaps(statements, key)).select(
+    pairs = materialize(with_previous_statement(statements, key), "previous")
+    gaps = with_names(period_gaps(statements, key, pairs)).select(
         "stmt_id", *ACCOUNT, F.lit("period_gap").alias("kind"),
-        F.concat(label, F.lit(": "), F.col("prior_end").cast("string"), F.lit(" -> "), F.col("period_start").cast("string"),
-                 F.lit(" is a "), F.format_string("%+d", "days"), F.lit(" day gap/overlap")).alias("detail"),
+        F.concat(label, F.lit(" has "), F.format_string("%+d", "days"), F.lit(" days between the period ending "),
+                 F.col("prior_end").cast("string"), F.lit(" and the one starting "), F.col("period_start").cast("string")).alias("detail"),
         F.col("days").cast(money).alias("measured"), F.lit(0).cast(money).alias("expected"))
-    chain = with_names(balance_chain(statements, key)).select(
+    chain = with_names(balance_chain(statements, key, pairs=pairs)).select(
         "stmt_id", *ACCOUNT, F.lit("balance_chain").alias("kind"),
-        F.concat(label, F.lit(": prior close "), F.col("prior_close").cast("string"), F.lit(" != open "),
-                 F.col("opening_balance").cast("string")).alias("detail"),
+        F.concat(label, F.lit(" opens at "), F.col("opening_balance").cast("string"), F.lit(" after closing at "),
+                 F.col("prior_close").cast("string")).alias("detail"),
         F.col("opening_balance").cast(money).alias("measured"), F.col("prior_close").cast(money).alias("expected"))
     net = net_position(statements, transactions, key).where(~F.col("ok")).select(
         F.lit(None).cast("string").alias("stmt_id"), *[F.lit(None).cast("string").alias(c) for c in ACCOUNT],
         F.lit("net_position").alias("kind"),
-        F.concat(F.lit("parsed rows net "), F.col("actual").cast("string"), F.lit(" but balances moved "),
+        F.concat(F.lit("all rows sum to "), F.col("actual").cast("string"), F.lit(", all balances to "),
                  F.col("expected").cast("string")).alias("detail"),
         F.col("actual").alias("measured"), F.col("expected").alias("expected"))
     return gaps.unionByName(chain).unionByName(net).select(

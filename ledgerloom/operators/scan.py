@@ -23,7 +23,7 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
     ``sums``: inclusive running sum; ``previous``: the value on the row before; ``last_seen``: the
     last non-null value up to and including the row; ``seen_before``: the same without the row.
     ``segments + order`` must be a total order
-    inside a key, and a segment must be a contiguous stretch of it.  ``df`` is read twice (rows and
+    inside a key, a null key or segment is an error (it would join with nothing), and a segment must be a contiguous stretch of it.  ``df`` is read twice (rows and
     summary), so a chain of scans is cut with ``materialize`` between its links.
     """
     sums, previous, last_seen, seen_before = sums or {}, previous or {}, last_seen or {}, seen_before or {}
@@ -35,6 +35,8 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
 
     inputs = {f"in_{o}": c for o, c in {**sums, **previous, **carried}.items()}
     df = df.withColumns(inputs)
+    if segments:
+        df = df.withColumns({c: _not_null(df, c) for c in dict.fromkeys(keys + segments) if df.schema[c].nullable})
     local = {o: F.sum(f"in_{o}").over(so_far) for o in sums}
     local |= {o: F.lag(f"in_{o}").over(inside) for o in previous}
     local |= {o: F.last(f"in_{o}", ignorenulls=True).over(so_far) for o in last_seen}
@@ -64,6 +66,11 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
     return out.withColumns(final).drop(*inputs, *carries, "row_in_segment")
 
 
+def _not_null(df: DataFrame, name: str) -> Column:
+    refused = F.raise_error(f"ordered_scan: null in {name!r}").cast(df.schema[name].dataType)
+    return F.coalesce(F.col(name), refused)
+
+
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str,
                     width: int = 1000) -> DataFrame:
     """Exact median of ``value`` counted ``weight`` times, per key: (keys, median).

@@ -4,47 +4,38 @@ No group is collected and rows are never crossed with candidates:
 
 * the common core of a group is found from one short string per group (its shortest text) by
   folding, per start position, the longest prefix each text contains -- a plain ``min`` aggregate;
-* candidates meet only the texts that share the candidate's rarest gram, by an equi join.
+* candidates meet only the texts that share the candidate's rarest gram of at least half its length
+  (of ``LONGEST_GRAM`` at most), by an equi join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerloom import fixed_values as V
 from ledgerloom.functions import text as X
 from ledgerloom.operators import spend as S
 from ledgerloom.storage import materialize
 
-GRAM = 4
+LONGEST_GRAM = 64
 
 
-def contained_lengths(seed: str, text: str):
+def contained_lengths(seed: str, text: str) -> Column:
     """Per start in ``seed``: the length of the longest piece from there that ``text`` contains.
 
-    The helper is defined here so that it travels to the workers with the plan; nothing has to be
-    installed there.
+    Two pointers as a fold: a step lengthens the piece while ``text`` holds it, else it moves the start on,
+    after which the piece less its first character is still held; so 2n steps do for n characters.
     """
-    def lengths(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for seeds, texts in pairs:
-            found = []
-            for one, other in zip(seeds, texts):
-                reach, row = 0, []
-                for start in range(len(one)):
-                    reach = max(reach - 1, 0)
-                    while start + reach < len(one) and one[start:start + reach + 1] in other:
-                        reach += 1
-                    row.append(reach)
-                found.append(row)
-            yield pd.Series(found)
-
-    lengths.__annotations__ = {"pairs": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(lengths, T.ArrayType(T.IntegerType()))(seed, text)
+    return F.expr(f"""case when length({seed}) = 0 then cast(array() as array<int>) else aggregate(
+        sequence(1, 2 * length({seed})),
+        named_struct('s', 1, 'r', 0, 'found', cast(array() as array<int>)),
+        (a, i) -> case
+            when a.s > length({seed}) then a
+            when a.s + a.r <= length({seed}) and contains({text}, substring({seed}, a.s, a.r + 1))
+                then named_struct('s', a.s, 'r', a.r + 1, 'found', a.found)
+            else named_struct('s', a.s + 1, 'r', greatest(a.r - 1, 0), 'found', concat(a.found, array(a.r))) end,
+        a -> a.found) end""")
 
 
 def longest_common_substring(texts: DataFrame, group: str, text: str, min_length: int = 4) -> DataFrame:
@@ -74,14 +65,24 @@ def _grams(df: DataFrame, text: str, lengths: list[int]) -> DataFrame:
     return df.withColumn("gram", F.explode(F.array_distinct(F.concat(*arrays))))
 
 
+def gram_size(text: Column) -> Column:
+    """The largest power of two within the length of a text, and within ``LONGEST_GRAM``."""
+    return F.least(F.pow(F.lit(2), F.floor(F.log2(F.length(text)))), F.lit(LONGEST_GRAM)).cast("int")
+
+
 def candidate_matches(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (candidate, text) with ``contains(text, candidate)``, exact, by an equi join.
 
     A text holding the candidate holds each of its grams, so joining on the one gram that is rarest
-    among the texts loses nothing; ``contains`` then removes the false partners.
+    among the texts loses nothing; ``contains`` then removes the false partners.  Grams are at least
+    half as long as the candidate, so the longer candidates are, the fewer texts share one.  Only the
+    few gram sizes that occur (powers of two) reach the driver.
     """
-    lengths = list(range(1, GRAM + 1))
-    size = F.least(F.length("candidate"), F.lit(GRAM))
+    candidates = candidates.where(F.length("candidate") > 0)
+    size = gram_size(F.col("candidate"))
+    lengths = sorted(r[0] for r in candidates.select(size.alias("n")).distinct().collect())
+    if not lengths:
+        return candidates.join(texts, F.lit(False))
     own = candidates.withColumn("gram", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("candidate") - size + 1), lambda i: F.substr(F.col("candidate"), i, size)))).distinct()
     wanted = own.select("gram").distinct()

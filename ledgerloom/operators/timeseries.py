@@ -65,7 +65,8 @@ def find_recurring(spend: DataFrame, corpus_end: Column | str, *, min_charges: i
     """Merchants that bill on a schedule.
 
     ``spend`` has ``merchant, date, signed, category, txn_id``.  Cheap gates (number of charges and
-    of months) come before the gap statistics, and those before the median of amounts.
+    of months, spread of amounts) come before the gap statistics, and those before the median of
+    amounts; a merchant that fails one takes no part in what follows.
     """
     end = F.lit(corpus_end).cast("date") if isinstance(corpus_end, str) else corpus_end
     days = materialize(charge_days(spend), "days")
@@ -76,13 +77,15 @@ def find_recurring(spend: DataFrame, corpus_end: Column | str, *, min_charges: i
         F.min_by("first_amount", "date").alias("first_amount"), F.max_by("last_amount", "date").alias("last_amount"),
         F.max_by("last_category", "date").alias("category"),
     ).where((F.col("row_count") >= min_charges) & (F.col("months") >= min_charges) & (F.col("total") > 0))
-    regular = gap_statistics(gaps(days)).where(
-        (F.col("gap_count") >= 3) & (F.col("gap_mad") / F.col("gap_median") <= max_mad)
-    ).withColumn("cadence", cadence(F.col("gap_median"))).where(F.col("cadence").isNotNull())
     mean = F.col("total").cast("double") / F.col("row_count")
     variance = F.col("squares").cast("double") / F.col("row_count") - mean * mean
-    found = totals.join(regular, "merchant").withColumn(
-        "cv", F.sqrt(F.greatest(variance, F.lit(0.0))) / mean).where(F.col("cv") <= max_cv)
+    totals = materialize(totals.withColumn("cv", F.sqrt(F.greatest(variance, F.lit(0.0))) / mean)
+                         .where(F.col("cv") <= max_cv), "totals")
+    likely = days.join(totals.select("merchant"), "merchant", "left_semi")
+    regular = gap_statistics(gaps(likely)).where(
+        (F.col("gap_count") >= 3) & (F.col("gap_mad") / F.col("gap_median") <= max_mad)
+    ).withColumn("cadence", cadence(F.col("gap_median"))).where(F.col("cadence").isNotNull())
+    found = totals.join(regular, "merchant")
     found = materialize(found, "found")
     amounts = (spend.join(found.select("merchant"), "merchant", "left_semi")
                .groupBy("merchant", (-F.col("signed")).alias("amount")).agg(F.count(F.lit(1)).alias("n")))
@@ -149,4 +152,6 @@ def running_balance(rows: DataFrame, opening: DataFrame, *, keys: list[str], seg
 
 def sequence_statements(statements: DataFrame, key: list[str]) -> DataFrame:
     """Per-account position of each statement by period start."""
-    return ordered_scan(statements, key, ["period_start"], ["stmt_id"], sums={"position": F.lit(1)})
+    by_year = statements.withColumn("period_year", F.year("period_start"))
+    return ordered_scan(by_year, key, ["period_year"], ["period_start", "stmt_id"],
+                        sums={"position": F.lit(1)}).drop("period_year")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
@@ -182,7 +184,8 @@ add("d17_classify_kind", lambda k, f: rows_of(k, f, CARD).select(*OUT),
   when {C.has('printed_text', V.CARD_FEE_WORDS)} then 'fee' else 'purchase' end as kind from card left join lab using (stmt_id, mmdd, amount)""")
 add("d18_strip_envelope", lambda k, f: T.ledger(k, f).select("txn_id", X.strip_envelope(F.col("description")).alias("inner_text")),
     f"with {C.TX} select txn_id, {C.envelope('description')} as inner_text from tx")
-add("d20_unparsed_report", lambda k, f: P.unparsed_report(parsed_running(k, f).unionByName(parsed_sectioned(k, f))).select("stmt_id", "text"),
+add("d20_unparsed_report", lambda k, f: P.unparsed_report(reduce(
+        lambda a, b: a.unionByName(b), [parsed(k, f) for parsed in PARSED.values()])).select("stmt_id", "text"),
     f"""with {C.TX} select stmt_id, strftime(date, '%m/%d') || ' No amount here' as text from tx where layout_name = '{RUN}' and txn_id % 35 = 4
  union all select stmt_id, 'See reverse side' from tx where layout_name = '{RUN}' and txn_id % 97 = 0
  union all select stmt_id, {C.lit(RD.LONG_LINE.strip())} from tx where layout_name = '{SEC}' and txn_id % 36 = 2""")
@@ -233,10 +236,10 @@ add("t6_clean", lambda k, f: X.with_clean(T.ledger(k, f).select("txn_id", "descr
 add("t7_titlecase", lambda k, f: T.ledger(k, f).select("txn_id", X.titlecase(F.col("description")).alias("name")),
     f"with {C.TX} select txn_id, {C.titlecase('description')} as name from tx")
 _P2P = "description like 'Zelle Payment To%'"
-add("t8_p2p", lambda k, f: T.ledger(k, f).where(_P2P).select("txn_id", X.rail_counterparty(F.col("description")).alias("who")),
-    f"""with {C.TX} select txn_id, case when description like '%Alex%' then 'ALEX' when description like '%Robin%' then 'ROBIN'
- when description like '%Casey%' then 'CASEY JONES' else '' end as who from tx where {_P2P}""")
-add("t9_inflow", lambda k, f: T.ledger(k, f).where("kind = 'deposit'").select("txn_id", "merchant", "category"),
+add("t8_p2p", lambda k, f: T.ledger(k, f).select("txn_id", X.rail_counterparty(F.col("description")).alias("who")),
+    f"""with {C.TX} select txn_id, case when {_P2P} then case when description like '%Alex%' then 'ALEX' when description like '%Robin%' then 'ROBIN'
+ when description like '%Casey%' then 'CASEY JONES' else '' end end as who from tx""")
+add("t9_inflow", lambda k, f: K.with_classification(T.transactions(k, f).where("kind = 'deposit'"), T.USER_RULES).select("txn_id", "merchant", "category"),
     on_ledger("select txn_id, merchant, category from ledger where kind = 'deposit'"))
 add("t10_normalize", lambda k, f: K.with_classification(T.transactions(k, f), T.USER_RULES).select("txn_id", "merchant", "category"),
     on_ledger("select txn_id, merchant, category from ledger"))
@@ -312,3 +315,29 @@ add("a19_run_totals_from_text", lambda k, f: proved(k, f).totals(),
  (select count(*) filter (where layout_name = '{RUN}' and txn_id % 35 = 4) + count(*) filter (where layout_name = '{RUN}' and txn_id % 97 = 0)
    + count(*) filter (where layout_name = '{SEC}' and txn_id % 36 = 2) from tx) as unparsed,
  (select count(*) from found) as problems)""", f"{ALL_CHECKS_SQL}, {PAIRS}, {MOVES}, {CONT}"))
+
+
+# --- documents that cannot be placed in time ---------------------------------------------------------------
+_LOST = "cast(split(stmt_id, '-')[0] as int) % 50 = 7"
+PERIOD_LINES = {RUN: V.RUN_PERIOD, CARD: V.CARD_PERIOD, SEC: V.SEC_PERIOD, ANC: V.ANC_BALANCE}
+
+
+def proved_with_losses(k, f):
+    """The whole way over text in which every 50th statement lacks the line its period is read from."""
+    printed = " or ".join(f"layout_name = '{n}' and text rlike {X.sql_literal(p)}" for n, p in PERIOD_LINES.items())
+    lines = RD.lines(k, f).where(f"not ({_LOST} and ({printed}))")
+    owners = T.statements(k, f).select("stmt_id", "owner")
+    return prove_lines(lines, D.detect(statement_openings(k, f)), RD.layout_lines(k, f), T.USER_RULES, T.KEY, owners)
+
+
+def documents_accounted(k, f):
+    """Per detected document whether it became a statement or a problem."""
+    found = proved_with_losses(k, f)
+    read = found.statements.select("stmt_id", F.lit("statement").alias("became"))
+    lost = found.problems.where("scope = 'document'").select("stmt_id", F.col("kind").alias("became"))
+    return read.unionByName(lost)
+
+
+add("s_documents_accounted", documents_accounted,
+    on_statements(f"""select stmt_id, case when cast(string_split(stmt_id, '-')[1] as int) % 50 <> 7 then 'statement'
+ when layout_name = '{ANC}' then 'no_balances' else 'no_period' end as became from stmts"""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
@@ -20,7 +22,7 @@ from ledgerloom.plans.check_sql import d, n, on_all, on_ledger, on_statements, s
 from ledgerloom.plans.registry import add
 from ledgerloom.sources import rules as RU
 from ledgerloom.sources import tables as TB
-from ledgerloom.storage import spread
+from ledgerloom.storage import checkpoint_root, spread
 
 L, ST = T.ledger, T.statements
 KEY = T.KEY
@@ -68,13 +70,30 @@ add("p10_is_partial_month", lambda k, f: S.with_partial_flag(S.spend_months(L(k,
 
 # --- joins ----------------------------------------------------------------------------
 add("j1_originator_lookup", lambda k, f: K.with_originator_rule(
-        L(k, f).withColumn("originator", X.ach_originator(F.col("description"))).where("originator is not null"),
+        L(k, f).withColumn("originator", X.ach_originator(F.col("description"))),
         "originator", T.read(k, f, "supplier").selectExpr(
-            "'9' || lpad(cast(s_suppkey as string), 9, '0') as pattern", "s_name as merchant", "'Housing' as category"), "hit")
+            "s_suppkey as ord", "'9' || lpad(cast(s_suppkey as string), 9, '0') as pattern", "s_name as merchant", "'Housing' as category"), "hit")
     .select("txn_id", "originator", F.col("hit.merchant").alias("rule_merchant")),
     f"""with {C.TX}, o as (select txn_id, {C.originator('description')} as originator from tx)
  select txn_id, originator, s_name as rule_merchant from o left join supplier
- on upper(trim(originator)) = '9' || lpad(cast(s_suppkey as string), 9, '0') where originator is not null""")
+ on upper(trim(originator)) = '9' || lpad(cast(s_suppkey as string), 9, '0')""")
+
+
+def repeated_ids(k, f):
+    """Two rules for each supplier's id, the later one under a padded id, and a third for every other supplier."""
+    rules = T.read(k, f, "supplier").selectExpr("s_suppkey", "s_name", "'9' || lpad(cast(s_suppkey as string), 9, '0') as id")
+    again = rules.selectExpr("s_suppkey + 1000000000 as ord", "' ' || id || ' ' as pattern", "'again ' || s_name as merchant")
+    last = rules.where("s_suppkey % 2 = 0").selectExpr("s_suppkey + 2000000000", "id", "'last ' || s_name")
+    return rules.selectExpr("s_suppkey as ord", "id as pattern", "s_name as merchant").union(again).union(last).withColumn(
+        "category", F.lit("Housing"))
+
+
+add("j1_repeated_originator_ids", lambda k, f: K.with_originator_rule(
+        L(k, f).withColumn("originator", X.ach_originator(F.col("description"))), "originator", repeated_ids(k, f), "hit")
+    .select("txn_id", F.col("hit.merchant").alias("rule_merchant")),
+    f"""with {C.TX}, o as (select txn_id, {C.originator('description')} as originator from tx)
+ select txn_id, case when s_suppkey % 2 = 0 then 'last ' else 'again ' end || s_name as rule_merchant from o left join supplier
+ on upper(trim(originator)) = '9' || lpad(cast(s_suppkey as string), 9, '0')""")
 add("j2_first_matching_rule", lambda k, f: K.with_rule_match(
         spread(S.with_match_text(L(k, f)).select(F.upper("match_text").alias("subject")).distinct(), "subject"), "subject", V.DESCRIPTOR_RULES, "hit")
     .select("subject", F.col("hit.merchant").alias("rule_merchant"), F.col("hit.category").alias("rule_category")),
@@ -326,12 +345,17 @@ MOVES = """moves as (select account, owner, (case when account = 'checking' then
 add("c12_net_position", lambda k, f: N.net_position(ST(k, f), L(k, f), KEY),
     on_statements(f"""select {d('sum(m)', 'expected')}, bool_and(m is not null) as complete, {d('(select sum(signed) from tx)', 'actual')},
  abs(sum(m) - (select sum(signed) from tx)) <= 0.01 as ok from moves""", MOVES))
-CONT = f"""found as (select 'account' as scope, account, account_last4, stmt_id, 'period_gap' as kind, cast({GAP} as decimal(28,2)) as measured, 0 as expected
+CENTS = "cast(cast({} as decimal(28,2)) as varchar)"
+CONT = f"""found as (select 'account' as scope, account, account_last4, stmt_id, 'period_gap' as kind, cast({GAP} as decimal(28,2)) as measured, 0 as expected,
+  account || ' ···' || account_last4 || ' has ' || case when {GAP} > 0 then '+' else '' end || ({GAP}) || ' days between the period ending '
+   || cast(prior_end as date) || ' and the one starting ' || cast(period_start as date) as detail
   from pairs where {GAP} <> 0
- union all select 'account', account, account_last4, stmt_id, 'balance_chain', opening_balance, prior_close from pairs where abs(prior_close - opening_balance) > 0.005
- union all select 'corpus', null, null, null, 'net_position', a, m from (select (select sum(signed) from tx) as a, sum(m) as m from moves) where abs(a - m) > 0.01)"""
-add("c13_continuity", lambda k, f: N.continuity(ST(k, f), L(k, f), KEY).drop("detail"),
-    on_statements(f"select scope, account, account_last4, stmt_id, kind, {d('measured')}, {d('expected')} from found", f"{PAIRS}, {MOVES}, {CONT}"))
+ union all select 'account', account, account_last4, stmt_id, 'balance_chain', opening_balance, prior_close,
+  account || ' ···' || account_last4 || ' opens at ' || {CENTS.format('opening_balance')} || ' after closing at ' || {CENTS.format('prior_close')}
+  from pairs where abs(prior_close - opening_balance) > 0.005
+ union all select 'corpus', null, null, null, 'net_position', a, m, 'all rows sum to ' || {CENTS.format('a')} || ', all balances to ' || {CENTS.format('m')} from (select (select sum(signed) from tx) as a, sum(m) as m from moves) where abs(a - m) > 0.01)"""
+add("c13_continuity", lambda k, f: N.continuity(ST(k, f), L(k, f), KEY),
+    on_statements(f"select scope, account, account_last4, stmt_id, kind, detail, {d('measured')}, {d('expected')} from found", f"{PAIRS}, {MOVES}, {CONT}"))
 
 
 def no_unparsed(k, f):
@@ -477,5 +501,21 @@ add("k3_write_by_category", lambda k, f: TB.export_by_category_long(L(k, f)),
     on_ledger(f""", g as (select m.month, c.category, coalesce(v, 0) as v from (select distinct month from spend) m cross join (select distinct category from spend) c
  left join (select month, category, sum(-signed) as v from spend group by 1, 2) x on x.month = m.month and x.category = c.category)
  select month, category, {d('v', 'spend')} from g union all select month, 'total', {d('sum(v)', 'spend')} from g group by 1"""))
+
+
+def written_and_read_back(k, f):
+    """What readers of the published table see after a refused and a forced write of an unclean ledger."""
+    root = f"{checkpoint_root(k)}/gated-{uuid.uuid4().hex}"
+    totals = N.run_totals(ST(k, f), L(k, f), all_checks(k, f), no_unparsed(k, f), N.continuity(ST(k, f), L(k, f), KEY))
+    tables = {"transactions": TB.export_transactions(L(k, f))}
+    if not TB.gated_write(tables, totals, root, fmt="parquet"):
+        TB.gated_write({"transactions": tables["transactions"].where(F.lit(False))}, totals, root, force=True, fmt="parquet")
+        TB.gated_write(tables, totals, root, force=True, fmt="parquet")
+    return k.read.parquet(f"{TB.current_version(k, root)}/transactions")
+
+
+add("k4_gated_write", lambda k, f: written_and_read_back(k, f).select(
+        "account", "date", "merchant", "category", "description", "amount", "signed", "kind", "source_line"),
+    on_ledger(f"select account, {s('date')}, merchant, category, description, {d('amount')}, {d('signed')}, kind, source_line from ledger"))
 add("k4_gate", lambda k, f: TB.gate(N.run_totals(ST(k, f), L(k, f), all_checks(k, f), no_unparsed(k, f), N.continuity(ST(k, f), L(k, f), KEY))),
     A19.replace("select *, failed_checks = 0", "select failed_checks, unparsed, problems, failed_checks = 0").replace("as can_generate", "as may_write"))

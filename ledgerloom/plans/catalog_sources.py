@@ -16,7 +16,23 @@ from ledgerloom.sources import rules as RU
 from ledgerloom.sources import tables as TB
 from ledgerloom.storage import checkpoint_root
 
-add("s1_discover", lambda k, f: LN.discover(k, f, "parquet").select("name", "size"))
+
+
+def _customer_files(k, f):
+    """A file of customers for each nation, in folders, beside hidden ones and files of another kind; found again."""
+    root = f"{checkpoint_root(k)}/files-{uuid.uuid4().hex}"
+    rows = T.read(k, f, "customer").select("c_nationkey", F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("value"))
+    dealt = rows.repartition("c_nationkey")
+    dealt.write.partitionBy("c_nationkey").text(f"{root}/nations")
+    dealt.write.partitionBy("c_nationkey").text(f"{root}/.hidden")
+    dealt.write.partitionBy("c_nationkey").csv(f"{root}/others")
+    return LN.discover(k, root, "TXT").select(
+        F.regexp_extract("path", "c_nationkey=([0-9]+)/", 1).alias("nation"), F.col("size").cast("bigint").alias("size"))
+
+
+add("s1_discover", _customer_files,
+    """select cast(c_nationkey as varchar) as nation,
+ cast(sum(strlen(concat_ws('|', c_custkey, c_name, c_mktsegment)) + 1) as bigint) as size from customer group by 1""")
 
 
 def _exported(k, f):
@@ -35,6 +51,15 @@ def _case_lines(k, f):
                                  .when(F.col("txn_id") % 10 == 1, "   ").otherwise(row).alias("value"))
 
 
+def _case_files(k, f):
+    """The case lines written as files and loaded again."""
+    path = f"{checkpoint_root(k)}/cases-{uuid.uuid4().hex}"
+    _case_lines(k, f).select("value").write.text(path)
+    return CS.load_eval_cases(k, path)
+
+
+add("s4_load_eval_cases_from_files", lambda k, f: _case_files(k, f).drop("line_no"),
+    on_ledger("select description, account, kind, merchant as expected_merchant, category as expected_category from ledger where txn_id % 10 > 1"))
 add("s4_load_eval_cases", lambda k, f: CS.parse_cases(_case_lines(k, f), "cases"),
     on_ledger("select txn_id as line_no, description, account, kind, merchant as expected_merchant, category as expected_category from ledger where txn_id % 10 > 1"))
 

@@ -69,19 +69,26 @@ def prove_lines(lines: DataFrame, detections: DataFrame, layout_lines: DataFrame
         heads.append(periods[name].join(P.extract_account_last4(of[name], spec), "stmt_id", "left")
                      .join(P.summary_map(summary[name]), "stmt_id", "left")
                      .withColumns({"account": F.lit(spec.account_kind), "layout_name": F.lit(name)}))
-    statements = _union(heads).where(F.col("period_start").isNotNull() & F.col("period_end").isNotNull()).withColumns({
+    heads = _union(heads).withColumns({
         "summary": F.coalesce("summary", F.create_map().cast("map<string,decimal(18,2)>")),
         "close_date": F.col("period_end"), "source_file": F.col("stmt_id")})
     if identity is not None:
-        statements = statements.join(identity, "stmt_id", "left")
-    statements = materialize(statements, "statements")
+        heads = heads.join(identity, "stmt_id", "left")
+    heads = materialize(heads, "statements")
+    readable = F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
+    statements = heads.where(readable)
 
-    parsed = materialize(_union([
+    parsed = _union([
         P.parse_running(run, periods["chase_checking"]),
         P.parse_card(of["chase_credit"], periods["chase_credit"], layout_lines),
         P.parse_sectioned(of["boa_checking"]),
         P.parse_anchored(of["wellsfargo_checking"], periods["wellsfargo_checking"]),
-    ]), "parsed")
+    ])
+    # a row of a document that cannot be placed in time is reported, not dropped
+    lost = F.col("unreadable") & (F.col("outcome") == "row")
+    parsed = materialize(parsed.join(heads.select("stmt_id", (~readable).alias("unreadable")), "stmt_id").withColumns({
+        "text": F.when(lost & (F.col("text") == ""), F.col("description")).otherwise(F.col("text")),
+        "outcome": F.when(lost, F.lit("unparsed")).otherwise(F.col("outcome"))}).drop("unreadable"), "parsed")
     carried = [c for c in dict.fromkeys(["account", "account_last4", "layout_name", *key])]
     rows = parsed.where("outcome = 'row'").drop("outcome", "text").join(
         statements.select("stmt_id", *carried, "period_start", "period_end", "source_file",
@@ -97,8 +104,18 @@ def prove_lines(lines: DataFrame, detections: DataFrame, layout_lines: DataFrame
     checks = R.total_checks(statements, transactions).unionByName(
         R.running_balance_breaks(statements, printed.where("layout_name = 'chase_checking'"),
                                  segments=["block"], order=["source_line"]))
-    return Proved(detections, statements, transactions, materialize(checks, "checks"), P.unparsed_report(parsed),
-                  N.continuity(statements, transactions, key))
+    problems = unreadable_documents(heads.where(~readable)).unionByName(N.continuity(statements, transactions, key))
+    return Proved(detections, statements, transactions, materialize(checks, "checks"), P.unparsed_report(parsed), problems)
+
+
+def unreadable_documents(heads: DataFrame) -> DataFrame:
+    """Detected documents without a period, or (anchored layout) without printed balances, as problems."""
+    dated = (F.col("layout_name") == "wellsfargo_checking") & F.col("period_end").isNotNull()
+    kind = F.when(dated, "no_balances").otherwise("no_period")
+    detail = F.when(dated, "the balances that open and close the statement were not found").otherwise(
+        "the statement period was not found")
+    return heads.select(F.lit("document").alias("scope"), *N.ACCOUNT, "stmt_id", kind.alias("kind"), detail.alias("detail"),
+                        *[F.lit(None).cast("decimal(28,2)").alias(c) for c in ("measured", "expected")])
 
 
 def prove(pages: DataFrame, layout_pages: DataFrame | None = None, rules: Rules | None = None,

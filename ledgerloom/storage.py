@@ -79,12 +79,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def measured_bytes(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> int:
-    """In-memory size of ``df``, by aggregation over it (strings and a per-row overhead)."""
-    width = F.lit(16)
+    """In-memory size of ``df``, by aggregation over it (strings, nested values and a per-row overhead)."""
+    width = F.lit(16).cast("bigint")
     for field in df.schema.fields:
         kind = field.dataType.typeName()
-        width = width + (F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
-                         if kind == "string" else F.lit(16))
+        if kind in ("string", "binary"):
+            value = F.octet_length(field.name)
+        elif kind in ("struct", "array", "map"):
+            value = 2 * F.octet_length(F.to_json(F.struct(field.name)))
+        else:
+            value = F.lit(0)
+        width = width + F.coalesce(value, F.lit(0)) + 16
     return df.select(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
 
 

@@ -102,3 +102,11 @@ def test_scorer_arithmetic(spark, cases, expected):
     df = spark.createDataFrame(cases, "merchant string, category string, expected_merchant string, expected_category string")
     got = E.eval_score(df).first()
     assert tuple(got[c] for c in ("total", "merchant_matches", "category_matches", "exact_matches", "accuracy", "coverage")) == expected
+
+
+def test_the_last_rule_of_an_id_wins(spark):
+    texts = spark.createDataFrame([("X DES:PAY ID:1 INDN:Y CO ID:9000000001 PPD", "checking", "withdrawal")], "text string, account string, kind string")
+    for extra in (0, 600):
+        rules = Rules(ach=[("9000000001", "First", "Housing"), *[(f"8{i:09d}", "Other", "Housing") for i in range(extra)],
+                           (" 9000000001 ", "Last", "Travel")])
+        assert [(r["merchant"], r["category"]) for r in K.classify_texts(texts, rules).collect()] == [("Last", "Travel")]

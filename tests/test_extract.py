@@ -212,3 +212,19 @@ def test_arriving_files(spark, folder):
     ingest(spark, inbox, os.path.join(folder, "state"), append_batch(out)).awaitTermination()
     rows = spark.read.parquet(f"{out}/transactions")
     assert {r["account"]: r["count"] for r in rows.groupBy("account").count().collect()} == {"checking": 3, "credit": 5}
+
+
+def test_no_document_vanishes(spark, folder):
+    gone = {"run": "March 01, 2025 through", "card": "Opening/Closing Date", "sec": "for June 16", "anc": "Balance on"}
+    texts = {f"no-{k}": ["Opening/Closing Date" if k == "card" and mark in x else x for x in DOCS[k] if k == "card" or mark not in x]
+             for k, mark in gone.items()} | {k: DOCS[k] for k in gone}
+    got = prove(spark.createDataFrame([(k, 1, "\n".join(v)) for k, v in texts.items()], "stmt_id string, page_no int, text string"))
+    lost = {r["stmt_id"]: r["kind"] for r in got.problems.where("scope = 'document'").collect()}
+    assert lost == {"no-run": "no_period", "no-card": "no_period", "no-sec": "no_period", "no-anc": "no_balances"}
+    assert {r["stmt_id"] for r in got.statements.collect()} == set(gone)
+    rows = got.transactions.groupBy("stmt_id").count().collect()
+    unread = {r["stmt_id"]: r["count"] for r in got.unparsed.groupBy("stmt_id").count().collect()}
+    for r in rows:
+        assert r["stmt_id"] in gone and unread[f"no-{r['stmt_id']}"] >= r["count"]
+    assert not got.write(folder)
+    assert not got.totals().first()["can_generate"]

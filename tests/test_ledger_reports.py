@@ -69,7 +69,7 @@ def test_continuity(spark):
     assert {r["stmt_id"]: (r["prior_close"], r["opening_balance"]) for r in N.balance_chain(st).collect()} == {"s2": (M("90.00"), M("95.00"))}
     found = N.continuity(st, ledger(spark, ("s0", 1, "-15", None))).collect()
     assert sorted(r["kind"] for r in found) == ["balance_chain", "period_gap", "period_gap"]
-    assert any("+5 day gap/overlap" in r["detail"] for r in found)
+    assert any("+5 days between" in r["detail"] for r in found)
     assert [r["kind"] for r in N.continuity(st, ledger(spark, ("s0", 1, "-16", None))).collect()].count("net_position") == 1
 
 

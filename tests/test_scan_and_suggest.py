@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import suggest as G
@@ -78,3 +79,24 @@ def test_suggest_rules(spark):
     assert got["Pear"]["ok"] and got["Pear"]["pattern_text"] == "-77 PEARL RIVER"
     assert not got["Fig"]["ok"] and got["Fig"]["pattern_text"] is None
     assert G.rule_pattern("A.B*(C)") == r"A\.B\*\(C\)"
+
+
+def test_a_null_key_is_refused(spark):
+    df = spark.createDataFrame([("a", 1, 1), (None, 1, 2)], "k string, s int, o int")
+    with pytest.raises(Exception, match="null in 'k'"):
+        ordered_scan(df, ["k"], ["s"], ["o"], sums={"n": F.lit(1)}).collect()
+
+
+def test_numbered_candidates_meet_few_texts(spark):
+    def tested(n):
+        texts = spark.range(n).selectExpr("'MERCHANT SHOP ' || lpad(cast(id as string), 6, '0') || ' TX' as text")
+        candidates = texts.selectExpr("text as target", "text as candidate")
+        own = G.candidate_matches(candidates, texts)
+        assert own.count() == n
+        size = G.gram_size(F.col("candidate"))
+        grams = candidates.select("candidate", F.explode(F.transform(F.sequence(F.lit(1), F.length("candidate") - size + 1),
+                                                                      lambda i: F.substr("candidate", i, size))).alias("gram"))
+        holders = grams.groupBy("gram").agg(F.countDistinct("candidate").alias("n"))
+        return grams.join(holders, "gram").groupBy("candidate").agg(F.min("n").alias("n")).agg(F.sum("n")).first()[0]
+
+    assert tested(1600) <= 4.5 * tested(400)
