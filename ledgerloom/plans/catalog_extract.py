@@ -37,6 +37,11 @@ def conversation_pages(k, f):
     return T.read(k, f, "conversations").selectExpr("conv_id as stmt_id", "cast(turn as int) + 1 as page_no", "text")
 
 
+def whole_texts(k, f):
+    """Each document as one page that no page comes before."""
+    return T.read(k, f, "documents").selectExpr("doc_id as stmt_id", "1 as page_no", "text", "0 as offset")
+
+
 def lines_sql(source: str) -> str:
     blank = "regexp_replace(trim(regexp_replace(regexp_replace(part, '[ \\t\\x{00A0}]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), '^ +| +$', '', 'g')"
     return f"""with pages0 as ({source}), sized as (select *, string_split(text, chr(10)) as parts from pages0),
@@ -45,11 +50,11 @@ def lines_sql(source: str) -> str:
  select stmt_id, cast(page_no as int) as page_no, cast(o + pos as int) as line_no, {blank} as text from ex where {blank} <> ''"""
 
 
-add("s2_explode_lines", lambda k, f: LN.explode_lines(T.read(k, f, "documents").selectExpr("doc_id as stmt_id", "1 as page_no", "text")),
+add("s2_explode_lines", lambda k, f: LN.explode_lines(whole_texts(k, f)),
     lines_sql("select doc_id as stmt_id, 1 as page_no, text from documents"))
 add("s2_explode_lines_pages", lambda k, f: LN.explode_lines(conversation_pages(k, f)),
     lines_sql("select conv_id as stmt_id, cast(turn as int) + 1 as page_no, text from conversations"))
-add("d19_drop_noise", lambda k, f: P.drop_noise(LN.explode_lines(T.read(k, f, "documents").selectExpr("doc_id as stmt_id", "1 as page_no", "text")),
+add("d19_drop_noise", lambda k, f: P.drop_noise(LN.explode_lines(whole_texts(k, f)),
                                                 r"^(Copyright|Licensed|https?://|[^a-zA-Z]*$)"),
     f"select * from ({lines_sql('select doc_id as stmt_id, 1 as page_no, text from documents')}) where not regexp_matches(text, '^(Copyright|Licensed|https?://|[^a-zA-Z]*$)')")
 

@@ -19,7 +19,7 @@ from ledgerloom.operators.spend import with_signed
 from ledgerloom.sources.lines import explode_lines
 from ledgerloom.sources.rules import Rules
 from ledgerloom.sources.tables import gated_write, export_by_category, export_statements, export_transactions
-from ledgerloom.storage import materialize
+from ledgerloom.storage import Workspace, materialize
 
 
 @dataclass
@@ -31,16 +31,23 @@ class Proved:
     checks: DataFrame
     unparsed: DataFrame
     problems: DataFrame
+    spaces: tuple[Workspace, ...] = ()
+
+    def close(self) -> None:
+        """Remove the tables of this corpus from the checkpoint folder; its frames cannot be read after that."""
+        for space in self.spaces:
+            space.close()
 
     def totals(self) -> DataFrame:
         return N.run_totals(self.statements, self.transactions, self.checks, self.unparsed, self.problems)
 
     def write(self, root: str, force: bool = False, strict: bool = False, fmt: str = "csv") -> bool:
         """Publish the three tables, only if nothing failed (or forced)."""
-        tables = {"transactions": export_transactions(self.transactions),
-                  "statements": export_statements(self.statements, self.checks),
-                  "by_category": export_by_category(self.transactions)}
-        return gated_write(tables, self.totals(), root, force=force, strict=strict, fmt=fmt)
+        with Workspace(self.transactions.sparkSession, "write"):
+            tables = {"transactions": export_transactions(self.transactions),
+                      "statements": export_statements(self.statements, self.checks),
+                      "by_category": export_by_category(self.transactions)}
+            return gated_write(tables, self.totals(), root, force=force, strict=strict, fmt=fmt)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -52,9 +59,14 @@ def prove_lines(lines: DataFrame, detections: DataFrame, layout_lines: DataFrame
     """``lines`` carry ``layout_name``; ``layout_lines`` is the card layout in reading order.
 
     ``identity`` may add columns per statement (such as an owner) that ``key`` then uses to tell
-    accounts apart.
+    accounts apart.  All intermediate tables are removed; those of the result go with ``close``.
     """
-    key = key or list(N.ACCOUNT)
+    with Workspace(lines.sparkSession, "prove") as space:
+        return _prove_lines(space, lines, detections, layout_lines, rules, key or list(N.ACCOUNT), identity)
+
+
+def _prove_lines(space: Workspace, lines: DataFrame, detections: DataFrame, layout_lines: DataFrame, rules: Rules | None,
+                 key: list[str], identity: DataFrame | None) -> Proved:
     of = {name: P.of_layout(lines, name) for name in P.SPECS}
     periods = {n: materialize(P.extract_period(of[n], s), "periods") for n, s in P.SPECS.items()}
     summary = {n: P.extract_summary(of[n], s.summary) for n, s in P.SPECS.items() if s.summary}
@@ -74,7 +86,7 @@ def prove_lines(lines: DataFrame, detections: DataFrame, layout_lines: DataFrame
         "close_date": F.col("period_end"), "source_file": F.col("stmt_id")})
     if identity is not None:
         heads = heads.join(identity, "stmt_id", "left")
-    heads = materialize(heads, "statements")
+    heads = space.keep(materialize(heads, "statements"))
     readable = F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
     statements = heads.where(readable)
 
@@ -86,9 +98,9 @@ def prove_lines(lines: DataFrame, detections: DataFrame, layout_lines: DataFrame
     ])
     # a row of a document that cannot be placed in time is reported, not dropped
     lost = F.col("unreadable") & (F.col("outcome") == "row")
-    parsed = materialize(parsed.join(heads.select("stmt_id", (~readable).alias("unreadable")), "stmt_id").withColumns({
+    parsed = space.keep(materialize(parsed.join(heads.select("stmt_id", (~readable).alias("unreadable")), "stmt_id").withColumns({
         "text": F.when(lost & (F.col("text") == ""), F.col("description")).otherwise(F.col("text")),
-        "outcome": F.when(lost, F.lit("unparsed")).otherwise(F.col("outcome"))}).drop("unreadable"), "parsed")
+        "outcome": F.when(lost, F.lit("unparsed")).otherwise(F.col("outcome"))}).drop("unreadable"), "parsed"))
     carried = [c for c in dict.fromkeys(["account", "account_last4", "layout_name", *key])]
     rows = parsed.where("outcome = 'row'").drop("outcome", "text").join(
         statements.select("stmt_id", *carried, "period_start", "period_end", "source_file",
@@ -96,7 +108,7 @@ def prove_lines(lines: DataFrame, detections: DataFrame, layout_lines: DataFrame
     rows = with_signed(rows).withColumns({
         "month": X.month_key(F.col("date")), "txn_id": F.struct("stmt_id", "source_line"),
         "descriptor": F.when(F.col("layout_name") == "boa_checking", X.strip_envelope(F.col("description"))).otherwise("")})
-    transactions = materialize(with_classification(rows, rules), "transactions")
+    transactions = space.keep(materialize(with_classification(rows, rules), "transactions"))
     counts = transactions.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("txn_count"))
     statements = statements.join(counts, "stmt_id", "left").fillna(0, ["txn_count"])
 
@@ -105,7 +117,8 @@ def prove_lines(lines: DataFrame, detections: DataFrame, layout_lines: DataFrame
         R.running_balance_breaks(statements, printed.where("layout_name = 'chase_checking'"),
                                  segments=["block"], order=["source_line"]))
     problems = unreadable_documents(heads.where(~readable)).unionByName(N.continuity(statements, transactions, key))
-    return Proved(detections, statements, transactions, materialize(checks, "checks"), P.unparsed_report(parsed), problems)
+    return Proved(detections, statements, transactions, space.keep(materialize(checks, "checks")), P.unparsed_report(parsed),
+                  space.keep(materialize(problems, "problems")), (space,))
 
 
 def unreadable_documents(heads: DataFrame) -> DataFrame:
@@ -125,8 +138,11 @@ def prove(pages: DataFrame, layout_pages: DataFrame | None = None, rules: Rules
     ``layout_pages`` is the same text in reading order, used to label card rows by section; without
     it rows are labelled by sign and words.
     """
-    detections = materialize(D.detect(D.opening_text(pages)), "detections")
-    matched = detections.where(F.col("layout_name").isNotNull()).select("stmt_id", "layout_name")
-    lines = materialize(explode_lines(pages).join(matched, "stmt_id"), "lines")
-    reading = explode_lines(layout_pages if layout_pages is not None else pages.where(F.lit(False)))
-    return prove_lines(lines, detections, reading, rules, key)
+    with Workspace(pages.sparkSession, "read") as space:
+        detections = space.keep(materialize(D.detect(D.opening_text(pages)), "detections"))
+        matched = detections.where(F.col("layout_name").isNotNull()).select("stmt_id", "layout_name")
+        lines = materialize(explode_lines(pages).join(matched, "stmt_id"), "lines")
+        reading = explode_lines(layout_pages if layout_pages is not None else pages.where(F.lit(False)))
+        proved = prove_lines(lines, detections, reading, rules, key)
+    proved.spaces += (space,)
+    return proved

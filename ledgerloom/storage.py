@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_scratch: str | None = None  # of a local session without the setting
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
@@ -23,13 +25,22 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="ledgerloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    global _scratch
+    _scratch = _scratch or tempfile.mkdtemp(prefix="ledgerloom-")
+    return _scratch
+
+
+_current: ContextVar[Workspace | None] = ContextVar("workspace", default=None)
 
 
 def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` once and read it back: a columnar, prunable lineage cut."""
+    """Write ``df`` once and read it back: a columnar, prunable lineage cut.
+
+    Inside ``with Workspace(...)`` the cut belongs to that workspace, which removes it at the end.
+    """
+    space = _current.get()
+    if space is not None:
+        return space.cut(df, name)
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -40,13 +51,27 @@ class Workspace:
     """Owner of the intermediate tables of one run.
 
     Every cut lands in one folder of its own under the shared checkpoint folder; ``close`` removes
-    all of them but those named, so a finished run leaves only its result.
+    all of them but those named, so a finished run leaves only its result.  As a context it also owns
+    what ``materialize`` cuts, and removes at its end all but what ``keep`` was told.
     """
 
     def __init__(self, spark: SparkSession, name: str = "run") -> None:
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+        self._kept: list[DataFrame] = []
+
+    def __enter__(self) -> Workspace:
+        self._token = _current.set(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        _current.reset(self._token)
+        self.close(*self._kept)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df)
+        return df
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:12]}"
@@ -55,18 +80,19 @@ class Workspace:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths[id(out)] = (out, path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Remove one cut that nothing reads any more."""
-        remove_path(self.spark, self._paths.pop(id(df)))
+        remove_path(self.spark, self._paths.pop(id(df))[1])
 
     def close(self, *keep: DataFrame) -> None:
         kept = {id(df) for df in keep}
-        for key, path in list(self._paths.items()):
+        for key, (_, path) in list(self._paths.items()):
             if key not in kept:
-                remove_path(self.spark, self._paths.pop(key))
+                del self._paths[key]
+                remove_path(self.spark, path)
         if not kept:
             remove_path(self.spark, self.root)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.proving import Proved, prove
+from ledgerloom.sources.lines import split_pages
 from ledgerloom.sources.rules import Rules
 
 
@@ -16,17 +17,21 @@ def arriving_pages(spark: SparkSession, folder: str, page_break: str = "\f", fil
     """New files of a folder as a stream of pages, one document per file."""
     files = (spark.readStream.option("maxFilesPerTrigger", files_per_batch).schema("value string")
              .text(folder, wholetext=True))
-    pages = files.select(F.col("_metadata.file_path").alias("stmt_id"),
-                         F.posexplode(F.split("value", page_break)).alias("page_no", "text"))
-    return pages.withColumn("page_no", F.col("page_no") + 1)
+    return split_pages(files.select(F.col("_metadata.file_path").alias("stmt_id"), "value"), page_break)
 
 
 def append_batch(root: str) -> Callable[[Proved, int], None]:
-    """A sink that writes a batch under its own number, so a repeated batch replaces itself."""
+    """A sink that writes a batch under its own number, so a repeated batch replaces itself.
+
+    A batch with a failed check, an unparsed line or a problem goes under ``held`` instead, for review.
+    Continuity is checked inside a batch; over all of them it is ``continuity`` on the tables written.
+    """
     def write(proved: Proved, batch: int) -> None:
-        for name in ("statements", "checks", "unparsed"):
-            getattr(proved, name).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
-        proved.transactions.drop("txn_id").write.mode("overwrite").parquet(f"{root}/transactions/batch={batch}")
+        clean = proved.totals().first()["can_generate"]
+        to = root if clean else f"{root}/held"
+        for name in ("statements", "checks", "unparsed", "problems"):
+            getattr(proved, name).write.mode("overwrite").parquet(f"{to}/{name}/batch={batch}")
+        proved.transactions.drop("txn_id").write.mode("overwrite").parquet(f"{to}/transactions/batch={batch}")
 
     return write
 
@@ -35,7 +40,9 @@ def ingest(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[Pr
            rules: Rules | None = None) -> StreamingQuery:
     """Prove each batch of arriving files and hand it to ``sink``; runs over what is there, then stops."""
     def on_batch(pages: DataFrame, batch: int) -> None:
-        sink(prove(pages, rules=rules), batch)
+        proved = prove(pages, rules=rules)
+        sink(proved, batch)
+        proved.close()
 
     return (arriving_pages(spark, folder).writeStream.foreachBatch(on_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -12,6 +12,7 @@ from ledgerloom.operators import detect as D
 from ledgerloom.operators import extract as P
 from ledgerloom.plans.proving import prove
 from ledgerloom.sources.lines import explode_lines
+from ledgerloom.storage import checkpoint_root
 
 LONG = "An advertisement that runs on and on and on and is far too long to be the rest of any description above it."
 RUNNING = ["JPMorgan Chase Bank, N.A.", "March 01, 2025 through March 31, 2025", "Account Number: 000000001234",
@@ -210,7 +211,7 @@ def test_arriving_files(spark, folder):
     ingest(spark, inbox, os.path.join(folder, "state"), append_batch(out)).awaitTermination()
     open(os.path.join(inbox, "two.txt"), "w").write("\n".join(CARD))
     ingest(spark, inbox, os.path.join(folder, "state"), append_batch(out)).awaitTermination()
-    rows = spark.read.parquet(f"{out}/transactions")
+    rows = spark.read.parquet(f"{out}/held/transactions")
     assert {r["account"]: r["count"] for r in rows.groupBy("account").count().collect()} == {"checking": 3, "credit": 5}
 
 
@@ -228,3 +229,16 @@ def test_no_document_vanishes(spark, folder):
         assert r["stmt_id"] in gone and unread[f"no-{r['stmt_id']}"] >= r["count"]
     assert not got.write(folder)
     assert not got.totals().first()["can_generate"]
+
+
+def test_a_run_leaves_only_its_result(spark, folder):
+    root = checkpoint_root(spark).removeprefix("file://")
+    os.makedirs(root, exist_ok=True)
+    before = set(os.listdir(root))
+    got = prove(spark.createDataFrame([("sec", 1, "\n".join(SECTIONED))], "stmt_id string, page_no int, text string"))
+    assert got.write(os.path.join(folder, "ledger"), force=True)
+    new = set(os.listdir(root)) - before
+    left = {name.rsplit("-", 1)[0] for run in new for name in os.listdir(os.path.join(root, run))}
+    assert left == {"detections", "statements", "transactions", "parsed", "checks", "problems"}
+    got.close()
+    assert set(os.listdir(root)) == before
