@@ -267,6 +267,29 @@ add("a21_eval_score", lambda k, f: E.eval_score(_document_cases(k, f), 0.5, 0.5)
 add("a22_eval_misses", lambda k, f: E.eval_misses(_document_cases(k, f)),
     f"with {DOC_CASES} select * from cases where merchant <> expected_merchant or category <> expected_category")
 
+
+
+def _normalize_cases(k, f):
+    """Every transaction as a case: the published outcome is expected, but for every tenth and every seventh row."""
+    expected = L(k, f).select("txn_id", F.when(F.col("txn_id") % 10 == 0, "Nobody").otherwise(F.col("merchant")).alias("expected_merchant"),
+                              F.when(F.col("txn_id") % 7 == 0, "uncategorized").otherwise(F.col("category")).alias("expected_category"))
+    cases = T.transactions(k, f).join(expected, "txn_id")
+    return E.predictions(cases, lambda rows: K.with_classification(rows, T.USER_RULES))
+
+
+_NORMALIZE = """, cases as (select txn_id, merchant, category, case when txn_id % 10 = 0 then 'Nobody' else merchant end as expected_merchant,
+ case when txn_id % 7 = 0 then 'uncategorized' else category end as expected_category from ledger)"""
+add("a21_eval_score_normalize", lambda k, f: E.eval_score(_normalize_cases(k, f)),
+    on_ledger(f"""{_NORMALIZE}, g as (select count(*) as total, count(*) filter (where merchant = expected_merchant) as merchant_matches,
+ count(*) filter (where category = expected_category) as category_matches,
+ count(*) filter (where merchant = expected_merchant and category = expected_category) as exact_matches,
+ count(*) filter (where expected_category <> 'uncategorized') as coverable,
+ count(*) filter (where expected_category <> 'uncategorized' and category <> 'uncategorized') as covered from cases)
+ select *, exact_matches / total as accuracy, covered / coverable as coverage from g"""))
+add("a22_eval_misses_normalize", lambda k, f: E.eval_misses(_normalize_cases(k, f)).select(
+        "txn_id", "merchant", "category", "expected_merchant", "expected_category"),
+    on_ledger(f"{_NORMALIZE} select * from cases where merchant <> expected_merchant or category <> expected_category"))
+
 # --- reconciliation --------------------------------------------------------------------------
 CHECK_COLUMNS = ["stmt_id", "name", "expected", "actual", "delta", "ok"]
 
@@ -502,6 +525,12 @@ add("k3_write_by_category", lambda k, f: TB.export_by_category_long(L(k, f)),
  left join (select month, category, sum(-signed) as v from spend group by 1, 2) x on x.month = m.month and x.category = c.category)
  select month, category, {d('v', 'spend')} from g union all select month, 'total', {d('sum(v)', 'spend')} from g group by 1"""))
 
+add("k3_write_by_category_wide", lambda k, f: TB.export_by_category(L(k, f)),
+    on_ledger(f""", g as (select m.month, c.category, coalesce(v, 0) as v from (select distinct month from spend) m cross join (select distinct category from spend) c
+ left join (select month, category, sum(-signed) as v from spend group by 1, 2) x on x.month = m.month and x.category = c.category),
+ cells as (select month, category, {d('v', 'spend')} from g union all select month, 'total', {d('sum(v)', 'spend')} from g group by 1)
+ select * from (pivot cells on category using first(spend) group by month)"""))
+
 
 def written_and_read_back(k, f):
     """What readers of the published table see after a refused and a forced write of an unclean ledger."""

@@ -45,6 +45,21 @@ add("s3_read_ledger", lambda k, f: _exported(k, f).select("account", "date", "mo
     on_ledger(f"select account, {s('date')}, month, merchant, category, description, {d('amount')}, {d('signed')}, kind, source_line from ledger"))
 
 
+def _picked_months(k, f):
+    """The last months of a ledger that was published in folders by month."""
+    root = f"{checkpoint_root(k)}/by-month-{uuid.uuid4().hex}"
+    clean = T.ledger(k, f).agg(*[F.lit(0).alias(c) for c in ("failed_checks", "unparsed", "problems")])
+    TB.gated_write({"transactions": TB.export_by_month(T.ledger(k, f))}, clean, root, fmt="parquet", partition_by={"transactions": ["month"]})
+    ledger = TB.read_ledger(k, TB.current_version(k, root), "parquet")
+    months = sorted(r[0] for r in ledger.select("month").distinct().collect())[-6:]
+    return ledger.where(F.col("month").isin(months))
+
+
+add("k1_ledger_by_month", lambda k, f: _picked_months(k, f).select("date", "month", "merchant", "category", "signed", "source_line"),
+    on_ledger(f"""select {s('date')}, month, merchant, category, {d('signed')}, source_line from ledger
+ where month in (select month from ledger group by 1 order by 1 desc limit 6)"""))
+
+
 def _case_lines(k, f):
     row = F.to_json(F.struct("description", "account", "kind", F.col("merchant").alias("expected_merchant"), F.col("category").alias("expected_category")))
     return T.ledger(k, f).select(F.col("txn_id").alias("line_no"), F.when(F.col("txn_id") % 10 == 0, "# a comment")

@@ -18,7 +18,8 @@ from ledgerloom.operators.classify import with_classification
 from ledgerloom.operators.spend import with_signed
 from ledgerloom.sources.lines import explode_lines
 from ledgerloom.sources.rules import Rules
-from ledgerloom.sources.tables import gated_write, export_by_category, export_statements, export_transactions
+from ledgerloom.sources.tables import (export_by_category, export_by_month, export_statements, export_transactions,
+                                      gated_write)
 from ledgerloom.storage import Workspace, materialize
 
 
@@ -44,10 +45,12 @@ class Proved:
     def write(self, root: str, force: bool = False, strict: bool = False, fmt: str = "csv") -> bool:
         """Publish the three tables, only if nothing failed (or forced)."""
         with Workspace(self.transactions.sparkSession, "write"):
-            tables = {"transactions": export_transactions(self.transactions),
+            export = export_by_month if fmt == "parquet" else export_transactions
+            tables = {"transactions": export(self.transactions),
                       "statements": export_statements(self.statements, self.checks),
                       "by_category": export_by_category(self.transactions)}
-            return gated_write(tables, self.totals(), root, force=force, strict=strict, fmt=fmt)
+            months = {"transactions": ["month"]} if fmt == "parquet" else None
+            return gated_write(tables, self.totals(), root, force=force, strict=strict, fmt=fmt, partition_by=months)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

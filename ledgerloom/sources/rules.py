@@ -40,7 +40,7 @@ def check_patterns(spark: SparkSession, patterns: list[str], where: str) -> None
     """Reject a pattern that the regex engine which will run it does not accept."""
     for pattern in patterns:
         try:
-            spark.range(1).select(F.lit("").rlike(pattern)).collect()
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
         except Exception as exc:
             raise RulesError(f"invalid regex in {where}: {pattern!r} -- {exc}") from exc
 
@@ -156,6 +156,9 @@ def save_rule(spark: SparkSession, path: str, section: str, key: str, merchant:
     out = fs.create(staged, True)
     out.write(bytearray((json.dumps(doc, indent=2, ensure_ascii=False) + "\n").encode()))
     out.close()
-    if fs.exists(fs_path):
-        fs.delete(fs_path, False)
-    fs.rename(staged, fs_path)
+    # one step replaces the old file, so there is no moment without rules
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(staged), fs.makeQualified(fs_path), how)

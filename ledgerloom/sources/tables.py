@@ -30,6 +30,11 @@ def column_names(values: DataFrame, what: str, most: int = 1000) -> list[str]:
     return names
 
 
+def export_by_month(transactions: DataFrame) -> DataFrame:
+    """The export with its month, for tables in folders by month."""
+    return export_transactions(transactions).withColumn("month", F.date_format("date", "yyyy-MM"))
+
+
 def export_transactions(transactions: DataFrame) -> DataFrame:
     """Export columns in export order, sorted."""
     if "balance" not in transactions.columns:
@@ -67,8 +72,8 @@ def gate(totals: DataFrame, force: bool = False) -> DataFrame:
 
 
 def gated_write(tables: dict[str, DataFrame], totals: DataFrame, root: str, *, force: bool = False,
-                strict: bool = False, fmt: str = "csv") -> bool:
-    """Write all tables or none.
+                strict: bool = False, fmt: str = "csv", partition_by: dict[str, list[str]] | None = None) -> bool:
+    """Write all tables or none, those named in ``partition_by`` in folders by their columns.
 
     Tables go to a staging folder first, which then becomes ``<root>/<version>``; readers follow
     ``<root>/CURRENT``, so they see the old version or the new one.  Returns whether anything was
@@ -81,7 +86,7 @@ def gated_write(tables: dict[str, DataFrame], totals: DataFrame, root: str, *, f
         staged = f"{root}/.staging-{version}"
         for name, df in tables.items():
             writer = df.write.option("header", True) if fmt == "csv" else df.write
-            writer.format(fmt).save(f"{staged}/{name}")
+            writer.format(fmt).partitionBy(*(partition_by or {}).get(name, [])).save(f"{staged}/{name}")
         hadoop = spark._jvm.org.apache.hadoop.fs
         fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.rename(hadoop.Path(staged), hadoop.Path(f"{root}/{version}")):
@@ -98,7 +103,9 @@ def current_version(spark: SparkSession, root: str) -> str:
     return f"{root}/" + spark.read.text(f"{root}/CURRENT", wholetext=True).first()["value"].strip()
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """An exported transactions table with its month."""
+def read_ledger(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """An exported transactions table with its month; in Parquet the months are folders, so a period reads its own."""
+    if fmt == "parquet":
+        return spark.read.schema(f"{TRANSACTION_SCHEMA}, month string").parquet(f"{path}/transactions")
     return (spark.read.schema(TRANSACTION_SCHEMA).option("header", True).csv(f"{path}/transactions")
             .withColumn("month", F.date_format("date", "yyyy-MM")))

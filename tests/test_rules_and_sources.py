@@ -101,3 +101,24 @@ def test_gate(spark, folder):
     assert TB.gated_write(table, totals(0), root, fmt="parquet") is True
     second = TB.current_version(spark, root)
     assert first != second and spark.read.parquet(f"{second}/transactions").count() == 3
+
+
+def test_months_are_folders(spark, folder):
+    rows = spark.createDataFrame([("2025-01", 1), ("2025-02", 2)], "month string, n int")
+    clean = spark.createDataFrame([(0, 0, 0)], "failed_checks int, unparsed int, problems int")
+    assert TB.gated_write({"transactions": rows}, clean, folder, fmt="parquet", partition_by={"transactions": ["month"]})
+    ledger = TB.read_ledger(spark, TB.current_version(spark, folder), "parquet").where("month = '2025-02'")
+    assert ledger.count() == 1
+    plan = ledger._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_a_case_without_a_field_is_refused(spark, folder):
+    lacks = write(folder, "lacks.jsonl", '# x\n{"description": "d", "account": "credit", "kind": "purchase", "expected_merchant": "m"}\n')
+    with pytest.raises(Exception, match="lacks.jsonl:2: no expected_category"):
+        CS.load_eval_cases(spark, lacks).collect()
+
+
+def test_a_bad_pattern_is_refused(spark):
+    with pytest.raises(RU.RulesError, match="invalid regex"):
+        RU.check_patterns(spark, ["fine", "("], "here")
