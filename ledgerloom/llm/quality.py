@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ def _kinds() -> np.ndarray:
 
 KINDS = _kinds()
 
-# Labellers by name; each votes good, bad or abstains on the measures of a text.
-LABELLERS = ("symbols", "tables", "capitals", "repeated_lines", "word_length", "repeated_words", "sentences", "shouts")
+# Labellers by name: each looks for one defect and abstains if it finds none; the last one votes for good prose.
+LABELLERS = ("symbols", "tables", "capitals", "shouts", "repeated_lines", "repeated_words", "word_length", "no_letters", "prose")
+PRIOR_COUNT = 50  # grams that a text is taken to have besides its own, with weight zero
 
 
 def measures(texts: list[bytes]) -> np.ndarray:
@@ -47,7 +49,7 @@ def measures(texts: list[bytes]) -> np.ndarray:
         letters = int(n[2] + n[3] + n[5])
         out[k] = (len(words), letters, n[0] / max(1, len(words)), n[7] / max(1, len(words)),
                   n[3] / max(1, n[2] + n[3]), 1 - len(set(lines)) / max(1, len(lines)),
-                  letters / max(1, len(words)), len(set(words)) / max(1, len(words)),
+                  letters / max(1, len(words)), sum(map(eq, words, words[1:])) / max(1, len(words)),
                   sum(text.count(c) for c in (b".", b"?", b"\n")) / max(1, len(words)),
                   text.count(b"!!") / max(1, len(words)))
     return out
@@ -55,22 +57,13 @@ def measures(texts: list[bytes]) -> np.ndarray:
 
 def votes(m: np.ndarray) -> np.ndarray:
     """Votes of the ``LABELLERS`` (texts, labellers) on measures."""
-    words, letters, symbols, tables, capitals, repeated, length, distinct, stops, shouts = m.T
-    enough = words >= 5
-
-    def vote(bad, good):
-        return np.where(bad, BAD, np.where(good, GOOD, ABSTAIN))
-
-    return np.stack([
-        vote((symbols > 0.3) | (letters == 0), (symbols < 0.05) & enough),
-        vote(tables > 0.1, (tables == 0) & enough),
-        vote((capitals > 0.5) & (letters > 3), (capitals < 0.2) & enough),
-        vote((repeated > 0.3) & enough, (repeated < 0.1) & enough),
-        vote((length < 2) | (length > 25), (length > 2.5) & (length < 15) & enough),
-        vote((distinct < 0.2) & (words > 50) & (words < 5000), (distinct > 0.4) & enough),
-        vote((stops < 0.005) & (words > 50), (stops > 0.02) & (stops < 0.5) & enough),
-        vote(shouts > 0.1, (shouts == 0) & enough),
-    ], axis=1).astype(np.int8)
+    words, letters, symbols, tables, capitals, repeated, length, stutter, stops, shouts = m.T
+    defects = [symbols > 0.3, tables > 0.15, (capitals > 0.5) & (letters > 20), (shouts > 0.1) & (words > 3),
+               (repeated > 0.3) & (words > 5), (stutter > 0.3) & (words > 5),
+               (words > 5) & ((length < 1.5) | (length > 25)), (letters == 0) & (words > 0)]
+    prose = ((words >= 4) & (symbols < 0.1) & (tables < 0.05) & (capitals < 0.35) & (shouts == 0) & (repeated <= 0.3)
+             & (stutter < 0.1) & (stops > 0.02))
+    return np.stack([*[np.where(d, BAD, ABSTAIN) for d in defects], np.where(prose, GOOD, ABSTAIN)], axis=1).astype(np.int8)
 
 
 @dataclass
@@ -96,10 +89,10 @@ class LabelModel:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
     """Accuracies of overlapping labellers from the counts of all vote patterns, without any true label.
 
-    Starts from the majority vote; add-one smoothing keeps every chance positive.
+    Starts from what most votes that are no abstentions say (good if there are none); add-one smoothing
+    keeps every chance positive.
     """
-    lean = patterns.sum(axis=1)
-    good = np.where(lean > patterns.shape[1] / 4, 0.9, 0.1)
+    good = np.where(patterns.sum(axis=1) >= 0, 0.9, 0.1)
     hot = np.stack([patterns == v for v in (BAD, ABSTAIN, GOOD)], axis=2).astype(float)
     model = None
     for _ in range(rounds):
@@ -127,23 +120,39 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed(value[inside]) & np.uint64(FEATURES - 1)).astype(np.int64), owner[inside]
 
 
+def bins(m: np.ndarray) -> np.ndarray:
+    """Hashed features of the measures of each text: which tenth each of them is in."""
+    tenth = np.minimum(np.floor(m[:, 2:] * 10), 30).astype(np.uint64)
+    return (mixed(tenth | (np.arange(1, tenth.shape[1] + 1, dtype=np.uint64) << np.uint64(40)))
+            & np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+def linear_scores(texts: list[bytes], m: np.ndarray, weight: np.ndarray, offset: float) -> np.ndarray:
+    """Chance of a good text: offset, mean weight of its grams (shrunk for short texts) and weights of its bins."""
+    index, owner = grams(texts)
+    total = np.bincount(owner, weights=weight[index], minlength=len(texts))
+    count = np.bincount(owner, minlength=len(texts))
+    z = offset + total / (count + PRIOR_COUNT) + weight[bins(m)].sum(axis=1)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def train_scorer(texts: list[bytes], good: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic scorer on mean hashed grams, taught by soft labels; classes weigh alike."""
+    """Weights and offset of a logistic scorer on hashed features, taught by soft labels."""
     index, owner = grams(texts)
     ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-    weight, offset = np.zeros(FEATURES, np.float32), 0.0
-    share = min(max(float(good.mean()), 1e-3), 1 - 1e-3)
+    tenths = bins(measures(texts))
+    weight = np.zeros(FEATURES, np.float32)
+    offset = float(np.log(min(max(good.mean(), 1e-3), 1 - 1e-3) / (1 - min(max(good.mean(), 1e-3), 1 - 1e-3))))
     rng = np.random.default_rng(seed)
     for epoch in range(EPOCHS):
-        rate = 20.0 / (1 + epoch)
+        rate = 1 / (1 + epoch)
         for k in rng.permutation(len(texts)).tolist():
             own = index[ends[k]:ends[k + 1]]
-            z = offset + (float(weight[own].mean()) if len(own) else 0.0)
-            p = 1 / (1 + np.exp(-min(max(z, -30), 30)))
-            step = (good[k] * (1 - p) / share - (1 - good[k]) * p / (1 - share)) / 2
-            offset += 0.02 * step
-            if len(own):
-                np.add.at(weight, own, np.float32(rate * step / len(own) * 10))
+            z = offset + float(weight[own].sum()) / (len(own) + PRIOR_COUNT) + float(weight[tenths[k]].sum())
+            step = good[k] - 1 / (1 + np.exp(-min(max(z, -30), 30)))
+            offset += 0.05 * rate * step
+            np.add.at(weight, tenths[k], np.float32(0.2 * rate * step))
+            np.add.at(weight, own, np.float32(50 * rate * step / (len(own) + PRIOR_COUNT)))
     return weight, offset
 
 
@@ -167,7 +176,7 @@ def pattern_votes(codes: np.ndarray) -> np.ndarray:
 
 
 def label_model(statements: DataFrame) -> LabelModel | None:
-    """The label model over the votes on all statements; the driver sees at most 3**8 pattern counts."""
+    """The label model over the votes on all statements; the driver sees at most 3**9 pattern counts."""
     rows = _voted(statements).groupBy("pattern").count().collect()
     if not rows:
         return None
@@ -175,14 +184,14 @@ def label_model(statements: DataFrame) -> LabelModel | None:
     return expectation_maximisation(pattern_votes(np.array([r[0] for r in rows])), np.array([r[1] for r in rows], float))
 
 
-def score_quality(statements: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def score_quality(statements: DataFrame, sample: int = SAMPLE, threshold: float = 0.35) -> DataFrame:
     """Quality of whole statement texts, learned without labelled texts.
 
     ``statements`` (stmt_id, text, ...) -> (stmt_id, weak_label, score, keep), one row per row.
     Heuristic labellers vote on every text; expectation-maximisation over the counts of all vote
     patterns estimates how often each is right; ``weak_label`` is the posterior chance of a good text.
     On passages of at most ``sample`` texts chosen by hash (at most ``SAMPLE_CHARACTERS`` each) these
-    posteriors teach a linear scorer over hashed byte grams, which scores every whole text; ``keep`` is
+    posteriors teach a linear scorer over hashed features (byte grams, and the tenth each measure is in), which scores every whole text; ``keep`` is
     score >= threshold.  A null text is empty and scores as one; repeated rows, null ids and other
     columns change nothing.
     """
@@ -208,13 +217,10 @@ def score_quality(statements: DataFrame, sample: int = SAMPLE, threshold: float
         weight, offset, model = shared.value
         for table in chunked(batches, CHUNK_BYTES, "text"):
             texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-            index, owner = grams(texts)
-            total = np.bincount(owner, weights=weight[index], minlength=len(texts))
-            count = np.bincount(owner, minlength=len(texts))
-            z = offset + total / np.maximum(count, 1)
-            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            m = measures(texts)
+            score = linear_scores(texts, m, weight, offset)
             yield pa.RecordBatch.from_arrays(
-                [table.column("stmt_id").combine_chunks(), pa.array(model.posterior(votes(measures(texts)))),
+                [table.column("stmt_id").combine_chunks(), pa.array(model.posterior(votes(m))),
                  pa.array(score), pa.array(score >= threshold)], ["stmt_id", "weak_label", "score", "keep"])
 
     return statements.select("stmt_id", "text").mapInArrow(

@@ -188,3 +188,13 @@ def test_junk_goes_and_prose_stays(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert quality.score_quality(statements(spark, rows)).count() == len(rows)
     assert quality.score_quality(statements(spark, [])).count() == 0
+
+
+def test_agrees_with_held_back_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("doc_id", "stmt_id")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = {r["stmt_id"]: r["keep"] for r in quality.score_quality(docs).collect()}
+    good = [got[i] for i, q in labels.items() if q]
+    bad = [got[i] for i, q in labels.items() if not q]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad)
