@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MOST_HASHES = 64
-LIKELY = 0.5
+LIKELY = 0.55
+FEW = 8
 TILE = 4096
 CHUNK_BYTES = 1 << 20
 
@@ -117,38 +119,76 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _unlike_components(rows: int):
-    """Pairs of one bucket tile in different components whose signatures agree in enough places."""
+def _fields(keys: list[list[int]], rows: int) -> np.ndarray:
+    """All minima of the signatures (lines, bands * rows)."""
+    packed_keys = np.array(keys, np.int64).view(np.uint64)
+    width = np.uint64(64 // rows)
+    mask = np.uint64((1 << 64 // rows) - 1)
+    return np.concatenate([(packed_keys >> (width * np.uint64(i))) & mask for i in range(rows)], axis=1)
+
+
+def _star(node: list[int], component: list[int], keys: list[list[int]], rows: int) -> list[tuple[int, int]]:
+    """All pairs of a few members; of more, each with the one most like all of them."""
+    if len(node) <= FEW:
+        return list(combinations(sorted(node), 2))
+    fields = _fields(keys, rows)
+    usual = np.empty(fields.shape[1], fields.dtype)
+    for k in range(fields.shape[1]):
+        values, counts = np.unique(fields[:, k], return_counts=True)
+        usual[k] = values[counts.argmax()]
+    middle = node[int((fields == usual).sum(axis=1).argmax())]
+    return [(min(n, middle), max(n, middle)) for n in node if n != middle]
+
+
+def _apart(node: list[int], component: list[int], keys: list[list[int]], rows: int) -> list[tuple[int, int]]:
+    """Pairs of members in different components whose signatures agree in enough places."""
+    fields, names, groups = _fields(keys, rows), np.array(node), np.array(component)
+    out = []
+    for i in range(len(node) - 1):
+        other = i + 1 + np.flatnonzero(groups[i + 1:] != groups[i])
+        other = other[(fields[other] == fields[i]).mean(axis=1) >= LIKELY] if len(other) else other
+        out += [(min(node[i], n), max(node[i], n)) for n in names[other].tolist()]
+    return out
+
+
+def _pairs(choose, rows: int):
+    """Pairs that ``choose`` takes of each tile; the rows of a tile follow one another."""
     def run(batches):
         held, key = [], None
-        def pairs():
-            node = np.array([r[0] for r in held], np.int64)
-            component = np.array([r[1] for r in held], np.int64)
-            signature = np.array([r[2] for r in held], np.int64)
-            shift = np.uint64(64 // rows)
-            fields = np.concatenate([(signature.view(np.uint64) >> (shift * np.uint64(i))) & np.uint64((1 << 64 // rows) - 1)
-                                     for i in range(rows)], axis=1).astype(np.uint32)
-            out_a, out_b = [], []
-            for i in range(len(node) - 1):
-                other = i + 1 + np.flatnonzero(component[i + 1:] != component[i])
-                other = other[(fields[other] == fields[i]).mean(axis=1) >= LIKELY]
-                out_a.append(np.full(len(other), node[i]))
-                out_b.append(node[other])
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        def chosen():
+            pairs = choose(*map(list, zip(*held)), rows)
+            a, b = zip(*pairs) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
             for tile, *row in zip(*[c.to_pylist() for c in batch.columns]):
                 if tile != key:
                     if len(held) > 1:
-                        yield pairs()
+                        yield chosen()
                     held, key = [], tile
                 held.append(row)
         if len(held) > 1:
-            yield pairs()
+            yield chosen()
 
     return run
 
 
+def _candidates(members: DataFrame, contents: DataFrame, choose, rows: int, across: bool) -> DataFrame:
+    """Candidate pairs within buckets: ``members`` (band, key, size, node, component).
+
+    A bucket over ``TILE`` members is split into blocks; ``across`` lets every two blocks meet.
+    """
+    placed = (members.join(contents.select("node", "keys"), "node")
+              .withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
+              .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1) if across else F.array("block")
+    placed = placed.withColumn("other", F.explode(others)).select(
+        F.concat_ws("/", "band", "key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
+        "node", "component", "keys")
+    return dealt(placed, "tile").sortWithinPartitions("tile").mapInArrow(_pairs(choose, rows), "a bigint, b bigint").distinct()
+
+
 def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
                     space: Workspace | None = None) -> DataFrame:
     """Lines (paragraphs) of statement texts that repeat, exactly or nearly.
@@ -161,10 +201,11 @@ def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: fl
     number are left out; repeated rows are lines of their own.  Other columns are not read.
 
     Equal lines are folded first.  Lines that share a MinHash band meet; the bands find a pair at the
-    similarity itself with ``recall``.  In a first round each line meets the first of its bucket only, so
-    a bucket of near copies costs its size; in a second round the members of a bucket that are still in
-    different components meet if their signatures make the similarity possible (agreement under ``LIKELY``
-    at a true 0.8 has a chance below 1e-7).  Every link is verified exactly.
+    similarity itself with ``recall``.  In a first round the lines of a crowded bucket meet only the one
+    whose signature is most like all of theirs, so a bucket of near copies costs its size; in a second
+    round the members of a bucket that are still in different components meet if their signatures make the
+    similarity possible (agreement under ``LIKELY`` at a true 0.8 has a chance below 1e-5).  Every link is
+    verified exactly.
     """
     spark = lines.sparkSession
     small_batches(spark)
@@ -175,25 +216,19 @@ def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: fl
     contents = space.cut(marked.groupBy("content").agg(first, F.count("*").alias("copies"), F.first("keys").alias("keys"))
                          .withColumn("node", F.monotonically_increasing_id()), "contents")
     buckets = contents.select("node", F.posexplode("keys").alias("band", "key"))
-    pivots = buckets.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = space.cut(buckets.join(pivots, ["band", "key"]), "members")
-    met = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    members = space.cut(buckets.join(shared, ["band", "key"]), "members")
+    met = space.cut(_candidates(members.withColumn("component", F.col("node")), contents, _star, rows, False), "met")
     needed = members.select("node").distinct().join(contents.select("node", "first", "content"), "node")
     needed = needed.select("node", "first.stmt_id", "first.line_no", "content")
     texts = space.cut(_texts_of(lines, needed), "texts")
     links = space.cut(_verified(met, texts, similarity), "links")
     groups = space.cut(connected_components(links, space), "components")
-    known = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_up = known.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                                F.count("*").alias("n")).where("lo <> hi and n > 2").drop("lo", "hi")
-    blocks = F.ceil(F.col("n") / TILE).cast("int")
-    open_rows = (known.join(mixed_up, ["band", "key"]).join(contents.select("node", "keys"), "node")
-                 .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                 .withColumn("tile", F.concat_ws("/", "band", "key", F.least("block", "other"), F.greatest("block", "other")))
-                 .select("tile", "node", "component", "keys"))
-    more = dealt(open_rows, "tile").sortWithinPartitions("tile").mapInArrow(_unlike_components(rows), "a bigint, b bigint")
-    more = more.distinct().join(met, ["a", "b"], "left_anti")
+    known = members.where(F.col("size") > min(FEW, TILE)).join(groups, "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    mixed_up = known.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo <> hi").select("band", "key")
+    more = _candidates(known.join(mixed_up, ["band", "key"]), contents, _apart, rows, True).join(met, ["a", "b"], "left_anti")
     links = links.union(_verified(more, texts, similarity))
     groups = connected_components(links, space)
     named = space.cut(contents.join(groups, "node", "left").select(
