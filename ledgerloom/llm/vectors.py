@@ -12,8 +12,8 @@ from ledgerloom.llm.components import connected_components
 from ledgerloom.storage import Workspace
 
 THRESHOLD = 0.95
-TILE = 2048
-ROUNDING = 1e-6
+TILE = 4096
+ROUNDING = 1e-4
 
 
 def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -29,16 +29,15 @@ def close_pairs(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.nd
 
     |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'| with |y| = 1 and |x'| <= 1 + |x - x'|, so a pair
     whose coded product plus that bound stays below the threshold cannot be close.  All others are
-    computed in double precision.  Products of codes are whole numbers below 2**24 per 1024
-    components, which single precision holds exactly; longer vectors are multiplied in double.
+    computed in double precision.  ``ROUNDING`` covers single-precision sums of up to 1024 components;
+    longer vectors are multiplied in double.  One bound serves a row: the largest loss of the other side.
     """
     units_a, codes_a, scale_a, lost_a = a
     units_b, codes_b, scale_b, lost_b = b
     kind = np.float32 if codes_a.shape[1] <= 1024 else np.float64
-    product = codes_a.astype(kind) @ codes_b.astype(kind).T
-    # product * sa * sb + la + (1 + la) * lb >= threshold, as a bound on the product
-    need = (threshold - ROUNDING - lost_a[:, None] - (1 + lost_a[:, None]) * lost_b) / (scale_a[:, None] * scale_b)
-    i, j = np.nonzero(product >= need.astype(kind) - 1)
+    product = codes_a.astype(kind) @ (codes_b * scale_b[:, None]).astype(kind).T
+    need = (threshold - ROUNDING - lost_a - (1 + lost_a) * lost_b.max()) / scale_a
+    i, j = np.nonzero(product >= need[:, None].astype(kind))
     out_i, out_j = [], []
     for first in range(0, len(i), 1 << 18):
         x, y = i[first:first + (1 << 18)], j[first:first + (1 << 18)]
