@@ -35,7 +35,7 @@ from ledgerloom.storage import Workspace
 SPAN = 50
 GRAM = 20
 CROWD = 16
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 REMOVE, COMPARE, SCATTER = 0, 1, 2
 
 # columns of the packed rows: anchors of runs, starts found, and bytes to compare
@@ -234,7 +234,7 @@ def bundles(statements: DataFrame, groups: int, carry: list[str]) -> DataFrame:
                 rows.append((int(target[part[0]]), 1, len(part),
                              freeze({"doc": ids[part], "size": sizes[part]}, TEXT, body)))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, beside.schema) as out:
+                with pa.ipc.new_stream(sink, beside.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_table(beside.take(pa.array(part)))
                 more.append(sink.getvalue().to_pybytes() if carry else None)
             batch = _rows(rows)
@@ -468,7 +468,9 @@ def without_repeated_passages(statements: DataFrame, space: Workspace | None = N
     A statement of which only blanks are left goes; one that lost nothing keeps its text (null too).
     """
     columns = statements.columns
-    cut = remove_repeated_passages(statements, space, columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(f"carried_{columns.index('text')}"))
+    beside = [c for c in columns if c != "text"]
+    no_text = "text is null"
+    cut = remove_repeated_passages(statements.withColumn(no_text, F.col("text").isNull()), space, [*beside, no_text])
+    text = F.when(~F.col(f"carried_{len(beside)}"), F.col("kept"))
     return cut.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S")).select(
-        *[(text if c == "text" else F.col(f"carried_{k}")).alias(c) for k, c in enumerate(columns)])
+        *[(text if c == "text" else F.col(f"carried_{beside.index(c)}")).alias(c) for c in columns])
