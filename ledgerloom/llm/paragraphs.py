@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.batches import Rolling, chunked, dealt, mixed, packed, small_batches
+from ledgerloom.llm.batches import Rolling, chunked, dealt, local_components, mixed, packed, small_batches
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.decontaminate import gram_hashes
 from ledgerloom.storage import Workspace
@@ -19,9 +18,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MOST_HASHES = 64
-LIKELY = 0.55
 FEW = 8
-TILE = 4096
+TILE = 1024
+COLUMNS = 4096
 CHUNK_BYTES = 1 << 20
 
 
@@ -119,74 +118,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _fields(keys: list[list[int]], rows: int) -> np.ndarray:
-    """All minima of the signatures (lines, bands * rows)."""
-    packed_keys = np.array(keys, np.int64).view(np.uint64)
-    width = np.uint64(64 // rows)
-    mask = np.uint64((1 << 64 // rows) - 1)
-    return np.concatenate([(packed_keys >> (width * np.uint64(i))) & mask for i in range(rows)], axis=1)
-
-
-def _star(node: list[int], component: list[int], keys: list[list[int]], rows: int) -> list[tuple[int, int]]:
-    """All pairs of a few members; of more, each with the one most like all of them."""
-    if len(node) <= FEW:
-        return list(combinations(sorted(node), 2))
-    fields = _fields(keys, rows)
-    usual = np.empty(fields.shape[1], fields.dtype)
-    for k in range(fields.shape[1]):
-        values, counts = np.unique(fields[:, k], return_counts=True)
-        usual[k] = values[counts.argmax()]
-    middle = node[int((fields == usual).sum(axis=1).argmax())]
-    return [(min(n, middle), max(n, middle)) for n in node if n != middle]
-
-
-def _apart(node: list[int], component: list[int], keys: list[list[int]], rows: int) -> list[tuple[int, int]]:
-    """Pairs of members in different components whose signatures agree in enough places."""
-    fields, names, groups = _fields(keys, rows), np.array(node), np.array(component)
-    out = []
-    for i in range(len(node) - 1):
-        other = i + 1 + np.flatnonzero(groups[i + 1:] != groups[i])
-        other = other[(fields[other] == fields[i]).mean(axis=1) >= LIKELY] if len(other) else other
-        out += [(min(node[i], n), max(node[i], n)) for n in names[other].tolist()]
-    return out
-
-
-def _pairs(choose, rows: int):
-    """Pairs that ``choose`` takes of each tile; the rows of a tile follow one another."""
+def linked(texts: list[bytes], similarity: float) -> np.ndarray:
+    """For each of some normal texts the first one it is connected to, by exact similarity of all pairs.
+
+    Shared shingles of all pairs are products of the incidence matrix, taken ``COLUMNS`` shingles at a
+    time; a shingle of one text only adds to no intersection and is left out.
+    """
+    words, owner = _words(texts)
+    values, at = gram_hashes(words, owner, SHINGLE)
+    pairs = np.unique(np.stack([owner[at], values]), axis=1)
+    sizes = np.bincount(pairs[0], minlength=len(texts))
+    _, column, holders = np.unique(pairs[1], return_inverse=True, return_counts=True)
+    shared = holders[column] > 1
+    line, column = pairs[0][shared], np.unique(column[shared], return_inverse=True)[1]
+    common = np.zeros((len(texts), len(texts)), np.float32)
+    for first in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        some = (column >= first) & (column < first + COLUMNS)
+        incidence = np.zeros((len(texts), COLUMNS), np.float32)
+        incidence[line[some], column[some] - first] = 1
+        common += incidence @ incidence.T
+    union = sizes[:, None] + sizes - common
+    i, j = np.nonzero(common >= similarity * union - 1e-4)
+    exact = common[i, j].astype(np.float64) / np.maximum(union[i, j], 1) >= similarity
+    return local_components(len(texts), i[exact], j[exact])
+
+
+def _crowded_links(similarity: float):
+    """A spanning forest of the links within each tile; the rows of a tile follow one another."""
     def run(batches):
-        held, key = [], None
+        nodes, texts, key = [], [], None
 
-        def chosen():
-            pairs = choose(*map(list, zip(*held)), rows)
-            a, b = zip(*pairs) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def links():
+            root = linked(texts, similarity)
+            names = np.array(nodes, np.int64)
+            apart = root != np.arange(len(root))
+            return pa.RecordBatch.from_arrays([pa.array(names[root[apart]]), pa.array(names[apart])], ["a", "b"])
 
         for batch in batches:
-            for tile, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            for tile, node, text in zip(*[c.to_pylist() for c in batch.columns]):
                 if tile != key:
-                    if len(held) > 1:
-                        yield chosen()
-                    held, key = [], tile
-                held.append(row)
-        if len(held) > 1:
-            yield chosen()
+                    if len(nodes) > 1:
+                        yield links()
+                    nodes, texts, key = [], [], tile
+                nodes.append(node)
+                texts.append(text)
+        if len(nodes) > 1:
+            yield links()
 
     return run
 
 
-def _candidates(members: DataFrame, contents: DataFrame, choose, rows: int, across: bool) -> DataFrame:
-    """Candidate pairs within buckets: ``members`` (band, key, size, node, component).
+def _within_crowded(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links within buckets of many: ``members`` (band, key, size, node).
 
-    A bucket over ``TILE`` members is split into blocks; ``across`` lets every two blocks meet.
+    A bucket over ``TILE`` members is split into blocks, and every two blocks meet in a tile of their own.
     """
-    placed = (members.join(contents.select("node", "keys"), "node")
-              .withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
-              .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1) if across else F.array("block")
-    placed = placed.withColumn("other", F.explode(others)).select(
-        F.concat_ws("/", "band", "key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
-        "node", "component", "keys")
-    return dealt(placed, "tile").sortWithinPartitions("tile").mapInArrow(_pairs(choose, rows), "a bigint, b bigint").distinct()
+    placed = (members.join(texts, "node").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
+              .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select(F.concat_ws("/", "band", "key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
+                      "node", "normal"))
+    return dealt(placed, "tile").sortWithinPartitions("tile").mapInArrow(_crowded_links(similarity), "a bigint, b bigint")
+
+
+def _within_few(members: DataFrame) -> DataFrame:
+    """All pairs of buckets of at most ``FEW`` members."""
+    few = members.groupBy("band", "key").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    pairs = few.select(F.posexplode("nodes").alias("i", "a"), "nodes").select("a", F.explode(F.slice(
+        "nodes", F.col("i") + 2, F.size("nodes"))).alias("b"))
+    return pairs.distinct()
 
 
 def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
@@ -201,14 +201,13 @@ def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: fl
     number are left out; repeated rows are lines of their own.  Other columns are not read.
 
     Equal lines are folded first.  Lines that share a MinHash band meet; the bands find a pair at the
-    similarity itself with ``recall``.  In a first round the lines of a crowded bucket meet only the one
-    whose signature is most like all of theirs, so a bucket of near copies costs its size; in a second
-    round the members of a bucket that are still in different components meet if their signatures make the
-    similarity possible (agreement under ``LIKELY`` at a true 0.8 has a chance below 1e-5).  Every link is
-    verified exactly.
+    similarity itself with ``recall``.  The pairs of a bucket of at most ``FEW`` lines are verified one by
+    one; the lines of a larger one meet in tiles, where the exact similarities of all of them are one
+    matrix product, and only a spanning forest of the links leaves a tile.  No bucket is cut short.
     """
     spark = lines.sparkSession
     small_batches(spark)
+    space_of_its_own = space is None
     space = space or Workspace(spark, "paragraphs")
     bands, rows = tune_bands(similarity, recall)
     marked = _marked(lines, bands, rows)
@@ -218,23 +217,19 @@ def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: fl
     buckets = contents.select("node", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = space.cut(buckets.join(shared, ["band", "key"]), "members")
-    met = space.cut(_candidates(members.withColumn("component", F.col("node")), contents, _star, rows, False), "met")
     needed = members.select("node").distinct().join(contents.select("node", "first", "content"), "node")
     needed = needed.select("node", "first.stmt_id", "first.line_no", "content")
     texts = space.cut(_texts_of(lines, needed), "texts")
-    links = space.cut(_verified(met, texts, similarity), "links")
-    groups = space.cut(connected_components(links, space), "components")
-    known = members.where(F.col("size") > min(FEW, TILE)).join(groups, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    mixed_up = known.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo <> hi").select("band", "key")
-    more = _candidates(known.join(mixed_up, ["band", "key"]), contents, _apart, rows, True).join(met, ["a", "b"], "left_anti")
-    links = links.union(_verified(more, texts, similarity))
+    few = F.col("size") <= FEW
+    links = space.cut(_verified(_within_few(members.where(few)), texts, similarity)
+                      .union(_within_crowded(members.where(~few), texts, similarity)), "links")
     groups = connected_components(links, space)
     named = space.cut(contents.join(groups, "node", "left").select(
         "content", "first", "copies", F.coalesce("component", "node").alias("component")), "named")
     classes = named.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("size")).where("size > 1")
     repeated = space.cut(named.join(classes, "component").select("content", "head"), "classes")
+    if space_of_its_own:
+        space.close(repeated)
     own = F.struct("stmt_id", "line_no")
     return marked.select("stmt_id", "line_no", "content").join(repeated, "content").select(
         "stmt_id", "line_no", F.col("head.stmt_id").alias("class_stmt_id"), F.col("head.line_no").alias("class_line_no"),

@@ -166,6 +166,7 @@ def near_duplicate_statements(statements: DataFrame, width: int = 4, radius: int
     Equal fingerprints are folded first, so copies cost one word; the covering masks miss no pair.
     """
     spark = statements.sparkSession
+    own = space is None
     space = space or Workspace(spark, "simhash")
     marked = space.cut(fingerprints(statements, width), "fingerprints")
     words = space.cut(marked.groupBy("fingerprint").agg(F.min("stmt_id").alias("low")), "words")
@@ -175,6 +176,8 @@ def near_duplicate_statements(statements: DataFrame, width: int = 4, radius: int
         .select("fingerprint", "low", F.coalesce("component", "fingerprint").alias("component"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     names = space.cut(named.join(lows, "component").select("fingerprint", "component_id"), "names")
+    if own:
+        space.close(marked, names)
     return marked.join(names, "fingerprint").select(
         "stmt_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -114,6 +114,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, til
     returns counts and a spanning forest of its links, never the pairs.
     """
     spark = vectors.sparkSession
+    own = space is None
     space = space or Workspace(spark, "vectors")
     rows = space.cut(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
                      .withColumn("content", F.sha2(F.to_json(F.struct("embedding")), 256)), "rows")
@@ -145,6 +146,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, til
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     result = space.cut(named.join(lows, "component").select(
         "content", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "groups")
+    if own:
+        space.close(rows, result)
     joined = rows.select("vec_id", F.when(good, F.col("content")).alias("content")).join(result, "content", "left")
     component = F.coalesce("component_id", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),

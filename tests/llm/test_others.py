@@ -96,9 +96,11 @@ def brute_lines(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile", [4096, 3])
-def test_lines_match_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("few,tile", [(8, 1024), (2, 3), (1, 1024)])
+def test_lines_match_brute_force(spark, monkeypatch, few, tile):
+    monkeypatch.setattr(paragraphs, "FEW", few)
     monkeypatch.setattr(paragraphs, "TILE", tile)
+    monkeypatch.setattr(paragraphs, "COLUMNS", 64)
     rng = random.Random(4)
     base = [prose(rng, rng.randint(3, 80)) for _ in range(25)]
     rows = []
