@@ -23,25 +23,23 @@ RESET = "<reset>"
 
 @dataclass(frozen=True)
 class LayoutSpec:
-    """What the extraction of one layout needs; a new layout is a new value, not new code."""
+    """How the headers and printed sums of one layout read; its rows have a ``parse_`` function below."""
     name: str
     account_kind: str
     period: str | None
     account_pattern: str
     summary: dict = field(default_factory=dict)
-    row: str = ""
-    noise: str | None = None
 
 
 SPECS = {
-    "chase_checking": LayoutSpec("chase_checking", "checking", V.RUN_PERIOD, V.RUN_ACCOUNT, V.RUN_SUMMARY, V.RUN_ROW, V.RUN_NOISE),
-    "chase_credit": LayoutSpec("chase_credit", "credit", V.CARD_PERIOD, V.CARD_ACCOUNT, V.CARD_SUMMARY, V.CARD_ROW, V.CARD_ROW_NOISE),
+    "chase_checking": LayoutSpec("chase_checking", "checking", V.RUN_PERIOD, V.RUN_ACCOUNT, V.RUN_SUMMARY),
+    "chase_credit": LayoutSpec("chase_credit", "credit", V.CARD_PERIOD, V.CARD_ACCOUNT, V.CARD_SUMMARY),
     "boa_checking": LayoutSpec("boa_checking", "checking", V.SEC_PERIOD, V.SEC_ACCOUNT, {
         "beginning_balance": V.SEC_BEGIN, "ending_balance": V.SEC_END,
         **{key: rf"^{name}\s+({V.PLAIN_MONEY})$" for name, key in V.SEC_SECTIONS.items()},
         **{f"total_{key}": rf"(?i)^Total {name}\s+({V.PLAIN_MONEY})$" for name, key in V.SEC_SECTIONS.items()},
-    }, V.SEC_ROW, V.SEC_NOISE),
-    "wellsfargo_checking": LayoutSpec("wellsfargo_checking", "checking", None, V.ANC_ACCOUNT, {}, V.ANC_ROW, None),
+    }),
+    "wellsfargo_checking": LayoutSpec("wellsfargo_checking", "checking", None, V.ANC_ACCOUNT),
 }
 
 
