@@ -22,6 +22,7 @@ FEW = 8
 TILE = 1024
 COLUMNS = 4096
 CHUNK_BYTES = 1 << 20
+SEEDS = mixed(np.arange(1, MOST_HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = MOST_HASHES) -> tuple[int, int]:
@@ -54,6 +55,14 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return Rolling(letters).slices(edge[::2], edge[1::2]), owner
 
 
+def _seeded(grams: np.ndarray, k: int) -> np.ndarray:
+    """Member ``k`` of the hash family: mixed again under a seed, as minima of mere multiples are correlated."""
+    h = (grams ^ SEEDS[k]) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h
+
+
 def signatures(texts: list[bytes], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (texts, bands), each of ``rows`` minima of 16 bits, and which texts have a shingle."""
     words, owner = _words(texts)
@@ -64,8 +73,7 @@ def signatures(texts: list[bytes], bands: int, rows: int) -> tuple[np.ndarray, n
     if len(grams):
         have = owner[starts]
         for k in range(bands * rows):
-            factor = np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1)
-            low = np.minimum.reduceat(grams * factor, starts)
+            low = np.minimum.reduceat(_seeded(grams, k), starts)
             keys[have, k // rows] = (keys[have, k // rows] << np.uint64(64 // rows)) | (mixed(low) >> np.uint64(64 - 64 // rows))
     known = np.zeros(len(texts), bool)
     known[owner[starts]] = True
