@@ -20,6 +20,7 @@ RECALL = 0.999
 MOST_HASHES = 64
 FEW = 8
 TILE = 1024
+TEXT_TILE = 512
 COLUMNS = 4096
 CHUNK_BYTES = 1 << 20
 SEEDS = mixed(np.arange(1, MOST_HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -84,17 +85,18 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def _marked(lines: DataFrame, bands: int, rows: int) -> DataFrame:
+def _marked(lines: DataFrame, bands: int, rows: int, short: bool = False) -> DataFrame:
     kinds = {c: lines.schema[c].dataType.simpleString() for c in ("stmt_id", "line_no")}
 
     def run(batches):
         for table in chunked(batches, CHUNK_BYTES, "text"):
             texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
             keys, known = signatures(texts, bands, rows)
-            at = np.flatnonzero(known)
+            judged = known | np.fromiter((bool(t.strip()) for t in texts), bool, len(texts)) if short else known
+            at = np.flatnonzero(judged)
             content = [hashlib.blake2b(normal(texts[k]), digest_size=16).digest() for k in at.tolist()]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands),
-                                             pa.array(keys[at].ravel()))
+            ends = np.concatenate([[0], np.cumsum(known[at] * bands)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[at[known[at]]].ravel()))
             yield pa.RecordBatch.from_arrays(
                 [table.column("stmt_id").combine_chunks().take(pa.array(at)),
                  table.column("line_no").combine_chunks().take(pa.array(at)), pa.array(content, pa.binary()), lists],
@@ -176,12 +178,12 @@ def _crowded_links(similarity: float):
     return run
 
 
-def _within_crowded(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _within_crowded(members: DataFrame, texts: DataFrame, similarity: float, tile: int) -> DataFrame:
     """Links within buckets of many: ``members`` (band, key, size, node).
 
-    A bucket over ``TILE`` members is split into blocks, and every two blocks meet in a tile of their own.
+    A bucket over ``tile`` members is split into blocks, and every two blocks meet in a tile of their own.
     """
-    placed = (members.join(texts, "node").withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int"))
+    placed = (members.join(texts, "node").withColumn("blocks", F.ceil(F.col("size") / tile).cast("int"))
               .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select(F.concat_ws("/", "band", "key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
@@ -198,27 +200,29 @@ def _within_few(members: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
-                    space: Workspace | None = None) -> DataFrame:
+                    space: Workspace | None = None, short: bool = False, tile: int | None = None) -> DataFrame:
     """Lines (paragraphs) of statement texts that repeat, exactly or nearly.
 
     ``lines`` (stmt_id, line_no, text, ...) -> (stmt_id, line_no, class_stmt_id, class_line_no, removed),
     one row per line of a class of two or more: the class is named by its first line, and all others
     are removed.  Two lines link if the Jaccard similarity of their sets of five-word shingles (words
     between blanks, A-Z lower-cased) is at least ``similarity``; classes are the components.  A line
-    under five words has no shingle and is never judged; null texts are empty; rows with a null id or
+    under five words has no shingle: it is not judged, or with ``short`` forms a class with lines of
+    the same words, if it has any.  Null texts are empty; rows with a null id or
     number are left out; repeated rows are lines of their own.  Other columns are not read.
 
     Equal lines are folded first.  Lines that share a MinHash band meet; the bands find a pair at the
     similarity itself with ``recall``.  The pairs of a bucket of at most ``FEW`` lines are verified one by
     one; the lines of a larger one meet in tiles, where the exact similarities of all of them are one
-    matrix product, and only a spanning forest of the links leaves a tile.  No bucket is cut short.
+    matrix product, and only a spanning forest of the links leaves a tile (of up to two blocks of ``tile``
+    lines, ``TILE`` if not given).  No bucket is cut short.
     """
     spark = lines.sparkSession
     small_batches(spark)
     space_of_its_own = space is None
     space = space or Workspace(spark, "paragraphs")
     bands, rows = tune_bands(similarity, recall)
-    marked = _marked(lines, bands, rows)
+    marked = _marked(lines, bands, rows, short)
     first = F.min(F.struct("stmt_id", "line_no")).alias("first")
     contents = space.cut(marked.groupBy("content").agg(first, F.count("*").alias("copies"), F.first("keys").alias("keys"))
                          .withColumn("node", F.monotonically_increasing_id()), "contents")
@@ -230,7 +234,7 @@ def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: fl
     texts = space.cut(_texts_of(lines, needed), "texts")
     few = F.col("size") <= FEW
     links = space.cut(_verified(_within_few(members.where(few)), texts, similarity)
-                      .union(_within_crowded(members.where(~few), texts, similarity)), "links")
+                      .union(_within_crowded(members.where(~few), texts, similarity, tile or TILE)), "links")
     groups = connected_components(links, space)
     named = space.cut(contents.join(groups, "node", "left").select(
         "content", "first", "copies", F.coalesce("component", "node").alias("component")), "named")
@@ -244,6 +248,21 @@ def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: fl
         (own != F.col("head")).alias("removed"))
 
 
+def first_of_each_class(statements: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL,
+                        space: Workspace | None = None) -> DataFrame:
+    """The statements that are the first of their class of near-duplicate texts, with all their columns.
+
+    ``statements`` (stmt_id, text, ...): a whole text is judged as one line of ``duplicate_lines``, short
+    ones by equal words.  Rows with a null id stay; rows of one id fold only if their texts are equal,
+    and are judged like rows of different ids else.
+    """
+    whole = statements.withColumn("line_no", F.xxhash64("text"))
+    found = duplicate_lines(whole, similarity, recall, space, short=True, tile=TEXT_TILE)
+    named = whole.where("stmt_id is not null").dropDuplicates(["stmt_id", "line_no"])
+    kept = named.join(found.where("removed").select("stmt_id", "line_no"), ["stmt_id", "line_no"], "left_anti")
+    return kept.select(*statements.columns).unionByName(statements.where("stmt_id is null"))
+
+
 def _texts_of(lines: DataFrame, needed: DataFrame) -> DataFrame:
     """The normal text of each needed line."""
     def run(batches):

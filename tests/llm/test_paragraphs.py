@@ -1,4 +1,8 @@
+import random
+
+import corpus_pipeline
 import numpy as np
+from fixtures import prose
 
 from ledgerloom.llm import paragraphs
 
@@ -15,3 +19,37 @@ def test_measured_recall_at_the_similarity():
     assert known.all() and paragraphs.jaccard(*texts[:2]) == 0.8
     missed = 1 - (keys[::2] == keys[1::2]).any(axis=1).mean()
     assert missed <= 0.0012
+
+
+def one_edit(rng, text):
+    words = text.split(" ")
+    words[rng.randrange(len(words))] = "changed"
+    return " ".join(words)
+
+
+def brute_first(rows):
+    """Rows that stay: the first of each component of equal normal texts or Jaccard 0.8 and more."""
+    texts = [paragraphs.normal(t.encode()) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if texts[a] == texts[b] or paragraphs.jaccard(texts[a], texts[b]) >= 0.8:
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    return sorted({min(r for k, r in enumerate(rows) if root[k] == g) for g in set(root)})
+
+
+def test_pipeline_stage_matches_brute_jaccard(spark):
+    rng = random.Random(2)
+    base = [prose(rng, n) for n in (60, 80, 150, 300, 300, 40)]
+    rows = [(k, t) for k, t in enumerate(base)]
+    rows += [(10 + k, one_edit(rng, base[k % 6])) for k in range(24)]
+    rows += [(50 + k, one_edit(rng, one_edit(rng, base[k % 6]))) for k in range(24)]
+    rows += [(90, "two words"), (91, "two  Words"), (92, "other"), (93, base[0].upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = stage(spark, docs, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == brute_first(rows)
+    assert stage(spark, docs.limit(0), "").count() == 0
