@@ -93,10 +93,14 @@ def op6_decontamination(spark, sf_dir):
 @query
 def op7_substring_dedup(spark, sf_dir):
     lines = documents(spark, sf_dir).select("stmt_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-    found = paragraphs.duplicate_lines(lines)
-    return found.select(F.col("stmt_id").alias("doc_id"), F.col("line_no").alias("paragraph"),
-                        F.col("class_stmt_id").alias("class_doc_id"), F.col("class_line_no").alias("class_paragraph"),
-                        "removed")
+    space = Workspace(spark, "op7")
+    found = space.cut(paragraphs.duplicate_lines(lines), "lines")
+    passages = paragraphs.repeated_passages(lines, removed=found.where("removed").select("stmt_id", "line_no"))
+    space.close(found)
+    both = found.unionByName(passages.withColumn("removed", F.lit(True)), allowMissingColumns=True)
+    return both.select(F.col("stmt_id").alias("doc_id"), F.col("line_no").alias("paragraph"),
+                       F.col("class_stmt_id").alias("class_doc_id"), F.col("class_line_no").alias("class_paragraph"),
+                       "removed", "first_word", "n_words", "class_first_word")
 
 
 @query

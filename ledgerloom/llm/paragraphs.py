@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm.batches import Rolling, chunked, dealt, local_components, mixed, packed, small_batches
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.decontaminate import gram_hashes
-from ledgerloom.storage import Workspace
+from ledgerloom.storage import Workspace, broadcast_if_small
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -21,6 +22,8 @@ MOST_HASHES = 64
 FEW = 8
 TILE = 1024
 TEXT_TILE = 512
+PASSAGE = 50
+WINDOW = 38
 COLUMNS = 4096
 CHUNK_BYTES = 1 << 20
 SEEDS = mixed(np.arange(1, MOST_HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -263,6 +266,100 @@ def first_of_each_class(statements: DataFrame, similarity: float = SIMILARITY, r
     return kept.select(*statements.columns).unionByName(statements.where("stmt_id is null"))
 
 
+def _sliding(reduce, values: np.ndarray, width: int) -> np.ndarray:
+    """``reduce`` (np.minimum or np.maximum) over every ``width`` values in a row."""
+    size = 1
+    while 2 * size <= width:
+        values = reduce(values[:-size], values[size:])
+        size *= 2
+    return reduce(values[:len(values) - (width - size)], values[width - size:])
+
+
+def windows(texts: list[bytes], passage: int = PASSAGE, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Windows of ``window`` words of the texts: text, first word and digest of each.
+
+    Of the windows that fit into ``passage`` words in a row, the one whose first five words have the
+    smallest hash is taken (equal ones all), so a run of ``passage`` words that two texts share has a
+    window that both take, whatever is around it.
+    """
+    words, owner = _words(texts)
+    none = np.zeros(0, np.int64)
+    if len(words) < passage:
+        return none, none, none
+    choices = passage - window + 1
+    grams = np.zeros(len(words), np.uint64)
+    values, at = gram_hashes(words, owner, SHINGLE)
+    grams[at] = values.astype(np.uint64) + np.uint64(1)
+    lows = _sliding(np.minimum, grams, choices)[:len(words) - passage + 1]
+    lows[owner[:len(lows)] != owner[passage - 1:]] = 0
+    edge = np.zeros(choices - 1, np.uint64)
+    lows = _sliding(np.maximum, np.concatenate([edge, lows, edge]), choices)
+    at = np.flatnonzero((lows == grams[:len(lows)]) & (lows > 0))
+    forward, back = Rolling.powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * forward[:len(words)], out=sums[1:])
+    digest = mixed((sums[at + window] - sums[at]) * back[at])
+    starts = np.searchsorted(owner, owner[at])
+    return owner[at], at - starts, digest.view(np.int64)
+
+
+def _windowed(lines: DataFrame, passage: int, window: int) -> DataFrame:
+    kinds = {c: lines.schema[c].dataType.simpleString() for c in ("stmt_id", "line_no")}
+
+    def run(batches):
+        for table in chunked(batches, CHUNK_BYTES, "text"):
+            texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+            at, first, digest = windows(texts, passage, window)
+            yield pa.RecordBatch.from_arrays(
+                [table.column(c).combine_chunks().take(pa.array(at)) for c in ("stmt_id", "line_no")]
+                + [pa.array(first.astype(np.int32)), pa.array(digest)], ["stmt_id", "line_no", "first", "digest"])
+
+    long = F.length("text") >= 2 * passage - 1
+    return lines.where("stmt_id is not null and line_no is not null").where(long).select("stmt_id", "line_no", "text") \
+        .mapInArrow(run, f"stmt_id {kinds['stmt_id']}, line_no {kinds['line_no']}, first int, digest bigint")
+
+
+def repeated_passages(lines: DataFrame, passage: int = PASSAGE, window: int = WINDOW,
+                      space: Workspace | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """Passages inside lines that an earlier place holds word for word, whatever is around them.
+
+    ``lines`` (stmt_id, line_no, text, ...) -> (stmt_id, line_no, first_word, n_words, class_stmt_id,
+    class_line_no, class_first_word): n_words words from first_word on (from 0; A-Z lower-cased, blanks
+    folded) are made of windows that earlier places (by id, line and word) hold too; the first ``window``
+    words stand first at the class's place.  Every run of ``passage`` words that two places share gives
+    at least ``window`` of its words at the later place; shorter runs may.  The rows of a line do not
+    overlap.  A window that runs into its own first place is not one more.
+    Lines of ``removed`` (stmt_id, line_no) hold nothing, so that no passage is cut for one
+    that goes itself.  Windows meet by 64-bit digests; they are folded by digest before they meet.
+    """
+    small_batches(lines.sparkSession)
+    own = space is None
+    space = space or Workspace(lines.sparkSession, "passages")
+    found = _windowed(lines, passage, window)
+    if removed is not None:
+        found = found.join(broadcast_if_small(removed), ["stmt_id", "line_no"], "left_anti")
+    found = space.cut(found, "windows")
+    place = F.struct("stmt_id", "line_no", "first")
+    repeated = space.cut(found.groupBy("digest").agg(F.min(place).alias("head"), F.count("*").alias("n"))
+                         .where("n > 1").select("digest", "head"), "repeated")
+    if own:
+        space.close(found, repeated)
+    inside = (F.col("stmt_id") == F.col("head.stmt_id")) & (F.col("line_no") == F.col("head.line_no")) \
+        & (F.col("first") < F.col("head.first") + window)
+    later = found.join(broadcast_if_small(repeated), "digest").where(~inside & (place != F.col("head")))
+    along = Window.partitionBy("stmt_id", "line_no").orderBy("first")
+    runs = later.select("stmt_id", "line_no", "first", "head", (
+        F.col("first") - F.lag("first").over(along) > window).cast("int").alias("new"))
+    runs = runs.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(along))
+    spans = runs.groupBy("stmt_id", "line_no", "run").agg(
+        F.min("first").alias("first_word"), F.max("first").alias("last"),
+        F.min(F.struct("first", "head"))["head"].alias("head"))
+    return spans.select(
+        "stmt_id", "line_no", "first_word", (F.col("last") + window - F.col("first_word")).alias("n_words"),
+        F.col("head.stmt_id").alias("class_stmt_id"), F.col("head.line_no").alias("class_line_no"),
+        F.col("head.first").alias("class_first_word"))
+
+
 def _texts_of(lines: DataFrame, needed: DataFrame) -> DataFrame:
     """The normal text of each needed line."""
     def run(batches):

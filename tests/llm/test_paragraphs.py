@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 from fixtures import prose
 
-from ledgerloom.llm import paragraphs
+from ledgerloom.llm import catalog, paragraphs
 
 
 def test_measured_recall_at_the_similarity():
@@ -53,3 +53,51 @@ def test_pipeline_stage_matches_brute_jaccard(spark):
     assert got.columns == corpus_pipeline.COLUMNS
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == brute_first(rows)
     assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def shared_runs(a, b, least):
+    """(start in a, start in b) of all runs of ``least`` equal words."""
+    at = {}
+    for j in range(len(b) - least + 1):
+        at.setdefault(tuple(b[j:j + least]), []).append(j)
+    return [(i, j) for i in range(len(a) - least + 1) for j in at.get(tuple(a[i:i + least]), [])]
+
+
+def test_passages_in_different_lines_are_found(spark):
+    rng = random.Random(9)
+    shared = [prose(rng, n) for n in (50, 51, 70, 120)]
+    rows = [(10 * k + i, i % 2, f"{prose(rng, rng.randint(0, 90))} {p} {prose(rng, rng.randint(0, 90))}".strip())
+            for k, p in enumerate(shared) for i in range(5)]
+    rows += [(100, 0, shared[2].upper().replace(" ", "  ")), (101, 0, prose(rng, 300)), (102, 0, None), (103, 0, ""),
+             (104, 0, prose(rng, 49)), (105, 0, f"{shared[3]} x {shared[3]}"), (None, 0, shared[0]), (107, 0, "one two three " * 200), (106, None, shared[0])]
+    frame = spark.createDataFrame(rows, "stmt_id bigint, line_no int, text string")
+    found = paragraphs.repeated_passages(frame).collect()
+    words = {(i, k): paragraphs.normal((t or "").encode()).split() for i, k, t in rows if i is not None and k is not None}
+    covered = {}
+    for r in found:
+        own, other = words[r["stmt_id"], r["line_no"]], words[r["class_stmt_id"], r["class_line_no"]]
+        first, n, there = r["first_word"], r["n_words"], r["class_first_word"]
+        assert n >= paragraphs.WINDOW and len(own[first:first + n]) == n
+        assert own[first:first + paragraphs.WINDOW] == other[there:there + paragraphs.WINDOW]
+        assert (r["class_stmt_id"], r["class_line_no"], there) < (r["stmt_id"], r["line_no"], first)
+        covered.setdefault((r["stmt_id"], r["line_no"]), []).append((first, n))
+    names = sorted(words)
+    for a in names:
+        for b in names:
+            if b < a:
+                for i, _ in shared_runs(words[a], words[b], paragraphs.PASSAGE):
+                    assert any(min(i + 50, f + n) - max(i, f) >= paragraphs.WINDOW for f, n in covered.get(a, [])), (a, b, i)
+    periodic = [r for r in found if r["stmt_id"] == 107]
+    assert len(periodic) == 1 and periodic[0]["first_word"] <= 41 and periodic[0]["n_words"] >= 555
+    assert len(found) >= 17 and not {101, 104} & {r["stmt_id"] for r in found}
+    assert paragraphs.repeated_passages(frame.limit(0)).count() == 0
+
+
+def test_query_gives_passages_of_foreign_documents(spark, folder):
+    rng = random.Random(10)
+    passage = prose(rng, 60)
+    texts = [f"{prose(rng, 80)} {passage} {prose(rng, 80)}", f"{passage} {prose(rng, 120)}", prose(rng, 200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    rows = catalog.QUERIES["op7_substring_dedup"](spark, folder).collect()
+    assert [(r["doc_id"], r["paragraph"], r["class_doc_id"], r["removed"]) for r in rows] == [(1, 0, 0, True)]
+    assert rows[0]["class_first_word"] == 80 + rows[0]["first_word"] and rows[0]["first_word"] + rows[0]["n_words"] <= 60
