@@ -94,7 +94,7 @@ def op6_decontamination(spark, sf_dir):
 def op7_substring_dedup(spark, sf_dir):
     lines = documents(spark, sf_dir).select("stmt_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     space = Workspace(spark, "op7")
-    found = space.cut(paragraphs.duplicate_lines(lines), "lines")
+    found = space.cut(paragraphs.duplicate_lines(lines, short=True), "lines")
     passages = paragraphs.repeated_passages(lines, removed=found.where("removed").select("stmt_id", "line_no"))
     space.close(found)
     both = found.unionByName(passages.withColumn("removed", F.lit(True)), allowMissingColumns=True)

@@ -101,3 +101,11 @@ def test_query_gives_passages_of_foreign_documents(spark, folder):
     rows = catalog.QUERIES["op7_substring_dedup"](spark, folder).collect()
     assert [(r["doc_id"], r["paragraph"], r["class_doc_id"], r["removed"]) for r in rows] == [(1, 0, 0, True)]
     assert rows[0]["class_first_word"] == 80 + rows[0]["first_word"] and rows[0]["first_word"] + rows[0]["n_words"] <= 60
+
+
+def test_query_gives_equal_short_lines(spark, folder):
+    texts = ["All rights reserved.\nfour words are here", "all  Rights reserved.\n\n ", "All rights\nfour words are there\n\n", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    rows = catalog.QUERIES["op7_substring_dedup"](spark, folder).collect()
+    got = sorted((r["doc_id"], r["paragraph"], r["class_doc_id"], r["class_paragraph"], r["removed"]) for r in rows)
+    assert got == [(0, 0, 0, 0, False), (1, 0, 0, 0, True)]
