@@ -109,3 +109,12 @@ def test_query_gives_equal_short_lines(spark, folder):
     rows = catalog.QUERIES["op7_substring_dedup"](spark, folder).collect()
     got = sorted((r["doc_id"], r["paragraph"], r["class_doc_id"], r["class_paragraph"], r["removed"]) for r in rows)
     assert got == [(0, 0, 0, 0, False), (1, 0, 0, 0, True)]
+
+
+def test_pipeline_stage_keeps_unrelated_rows_of_one_id(spark):
+    rng = random.Random(5)
+    one, other = prose(rng, 60), prose(rng, 60)
+    docs = spark.createDataFrame([(1, one, "en", "s", 1), (1, other, "en", "s", 1), (1, one, "en", "s", 1), (2, other, "en", "s", 1)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, other)])
