@@ -8,8 +8,9 @@ to ``SPAN`` bytes, so suffix order can be dealt out:
    inside its span.  Equal spans have equal anchors, and consecutive starts with one anchor form a
    *run*.  Texts are cut into runs; a run equal to one of an earlier text goes as a whole.
 2. Runs that share an anchor but not their bytes may still share some of their spans.  Only these
-   send their bytes on; their suffixes are put in order and the previous and next smaller positions
-   in that order tell the longest previous factor.
+   send their bytes on; their suffixes are put in order, by bytes and then by id, and among those that
+   agree over the span the first one's id decides.  No LCP, previous or next smaller position is
+   computed: whether the longest previous factor reaches ``SPAN`` is all that is asked.
 3. The starts found are brought back to their texts.
 
 What is equal within a chunk of texts is folded there, before a shuffle, so a passage that a third of
