@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import (decontaminate, factors, language_id, packing, paragraphs, phrases, quality, simhash,
+from ledgerloom.llm import (decontaminate, factors, language_id, language_model, packing, paragraphs, phrases, quality, simhash,
                             token_counts, url_filters, vectors)
 from ledgerloom.storage import Workspace
 
@@ -120,6 +120,11 @@ def op10_embedding_dedup(spark, sf_dir):
     return vectors.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@query
+def op11_lm_scoring(spark, sf_dir):
+    return as_documents(language_model.score_statements(documents(spark, sf_dir)))
+
+
 @query
 def op12_phrase_mining(spark, sf_dir):
     return phrases.mine_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet"), text="text", per="lang")
