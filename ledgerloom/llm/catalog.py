@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import (decontaminate, factors, language_id, language_model, packing, paragraphs, phrases, quality, simhash,
-                            token_counts, url_filters, vectors)
+from ledgerloom.llm import (decontaminate, factors, hard_negatives, language_id, language_model, packing, paragraphs,
+                            phrases, quality, simhash, token_counts, url_filters, vectors)
 from ledgerloom.storage import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,31 @@ def op11_lm_scoring(spark, sf_dir):
 @query
 def op12_phrase_mining(spark, sf_dir):
     return phrases.mine_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet"), text="text", per="lang")
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", moved))
+
+
+SQL["op13_hard_negatives"] = """
+    with vectors as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+               list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as double)) as codes
+        from embeddings
+        where label is not null and embedding is not null and len(embedding) > 0
+          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    scored as (
+        select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+               cast(list_inner_product(a.codes, b.codes) as bigint) as score
+        from vectors a join vectors b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.codes) = len(b.codes)),
+    positives as (
+        select anchor_id, other_id as positive_id, score as positive_score from scored where same
+        qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+    select anchor_id, positive_id, positive_score, s.other_id as negative_id, s.score as negative_score,
+           cast(row_number() over (partition by anchor_id, positive_id order by s.score desc, s.other_id) as integer) as rank
+    from positives join scored s using (anchor_id)
+    where not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+    qualify row_number() over (partition by anchor_id, positive_id order by s.score desc, s.other_id) <= 10"""
