@@ -140,10 +140,10 @@ def op13_hard_negatives(spark, sf_dir):
 SQL["op13_hard_negatives"] = """
     with vectors as (
         select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-               list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as double)) as codes
+               [cast(floor(256 * cast(x as double)) as double) for x in embedding] as codes
         from embeddings
         where label is not null and embedding is not null and len(embedding) > 0
-          and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+          and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
     scored as (
         select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
                cast(list_inner_product(a.codes, b.codes) as bigint) as score

@@ -81,17 +81,26 @@ def lists(ends: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes, all lowest bytes first: the upper ones of small numbers then compress to nothing."""
+    return np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def text_chunks(texts: DataFrame, per: str | None = None, carry: tuple[str, ...] = (), counted: str | None = None,
                 blanks: bytes = BLANKS, breaks: bytes = b"", limit: int = CHUNK_BYTES) -> DataFrame:
     """``texts`` (text, ...) -> (chunk, per, sizes, tokens, positions, words, counts, carried_0, ...), one row a chunk.
 
-    ``tokens`` are places in ``words``, which holds the chunk's distinct words in order of their first use;
+    ``tokens`` (as ``planes``) are places in ``words``, which holds the chunk's distinct words in order of their first use;
     ``counts`` says how often each occurs in texts whose column ``counted`` is true (all, without it).
     ``sizes`` are the numbers of words of the texts and the carried lists their other columns.  A chunk
     has one value of ``per`` only.  A null text is empty.  ``positions`` are kept only with ``breaks``.
     """
     columns = [texts.schema[c].dataType.simpleString() for c in carry]
-    schema = ", ".join(["chunk bigint, per string, sizes array<int>, tokens array<int>, positions array<int>, words binary",
+    schema = ", ".join(["chunk bigint, per string, sizes array<int>, tokens binary, positions binary, words binary",
                         "counts array<bigint>", *[f"carried_{k} array<{kind}>" for k, kind in enumerate(columns)]])
     names = [part.split(" ")[0] for part in schema.split(", ")]
 
@@ -104,7 +113,7 @@ def text_chunks(texts: DataFrame, per: str | None = None, carry: tuple[str, ...]
         counts = np.bincount(tokens[np.repeat(learned, sizes)], minlength=len(coded.dictionary))
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         arrays = [pa.array([number], pa.int64()), pa.array([value], pa.string()), one(sizes, pa.int32()),
-                  one(tokens, pa.int32()), one(positions if breaks else [], pa.int32()),
+                  pa.array([planes(tokens)], pa.binary()), pa.array([planes(positions if breaks else tokens[:0])], pa.binary()),
                   pa.array([joined(coded.dictionary)], pa.binary()), one(counts, pa.int64())]
         for k in range(len(carry)):
             column = table.column(3 + k).combine_chunks()

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.batches import partitions
-from ledgerloom.llm.chunks import (ASKED_PAIRS, array_of, ask_pairs, lists, looked_up, number_pairs, number_words,
-                                   text_chunks)
+from ledgerloom.llm.chunks import (ASKED_PAIRS, array_of, ask_pairs, from_planes, lists, looked_up, number_pairs,
+                                   number_words, text_chunks)
 from ledgerloom.storage import Workspace
 
 LEAST = 30
@@ -51,7 +51,7 @@ def _words(left: pa.Table, right: pa.Table) -> pa.Table:
     """The relation of frequent words of a chunk."""
     if not left.num_rows:
         return relation_of(0, np.zeros(0, np.int32), np.zeros(0, np.int64)).slice(0, 0)
-    tokens, positions = _row(left, "tokens", "positions")
+    tokens, positions = (from_planes(left.column(c)[0].as_py()) for c in ("tokens", "positions"))
     ids, _ = looked_up(right, int(tokens.max(initial=-1)) + 1)
     return relation_of(left.column("chunk")[0].as_py(), positions, ids[tokens])
 
@@ -93,9 +93,10 @@ def frequent_phrases(transactions: DataFrame, text: str, per: str, space: Worksp
     texts = transactions.select(F.col(text).cast("string").alias("text"),
                                 F.coalesce(F.col(per).cast("string"), F.lit(unnamed)).alias("per"))
     chunks = space.cut(text_chunks(texts, per="per", blanks=BLANKS, breaks=BREAKS), "chunks")
-    totals = chunks.groupBy("per").agg(F.sum(F.size("tokens").cast("bigint")).alias("n"))
+    totals = space.cut(chunks.groupBy("per").agg(F.sum((F.octet_length("tokens") / 8).cast("bigint")).alias("n")), "totals")
     answers = number_words(chunks, space, least)
     relation = space.cut(_answered(chunks.select("chunk", "tokens", "positions"), answers, _words), "relation")
+    space.drop(chunks)
     group = F.explode(F.arrays_zip(F.split(F.col("words").cast("string"), " ").alias("word"), "ids", "counts")).alias("g")
     none = F.array().cast("array<bigint>")
     level = answers.where("chunk is null").select("per", group).select(
@@ -105,8 +106,10 @@ def frequent_phrases(transactions: DataFrame, text: str, per: str, space: Worksp
     levels = []
     for width in range(2, longest + 1):
         answers = number_pairs(relation.mapInArrow(_asking(groups), ASKED_PAIRS), space, least)
+        shorter = relation
         if width < longest:
-            relation = space.cut(_answered(relation, answers, _longer), "relation")
+            relation = space.cut(_answered(shorter, answers, _longer), "relation")
+        space.drop(shorter)
         pairs = answers.where("chunk is null").select(
             F.explode(F.arrays_zip("ids", "counts", "first", "rest")).alias("g")).select("g.*")
         f, r = level.alias("f"), level.alias("r")
