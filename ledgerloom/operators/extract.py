@@ -1,86 +1,100 @@
-"""Statement lines to headers, summaries and transactions.
+"""Statement lines to headers, summaries and transactions, as a layout value describes them.
 
-The input is ``lines(stmt_id, page_no, line_no, text)``.  State that runs down a document (the
-current section, the open row) is an ordered scan cut at pages, so a long document is no single
-task; header fields are read off page texts, which are bounded by a page.
+The input is ``lines(stmt_id, page_no, line_no, text)``.  What a line means may depend on lines far
+above it (the open section, the table it lies in) or on a few around it (a wrapped row, a period printed over
+two lines).  Both are ordered scans cut into blocks of lines, so neither a long document nor a long page is one
+task, and no value holds a page.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
 from ledgerloom.functions import text as X
+from ledgerloom.operators.layouts import SHIPPED, Layout, Rows, Sections
 from ledgerloom.operators.scan import ordered_scan
 from ledgerloom.storage import materialize
 
-DOC, SEGMENT, ORDER = ["stmt_id"], ["page_no"], ["line_no"]
+DOC, SEGMENT, ORDER = ["stmt_id"], ["line_block"], ["line_no"]
+BLOCK_LINES = 512
+LINES_BELOW = 2
 RESET = "<reset>"
+MONEY = "decimal(18,2)"
 
-
-@dataclass(frozen=True)
-class LayoutSpec:
-    """How the headers and printed sums of one layout read; its rows have a ``parse_`` function below."""
-    name: str
-    account_kind: str
-    period: str | None
-    account_pattern: str
-    summary: dict = field(default_factory=dict)
-
-
-SPECS = {
-    "chase_checking": LayoutSpec("chase_checking", "checking", V.RUN_PERIOD, V.RUN_ACCOUNT, V.RUN_SUMMARY),
-    "chase_credit": LayoutSpec("chase_credit", "credit", V.CARD_PERIOD, V.CARD_ACCOUNT, V.CARD_SUMMARY),
-    "boa_checking": LayoutSpec("boa_checking", "checking", V.SEC_PERIOD, V.SEC_ACCOUNT, {
-        "beginning_balance": V.SEC_BEGIN, "ending_balance": V.SEC_END,
-        **{key: rf"^{name}\s+({V.PLAIN_MONEY})$" for name, key in V.SEC_SECTIONS.items()},
-        **{f"total_{key}": rf"(?i)^Total {name}\s+({V.PLAIN_MONEY})$" for name, key in V.SEC_SECTIONS.items()},
-    }),
-    "wellsfargo_checking": LayoutSpec("wellsfargo_checking", "checking", None, V.ANC_ACCOUNT),
-}
+SPECS = {layout.name: layout for layout in SHIPPED}
 
 
 def of_layout(lines: DataFrame, name: str) -> DataFrame:
     return lines.where(F.col("layout_name") == name)
 
 
-# --- headers ---------------------------------------------------------------------------
-def page_texts(lines: DataFrame) -> DataFrame:
-    """The lines of each page joined again."""
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    return lines.groupBy("stmt_id", "page_no").agg(
-        F.array_join(F.transform(parts, lambda s: s["text"]), "\n").alias("page_text"))
+def in_blocks(lines: DataFrame) -> DataFrame:
+    """Lines with the block they lie in: the segments of all scans over a document or a page."""
+    return lines.withColumn("line_block", F.floor(F.col("line_no") / BLOCK_LINES))
 
 
-def first_on_page(value: Column) -> Column:
-    """The value of the first page that has one."""
-    return F.min_by(value, F.when(value.isNotNull(), F.col("page_no")))
+# --- headers ---------------------------------------------------------------------------
+def line_windows(lines: DataFrame, below: int = LINES_BELOW) -> DataFrame:
+    """Each line with the next ones of its page under it as ``around``: what a printed phrase can run over."""
+    near = ordered_scan(in_blocks(lines.select("stmt_id", "page_no", "line_no", "text")), ["stmt_id", "page_no"], SEGMENT, ORDER,
+                        following={"under": (F.col("text"), below)})
+    return near.select("stmt_id", "line_no", F.array_join(F.concat(F.array("text"), "under"), "\n").alias("around"))
+
 
+def first_of(value: Column) -> Column:
+    """The value of the first line that has one.
 
-def extract_period(lines: DataFrame, spec: LayoutSpec) -> DataFrame:
+    The windows that hold a phrase begin at the line it starts on or above it, in order, so the first window with
+    a match has the first phrase of the text.
+    """
+    return F.min_by(value, F.when(value.isNotNull(), F.col("line_no")))
+
+
+def header_fields(lines: DataFrame, layout: Layout) -> DataFrame:
+    """One row per statement: period_start, period_end, account_last4 and what is printed in running text (``running``)."""
+    around, period = F.col("around"), layout.period
+    fields = {"digits": first_of(X.first_group(around, layout.account_number)), "p1": first_of(X.first_group(around, period.pattern))}
+    if period.opens:
+        fields |= {"p2": first_of(X.first_group(around, period.opens)), "p3": first_of(X.first_group(around, period.opens, 2))}
+    else:
+        fields["p2"] = first_of(X.first_group(around, period.pattern, 2))
+    running = {k: first_of(X.first_group(around, p)) for k, p in layout.running_text.items()}
+    if layout.balances:
+        pattern, group = layout.balances
+        found = F.regexp_extract_all(around, F.lit(pattern), F.lit(group))
+        at = F.when(F.size(found) > 0, F.col("line_no"))
+        running = {"beginning_balance": F.min_by(F.element_at(found, 1), at),
+                   "ending_balance": F.max_by(F.element_at(found, -1), at), **running}
+    wide = line_windows(lines).groupBy("stmt_id").agg(*[c.alias(n) for n, c in fields.items()],
+                                                      *[c.alias(f"run_{n}") for n, c in running.items()])
+    to_date = X.short_date if period.dates == "short" else X.long_date
+    start, end = to_date(F.col("p1")), to_date(F.col("p2"))
+    if period.opens:
+        start, end = X.year_for(F.col("p2"), F.col("p3"), start), start
+    entries = [F.struct(F.lit(k).alias("key"), X.parse_money(F.col(f"run_{k}")).cast(MONEY).alias("value")) for k in running]
+    none = F.array().cast(f"array<struct<key:string,value:{MONEY}>>")
+    return wide.select(
+        "stmt_id", start.alias("period_start"), end.alias("period_end"),
+        F.coalesce(F.right(F.regexp_replace("digits", r"\D", ""), F.lit(4)), F.lit("????")).alias("account_last4"),
+        (F.filter(F.array(*entries), lambda e: e["value"].isNotNull()) if entries else none).alias("running"))
+
+
+def extract_period(lines: DataFrame, layout: Layout) -> DataFrame:
     """``(stmt_id, period_start, period_end)``; a document without a period gets nulls (an error)."""
-    pages = page_texts(lines)
-    if spec.period is None:
-        close = first_on_page(X.first_group(F.col("page_text"), V.ANC_DATE))
-        month = first_on_page(X.first_group(F.col("page_text"), V.ANC_BALANCE, 1))
-        day = first_on_page(X.first_group(F.col("page_text"), V.ANC_BALANCE, 2))
-        found = pages.groupBy("stmt_id").agg(close.alias("c"), month.alias("m"), day.alias("d"))
-        end = X.long_date(F.col("c"))
-        return found.select("stmt_id", X.year_for(F.col("m"), F.col("d"), end).alias("period_start"), end.alias("period_end"))
-    to_date = X.short_date if spec.account_kind == "credit" else X.long_date
-    found = pages.groupBy("stmt_id").agg(*[
-        first_on_page(X.first_group(F.col("page_text"), spec.period, g)).alias(n) for g, n in ((1, "s"), (2, "e"))])
-    return found.select("stmt_id", to_date(F.col("s")).alias("period_start"), to_date(F.col("e")).alias("period_end"))
-
-
-def extract_account_last4(lines: DataFrame, spec: LayoutSpec) -> DataFrame:
-    found = page_texts(lines).groupBy("stmt_id").agg(
-        first_on_page(X.first_group(F.col("page_text"), spec.account_pattern)).alias("digits"))
-    return found.select("stmt_id", F.coalesce(F.right(F.regexp_replace("digits", r"\D", ""), F.lit(4)),
-                                              F.lit("????")).alias("account_last4"))
+    return header_fields(lines, layout).select("stmt_id", "period_start", "period_end")
+
+
+def extract_account_last4(lines: DataFrame, layout: Layout) -> DataFrame:
+    return header_fields(lines, layout).select("stmt_id", "account_last4")
+
+
+def running_summary(headers: DataFrame) -> DataFrame:
+    """Long form of what a layout prints in running text: (stmt_id, key, value)."""
+    return headers.select("stmt_id", F.inline("running"))
 
 
 def extract_summary(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -94,20 +108,18 @@ def extract_summary(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return hits.groupBy("stmt_id", "key").agg(X.parse_money(F.min_by("printed", "line_no")).alias("value"))
 
 
-def anchored_summary(lines: DataFrame) -> DataFrame:
-    """Balances and totals of the anchored layout, printed inside running text."""
-    pages = page_texts(lines)
-    text = F.col("page_text")
-    balances = F.regexp_extract_all(text, F.lit(V.ANC_BALANCE), F.lit(3))
-    some = F.size(balances) > 0
-    wide = pages.groupBy("stmt_id").agg(
-        F.min_by(F.element_at(balances, 1), F.when(some, F.col("page_no"))).alias("beginning_balance"),
-        F.max_by(F.element_at(balances, -1), F.when(some, F.col("page_no"))).alias("ending_balance"),
-        *[first_on_page(X.first_group(text, p)).alias(k) for k, p in V.ANC_TOTALS.items()])
-    keys = ["beginning_balance", "ending_balance", *V.ANC_TOTALS]
-    pairs = ", ".join(f"'{k}', {k}" for k in keys)
-    return wide.selectExpr("stmt_id", f"stack({len(keys)}, {pairs}) as (key, printed)").where("printed is not null").select(
-        "stmt_id", "key", X.parse_money(F.col("printed")).alias("value"))
+def layout_summary(lines: DataFrame, layout: Layout, headers: DataFrame) -> DataFrame | None:
+    """All printed values of a layout, long; None if it declares none."""
+    parts = []
+    if layout.summary:
+        parts.append(extract_summary(lines, layout.summary))
+    table = next((r.table for r in layout.rows if r.table), None)
+    if layout.table_summary and table:
+        counted = table_region(lines, table).where((F.col("table") == "in") | ~F.col("text").rlike(table[1]))
+        parts.append(extract_summary(counted, layout.table_summary))
+    if layout.running_text or layout.balances:
+        parts.append(running_summary(headers))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def summary_map(long: DataFrame) -> DataFrame:
@@ -116,45 +128,29 @@ def summary_map(long: DataFrame) -> DataFrame:
 
 
 # --- state down the lines -------------------------------------------------------------------
-def carried(lines: DataFrame, event: Column, name: str) -> DataFrame:
-    """Carry the last event down the document; ``<reset>`` clears it."""
-    out = ordered_scan(lines, DOC, SEGMENT, ORDER, last_seen={name: event})
-    return out.withColumn(name, F.nullif(F.col(name), F.lit(RESET)))
-
-
-def section_event() -> Column:
-    """Sectioned layout: a header opens a section; totals, the page turn and the banner close it."""
-    names = "|".join(V.SEC_SECTIONS)
+def section_event(sections: Sections) -> Column:
+    """What a line does to the current section: its name for a header, ``<reset>`` for a line that closes, else null."""
     text = F.col("text")
-    header = F.regexp_extract(text, rf"^({names}|{V.SEC_BANNER})(?: - continued)?$", 1)
-    return (F.when(text.rlike(rf"(?i)^Total ({names})\s+{V.PLAIN_MONEY}$"), RESET)
-            .when(header == V.SEC_BANNER, RESET).when(header != "", header)
-            .when(text.startswith(V.SEC_CONTINUED), RESET))
-
+    header = F.regexp_extract(text, rf"^({'|'.join(sections.names)}){sections.suffix}$", 1)
+    names = F.create_map(*[F.lit(x) for pair in sections.names.items() for x in pair])
+    closes = reduce(lambda a, b: a | b, [text.rlike(p) for p in sections.closed_by], F.lit(False))
+    return F.when(closes, RESET).when(header != "", F.try_element_at(names, header))
 
-def assign_section(lines: DataFrame) -> DataFrame:
-    """Each line of the sectioned layout with the section it lies in, null outside."""
-    return carried(lines, section_event(), "section")
 
+def assign_section(lines: DataFrame, sections: Sections = SPECS["boa_checking"].sections) -> DataFrame:
+    """Each line with the section it lies in, null outside; carried over blocks, and over pages unless a page starts anew."""
+    keys = ["stmt_id", "page_no"] if sections.per_page else DOC
+    out = ordered_scan(in_blocks(lines), keys, SEGMENT, ORDER, last_seen={"section": section_event(sections)})
+    return out.withColumn("section", F.nullif(F.col("section"), F.lit(RESET)))
 
-def card_section_event() -> Column:
-    """Card layout: a header line names a kind; the rate table stops it."""
-    event = F.when(F.col("text").rlike(V.CARD_SECTION_STOP), RESET)
-    for header, kind in V.CARD_SECTIONS.items():
-        event = event.when(F.col("text") == header, kind)
-    return event
 
-
-def section_labels(layout_lines: DataFrame) -> DataFrame:
-    """(MM/DD, amount) to section, from lines in reading order; keys under two sections are dropped.
-
-    A page starts without a section, so the scan is keyed by page.
-    """
-    placed = ordered_scan(layout_lines, ["stmt_id", "page_no"], [], ORDER, last_seen={"section": card_section_event()})
-    rows = placed.withColumn("section", F.nullif(F.col("section"), F.lit(RESET))).where(
-        F.col("section").isNotNull() & F.col("text").rlike(V.CARD_ROW) & ~F.col("text").isin(list(V.CARD_SECTIONS)))
+def section_labels(layout_lines: DataFrame, layout: Layout = SPECS["chase_credit"]) -> DataFrame:
+    """(MM/DD, amount) to section, from lines in reading order; keys under two sections are dropped."""
+    spec = next(r for r in layout.rows if r.kind == "section")
+    placed = assign_section(layout_lines, layout.sections)
+    rows = placed.where(F.col("section").isNotNull() & F.col("text").rlike(spec.pattern) & ~F.col("text").isin(list(layout.sections.names)))
     return rows.groupBy("stmt_id", F.substring("text", 1, 5).alias("mmdd"),
-                        X.parse_money(F.regexp_extract("text", V.CARD_ROW, 4)).alias("amount")).agg(
+                        X.parse_money(F.regexp_extract("text", spec.pattern, spec.fields.index("amount") + 1)).alias("amount")).agg(
         F.min("section").alias("section"), F.max("section").alias("other")).where("section = other").drop("other")
 
 
@@ -180,37 +176,39 @@ def assemble_wrapped_rows(lines: DataFrame, row: str, noise: str | None, flush:
     ``row`` is a row with the number of its first line.  A start, a complete row or a flush line
     gives up an unfinished buffer; so does a seventh line.  Lines outside a buffer are noise or
     unparsed.  ``outcome`` is ``row`` or ``unparsed``.
+
+    Six lines above and below decide about a line, so one scan lends blocks those of their neighbours, and each
+    line then tells its outcome by itself: a start that of its whole buffer, other lines whether one holds them.
     """
-    text = F.col("text")
-    df = lines.withColumn("role", F.when(flush, "flush").when(text.rlike(row), "whole")
-                          .when(starts_row(text), "start").otherwise("more"))
-    boundary = F.col("role") != "more"
-    df = df.select(*DOC, *SEGMENT, *ORDER, "text", "role")
-    df = materialize(ordered_scan(df, DOC, SEGMENT, ORDER, sums={"group_no": boundary.cast("int"), "index": F.lit(1)}), "scan")
-    # four branches below read the outcome of the scans
-    df = materialize(ordered_scan(df, DOC, SEGMENT, ORDER, last_seen={
-        "head": F.when(boundary, F.struct("role", "index"))}), "buffers")
-    position = F.coalesce(F.col("index") - F.col("head.index"), F.lit(0))
-    buffered = (F.col("head.role") == "start") & (position <= V.MAX_WRAPPED_LINES)
+    text, most = F.col("text"), V.MAX_WRAPPED_LINES
+    role = (F.when(flush, "flush").when(text.rlike(row), "whole").when(starts_row(text), "start").otherwise("more"))
+    df = in_blocks(lines.select(*DOC, *ORDER, "text", role.alias("role")))
+    df = ordered_scan(df, DOC, SEGMENT, ORDER, preceding={"above": (F.col("role"), most)},
+                      following={"below": (F.struct("line_no", "text", "role"), most)})
+    opener = F.try_element_at(F.filter("above", lambda r: r != "more"), F.lit(-1))
     quiet = F.lit(False) if noise is None else text.rlike(noise)
-    loose = df.where(~F.coalesce(buffered, F.lit(False)) & (F.col("role") == "more") & ~quiet).select(
-        *DOC, "line_no", "text", F.lit("unparsed").alias("outcome"))
-    whole = df.where(F.col("role") == "whole").select(*DOC, "line_no", "text", F.lit("row").alias("outcome"))
-
-    # at most seven lines of a buffer come together
-    groups = df.where(buffered).groupBy(*DOC, "group_no").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("parts"))
-    groups = groups.withColumn("texts", F.transform("parts", lambda p: p["text"]))
-    matched = F.expr(f"get(filter(sequence(1, size(texts)), k -> array_join(slice(texts, 1, k), ' ') rlike {X.sql_literal(row)}), 0)")
-    groups = groups.withColumn("taken", matched)
-    joined = groups.where("taken is not null").select(
-        *DOC, F.col("parts")[0]["line_no"].alias("line_no"),
-        F.expr("array_join(slice(texts, 1, taken), ' ')").alias("text"), F.lit("row").alias("outcome"))
-    left = groups.select(*DOC, "taken", F.posexplode("parts").alias("pos", "p")).where(
-        F.col("taken").isNull() | ((F.col("pos") >= F.col("taken"))
-                                   & (F.lit(True) if noise is None else ~F.col("p.text").rlike(noise)))).select(
-        *DOC, F.col("p.line_no").alias("line_no"), F.col("p.text").alias("text"), F.lit("unparsed").alias("outcome"))
-    return whole.unionByName(joined).unionByName(loose).unionByName(left)
+    loose = (F.col("role") == "more") & ~F.coalesce(opener == "start", F.lit(False)) & ~quiet
+    stop = F.coalesce(F.expr("get(filter(sequence(1, size(below)), i -> below[i - 1].role <> 'more'), 0)") - 1, F.size("below"))
+    own = F.struct("line_no", "text")
+    df = df.withColumn("parts", F.when(F.col("role") == "start", F.concat(F.array(own), F.transform(
+        F.when(stop > 0, F.slice("below", F.lit(1), stop)).otherwise(F.slice("below", 1, 0)),
+        lambda b: F.struct(b["line_no"].alias("line_no"), b["text"].alias("text"))))))
+    df = df.withColumn("texts", F.transform("parts", lambda p: p["text"]))
+    df = df.withColumn("taken", F.when(F.col("role") == "start", F.expr(
+        f"get(filter(sequence(1, size(texts)), k -> array_join(slice(texts, 1, k), ' ') rlike {X.sql_literal(row)}), 0)")))
+
+    def out(line: Column, value: Column, outcome: str) -> Column:
+        return F.struct(line.alias("line_no"), value.alias("text"), F.lit(outcome).alias("outcome"))
+
+    taken = F.col("taken")
+    joined = out(F.col("line_no"), F.expr("array_join(slice(texts, 1, taken), ' ')"), "row")
+    rest = F.filter(F.expr("slice(parts, taken + 1, size(parts))"), lambda p: F.lit(True) if noise is None else ~p["text"].rlike(noise))
+    lost = lambda parts: F.transform(parts, lambda p: out(p["line_no"], p["text"], "unparsed"))
+    found = (F.when(F.col("role") == "whole", F.array(out(F.col("line_no"), text, "row")))
+             .when(loose, F.array(out(F.col("line_no"), text, "unparsed")))
+             .when(taken.isNotNull(), F.concat(F.array(joined), lost(rest)))
+             .when(F.col("role") == "start", lost(F.col("parts"))))
+    return df.where(loose | F.col("role").isin("whole", "start")).select(*DOC, F.inline(found))
 
 
 def append_continuations(lines: DataFrame, row: str, noise: str, reset: Column,
@@ -218,22 +216,26 @@ def append_continuations(lines: DataFrame, row: str, noise: str, reset: Column,
     """Rows whose description runs on below the amount: ``(stmt_id, line_no, text, more, section, outcome)``.
 
     Short lines that are neither rows nor noise belong to the row above in the same section; long
-    ones, and those without a row above, are unparsed.  ``lines`` carry ``section``.
+    ones, and those without a row above, are unparsed.  ``lines`` carry ``section``.  Texts are joined inside
+    a block of lines, then over blocks, so very many lines below one row are no single sort.
     """
     text = F.col("text")
     df = lines.withColumn("role", F.when(reset, "reset").when(F.col("section").isNull(), "outside")
                           .when(text.rlike(row), "row").when(text.rlike(noise), "noise")
                           .when(F.length(text) <= longest, "short").otherwise("long"))
     opens = F.col("role").isin("row", "reset")
-    df = df.select(*DOC, *SEGMENT, *ORDER, "text", "section", "role")
+    df = in_blocks(df).select(*DOC, *SEGMENT, *ORDER, "text", "section", "role")
     df = materialize(ordered_scan(df, DOC, SEGMENT, ORDER, sums={"group_no": opens.cast("int")},
                                   last_seen={"opened_by": F.when(opens, F.col("role"))}), "sections")
     belongs = (F.col("role") == "short") & (F.col("opened_by") == "row")
-    rows = df.where((F.col("role") == "row") | belongs).groupBy(*DOC, "group_no").agg(
-        F.min("line_no").alias("line_no"), F.min_by("text", "line_no").alias("text"), F.min_by("section", "line_no").alias("section"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "short", F.struct("line_no", "text")))),
-                                 lambda s: s["text"]), " ").alias("more"))
-    rows = rows.select(*DOC, "line_no", "text", "more", "section", F.lit("row").alias("outcome"))
+    is_row = F.col("role") == "row"
+    by_block = df.where(is_row | belongs).groupBy(*DOC, "group_no", *SEGMENT).agg(
+        F.max(F.when(is_row, F.struct("line_no", "text", "section"))).alias("head"),
+        F.expr("listagg(case when role = 'short' then text end, ' ') within group (order by line_no)").alias("part"))
+    rows = by_block.groupBy(*DOC, "group_no").agg(
+        F.max("head").alias("head"), F.expr("listagg(part, ' ') within group (order by line_block)").alias("more"))
+    rows = rows.select(*DOC, "head.line_no", "head.text", F.coalesce("more", F.lit("")).alias("more"), "head.section",
+                       F.lit("row").alias("outcome"))
     rest = df.where((F.col("role") == "long") | ((F.col("role") == "short") & ~F.coalesce(belongs, F.lit(False)))).select(
         *DOC, "line_no", "text", F.lit("").alias("more"), "section", F.lit("unparsed").alias("outcome"))
     return rows.unionByName(rest)
@@ -275,80 +277,92 @@ def slice_between(lines: DataFrame, anchors: DataFrame, start: str, end: str) ->
         (F.col("line_no") >= F.col("lo")) & (F.col("line_no") < F.col("hi"))).drop("lo", "hi")
 
 
+def table_region(lines: DataFrame, table: tuple[str, str] = (V.RUN_TABLE_HEADER, V.RUN_END)) -> DataFrame:
+    """Whether the lines above left the scan inside the table that (header, end) lines bound: ``table`` is in, out or null."""
+    event = F.when(F.col("text").rlike(table[0]), "in").when(F.col("text").rlike(table[1]), "out")
+    return ordered_scan(in_blocks(lines), DOC, SEGMENT, ORDER, seen_before={"table": event})
+
+
 # --- whole layouts -------------------------------------------------------------------------------
 ROW_COLUMNS = ["stmt_id", "source_line", "date", "description", "amount", "kind", "balance", "outcome", "text"]
 
 
-def _row(df: DataFrame, date: Column, description: Column, amount: Column, kind: Column, balance: Column | None = None) -> DataFrame:
-    """Parsed rows; a row whose date cannot be placed is unparsed."""
-    parsed = df.withColumns({"source_line": F.col("line_no"), "date": date, "description": X.squeeze(description), "amount": amount,
-                             "balance": F.lit(None).cast("decimal(18,2)") if balance is None else balance})
-    parsed = parsed.withColumn("kind", kind)
+def with_fields(df: DataFrame, pattern: str, fields: tuple[str, ...]) -> tuple[DataFrame, dict[str, Column]]:
+    """All capture groups of ``text`` from one regex pass; null where the text does not match."""
+    mark = "\x01"
+    df = df.withColumn("parts", F.split(F.regexp_replace("text", pattern, mark.join(f"${g}" for g in range(1, len(fields) + 1))), mark))
+    return df, {n: F.get("parts", F.lit(g)) if g else F.when(F.size("parts") > 1, F.get("parts", F.lit(0)))
+                for g, n in enumerate(fields)}
+
+
+def _part(lines: DataFrame, layout: Layout, spec: Rows, anchors: DataFrame | None) -> DataFrame:
+    """The lines that ``spec`` reads, with ``section`` where the layout has sections of rows."""
+    part = lines
+    if spec.table:
+        inside = (F.col("table") == "in") | F.col("text").rlike(spec.table[0])
+        part = materialize(table_region(lines, spec.table).where(inside).drop("table"), "region")
+    elif spec.between:
+        part = slice_between(lines, anchors, f"a{spec.between[0]}", f"a{spec.between[1]}")
+    if spec.shape == "continued":
+        if layout.sections:
+            part = assign_section(part, layout.sections)
+        else:
+            part = part.withColumn("section", F.lit(""))
+    if spec.skip:
+        part = part.where(~F.col("text").rlike(spec.skip))
+    return materialize(part, "placed") if spec.shape == "continued" else part
+
+
+def parse_part(lines: DataFrame, layout: Layout, spec: Rows, periods: DataFrame, reading: DataFrame | None = None,
+               anchors: DataFrame | None = None) -> DataFrame:
+    """One part of a layout as ``ROW_COLUMNS``; ``outcome`` is ``row`` or ``unparsed``, and a row without a date is unparsed."""
+    part = _part(lines, layout, spec, anchors)
+    section = F.lit(None).cast("string")
+    if spec.shape == "several":
+        rows = extract_multi(part, spec.pattern).withColumns({"outcome": F.lit("row"), "text": F.lit("")})
+        fields = {n: F.col(n) for n in ("number", "mm", "dd")}
+        amount, description = F.col("amount"), F.col("number")
+    else:
+        if spec.shape == "wrapped":
+            flush = reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in spec.table or ()], F.lit(False))
+            rows = assemble_wrapped_rows(part, spec.pattern, spec.noise, flush)
+        elif spec.shape == "continued":
+            reset = section_event(layout.sections).isNotNull() if layout.sections else F.lit(False)
+            rows = append_continuations(part, spec.pattern, spec.noise or "^$", reset, spec.longest)
+        elif spec.shape == "single":
+            rows = part.where(F.col("text").rlike(spec.pattern)).withColumn("outcome", F.lit("row"))
+        else:
+            raise ValueError(f"layout {layout.name!r}: unknown shape of rows {spec.shape!r}")
+        rows, fields = with_fields(rows, spec.pattern, spec.fields)
+        amount = X.parse_money(fields["amount"])
+        description = F.concat_ws(" ", fields["description"], F.col("more")) if spec.shape == "continued" else fields["description"]
+        if spec.kind == "section" and reading is not None:
+            rows = section_lookup(rows.withColumns({"mmdd": F.substring("text", 1, 5), "amount": amount}), section_labels(reading, layout))
+            amount, section = F.col("amount"), F.col("section")
+    if spec.year == "printed":
+        date = X.short_date(F.concat_ws("/", fields["mm"], fields["dd"], fields["yy"]))
+    else:
+        rows = rows.join(periods, "stmt_id")
+        date = (X.resolve_year(fields["mm"], fields["dd"], F.col("period_start"), F.col("period_end")) if spec.year == "period"
+                else X.year_for(fields["mm"], fields["dd"], F.col("period_end")))
+    balance = X.parse_money(fields["balance"]) if "balance" in fields else F.lit(None).cast(MONEY)
+    parsed = rows.withColumns({
+        "source_line": F.col("line_no"), "date": date, "description": X.squeeze(F.concat(F.lit(spec.label), description)),
+        "amount": (amount * spec.sign).cast(MONEY), "balance": balance})
+    kind = F.lit(spec.kind)
+    if spec.kind in ("sign", "section"):
+        kind = X.classify_kind(F.lit("credit" if spec.kind == "section" else "checking"), F.col("amount"), F.col("description"), section)
     outcome = F.when((F.col("outcome") == "row") & F.col("date").isNull(), "unparsed").otherwise(F.col("outcome"))
-    return parsed.withColumn("outcome", outcome).select(*ROW_COLUMNS)
+    return parsed.withColumns({"kind": kind, "outcome": outcome}).select(*ROW_COLUMNS)
 
 
-def with_parts(df: DataFrame, pattern: str, groups: int) -> tuple[DataFrame, list[Column]]:
-    """All capture groups of ``text`` from one regex pass; null where the text does not match."""
-    mark = "\x01"
-    df = df.withColumn("parts", F.split(F.regexp_replace("text", pattern, mark.join(f"${g}" for g in range(1, groups + 1))), mark))
-    return df, [F.get("parts", F.lit(g)) if g else F.when(F.size("parts") > 1, F.get("parts", F.lit(0))) for g in range(groups)]
-
-
-def table_region(lines: DataFrame) -> DataFrame:
-    """Running-balance layout: whether the line above left the scan inside the table."""
-    event = F.when(F.col("text").rlike(V.RUN_TABLE_HEADER), "in").when(F.col("text").rlike(V.RUN_END), "out")
-    return ordered_scan(lines, DOC, SEGMENT, ORDER, seen_before={"table": event})
-
-
-def parse_running(lines: DataFrame, periods: DataFrame) -> DataFrame:
-    placed = materialize(table_region(lines).where(
-        (F.col("table") == "in") | F.col("text").rlike(V.RUN_TABLE_HEADER)), "region")
-    flush = F.col("text").rlike(V.RUN_TABLE_HEADER) | F.col("text").rlike(V.RUN_END)
-    rows = assemble_wrapped_rows(placed.where(~F.col("text").rlike(V.RUN_BEGIN)).drop("table"), V.RUN_ROW, V.RUN_NOISE, flush)
-    rows, (mm, dd, description, amount, balance) = with_parts(rows, V.RUN_ROW, 5)
-    return _row(rows.join(periods, "stmt_id"),
-                X.resolve_year(mm, dd, F.col("period_start"), F.col("period_end")), description, X.parse_money(amount),
-                X.classify_kind(F.lit("checking"), F.col("amount"), F.col("description"), F.lit(None)), X.parse_money(balance))
-
-
-def parse_card(lines: DataFrame, periods: DataFrame, layout_lines: DataFrame) -> DataFrame:
-    rows = lines.where(F.col("text").rlike(V.CARD_ROW)).withColumn("outcome", F.lit("row"))
-    rows, (mm, dd, description, printed) = with_parts(rows, V.CARD_ROW, 4)
-    rows = rows.withColumns({"mmdd": F.substring("text", 1, 5), "amount": X.parse_money(printed)})
-    labelled = section_lookup(rows, section_labels(layout_lines))
-    return _row(labelled.join(periods, "stmt_id"),
-                X.resolve_year(mm, dd, F.col("period_start"), F.col("period_end")), description, F.col("amount"),
-                X.classify_kind(F.lit("credit"), F.col("amount"), F.col("description"), F.col("section")))
-
-
-def parse_sectioned(lines: DataFrame) -> DataFrame:
-    skip = "|".join(f"(?:{p})" for p in (V.SEC_BEGIN, V.SEC_END)) + "|" + \
-        rf"(?:^({'|'.join(V.SEC_SECTIONS)})\s+{V.PLAIN_MONEY}$)"
-    placed = materialize(assign_section(lines).where(~F.col("text").rlike(skip)), "placed")
-    rows = append_continuations(placed, V.SEC_ROW, V.SEC_NOISE, section_event().isNotNull())
-    rows, (mm, dd, yy, description, printed) = with_parts(rows, V.SEC_ROW, 5)
-    when = X.short_date(F.concat_ws("/", mm, dd, yy))
-    return _row(rows, when, F.concat_ws(" ", description, F.col("more")), X.parse_money(printed),
-                X.classify_kind(F.lit("checking"), F.col("amount"), F.col("description"), F.lit(None)))
-
-
-def parse_anchored(lines: DataFrame, periods: DataFrame) -> DataFrame:
-    anchors = find_anchors(lines)
-
-    def wrapped(start: str, end: str, sign: int, kind: str) -> DataFrame:
-        region = slice_between(lines, anchors, start, end).where(~F.col("text").rlike(V.ANC_RULE_LINE))
-        # the line that opens a section is its header, not a row
-        rows = assemble_wrapped_rows(region, V.ANC_ROW, r"^(Deposits and interest|Other withdrawals|Date )", F.lit(False))
-        rows, (mm, dd, description, printed) = with_parts(rows, V.ANC_ROW, 4)
-        return _row(rows.join(periods, "stmt_id"), X.year_for(mm, dd, F.col("period_end")), description,
-                    (X.parse_money(printed) * sign).cast("decimal(18,2)"), F.lit(kind))
-
-    checks = extract_multi(slice_between(lines, anchors, "a3", "a4")).join(periods, "stmt_id")
-    checks = _row(checks.withColumns({"outcome": F.lit("row"), "text": F.lit("")}),
-                  X.year_for(F.col("mm"), F.col("dd"), F.col("period_end")), F.concat(F.lit("Check "), F.col("number")),
-                  (-F.col("amount")).cast("decimal(18,2)"), F.lit("withdrawal"))
-    return checks.unionByName(wrapped("a1", "a2", 1, "deposit")).unionByName(wrapped("a5", "a6", -1, "withdrawal"))
+def parse_layout(lines: DataFrame, layout: Layout, periods: DataFrame, reading: DataFrame | None = None) -> DataFrame:
+    """All rows and unparsed lines of the statements of one layout.
+
+    ``reading`` is the same text in reading order, for layouts whose rows take their kind from sections.
+    """
+    anchors = find_anchors(lines, list(layout.anchors)) if layout.anchors else None
+    return reduce(DataFrame.unionByName, [parse_part(lines, layout, spec, periods, reading, anchors) for spec in layout.rows])
 
 
 def unparsed_report(parsed: DataFrame) -> DataFrame:

@@ -7,83 +7,61 @@ are then read off that one frame, so a check costs no shuffle of its own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
+from ledgerloom.operators.layouts import SHIPPED, Layout, RowSum, Total
 from ledgerloom.operators.scan import ordered_scan
 from ledgerloom.storage import materialize
 
 TOLERANCE = 0.005
 MONEY = "decimal(18,2)"
-KINDS = ["deposit", "withdrawal", "purchase", "payment", "credit", "fee", "interest", "cash_advance"]
-
-
-def statement_totals(transactions: DataFrame) -> DataFrame:
-    """The sums every check needs, one row per statement with rows."""
-    def total(condition: Column | None = None) -> Column:
-        value = F.col("amount") if condition is None else F.when(condition, F.col("amount"))
-        return F.coalesce(F.sum(value), F.lit(0)).cast(MONEY)
-
-    paper = F.col("description").startswith("Check ")
-    return transactions.groupBy("stmt_id").agg(
-        total().alias("net"), total(F.col("amount") > 0).alias("positive"),
-        total(F.col("amount") < 0).alias("negative"), total(paper).alias("paper_checks"),
-        total((F.col("kind") == "withdrawal") & ~paper).alias("other_withdrawals_sum"),
-        *[total(F.col("kind") == k).alias(f"sum_{k}") for k in KINDS],
-        F.count(F.lit(1)).alias("parsed_rows"))
 
 
-def with_totals(statements: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Statements with their sums; a statement without rows keeps zeros."""
-    joined = statements.join(statement_totals(transactions), "stmt_id", "left")
-    return joined.fillna(0, [c for c in joined.columns if c not in statements.columns])
+def _name(total: RowSum) -> str:
+    parts = [*total.kinds, {True: "above", False: "below", None: ""}[total.above],
+             f"like {total.starts}" if total.starts else "", f"not like {total.starts_not}" if total.starts_not else ""]
+    return "sum " + " ".join(p for p in parts if p)
+
+
+def with_totals(statements: DataFrame, transactions: DataFrame, sums: list[RowSum]) -> DataFrame:
+    """Statements with the row sums their checks need, all from one aggregation; one without rows keeps zeros."""
+    columns = {}
+    for total in sums:
+        condition = F.lit(True)
+        if total.kinds:
+            condition &= F.col("kind").isin(*total.kinds)
+        if total.above is not None:
+            condition &= F.col("amount") > 0 if total.above else F.col("amount") < 0
+        if total.starts:
+            condition &= F.col("description").startswith(total.starts)
+        if total.starts_not:
+            condition &= ~F.col("description").startswith(total.starts_not)
+        columns[_name(total)] = F.coalesce(F.sum(F.when(condition, F.col("amount"))), F.lit(0)).cast(MONEY)
+    if not columns:
+        return statements
+    joined = statements.join(transactions.groupBy("stmt_id").agg(*[c.alias(n) for n, c in columns.items()]), "stmt_id", "left")
+    return joined.fillna(0, list(columns))
 
 
 def printed(key: str) -> Column:
     return F.try_element_at("summary", F.lit(key))
 
 
-def printed_sum(keys: list[str]) -> Column:
-    """Sum of printed values, missing as zero; null when none is printed."""
-    total = sum((F.coalesce(printed(k), F.lit(0)) for k in keys[1:]), F.coalesce(printed(keys[0]), F.lit(0)))
-    return F.when(F.coalesce(*[printed(k) for k in keys]).isNotNull(), total)
-
-
-def _checks_for(layout: str) -> list[tuple[str, Column, Column]]:
-    """(name, expected, actual) of a layout; null on either side means the check does not exist."""
-    net, positive, negative = F.col("net"), F.col("positive"), F.col("negative")
-    closes = ("ending_balance", printed("ending_balance"), printed("beginning_balance") + net)
-    if layout == "chase_checking":
-        return [closes, ("deposits_total", printed("deposits"), positive),
-                ("withdrawals_total", printed_sum(V.RUN_WITHDRAWAL_KEYS), negative)]
-    if layout == "chase_credit":
-        return [
-            ("purchases_total", printed("purchases"), F.col("sum_purchase")),
-            ("payments_total", printed("payments_credits"), F.col("sum_payment") + F.col("sum_credit")),
-            ("cash_advances_total", printed("cash_advances"), F.col("sum_cash_advance")),
-            ("fees_total", printed("fees_charged"), F.col("sum_fee")),
-            ("interest_total", printed("interest_charged"), F.col("sum_interest")),
-            ("new_balance", printed("new_balance"), printed("previous_balance") + net),
-            ("fees_page_agrees", printed("fees_charged"), printed("total_fees_line")),
-            ("interest_page_agrees", printed("interest_charged"), printed("total_interest_line")),
-        ]
-    if layout == "boa_checking":
-        sections = list(V.SEC_SECTIONS.values())
-        return [
-            ("deposits_total", printed("total_deposits"), positive),
-            ("subtractions_total", printed_sum([f"total_{s}" for s in sections if s != "deposits"]), negative),
-            *[(f"summary_agrees_{s}", printed(s), printed(f"total_{s}")) for s in sections], closes]
-    if layout == "wellsfargo_checking":
-        return [
-            ("checks_total", printed("checks"), -F.col("paper_checks")),
-            ("other_withdrawals_total", printed("other_withdrawals"), -F.col("other_withdrawals_sum")),
-            ("withdrawals_total", printed("withdrawals"), -(F.col("paper_checks") + F.col("other_withdrawals_sum"))),
-            ("deposits_total", printed("deposits"), F.col("sum_deposit")), closes]
-    raise ValueError(f"no checks declared for layout {layout!r}")
-
-
-def _emit(totals: DataFrame, checks: list[tuple[str, Column, Column]], condition: Column, tolerance: float) -> Column:
+def total_of(total: Total) -> Column:
+    """The value a check compares; null when a printed part it needs is missing."""
+    values = [printed(k) for k in total.printed]
+    if total.some:
+        whole = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0)) for v in values])
+        values = [F.when(F.coalesce(*values).isNotNull(), whole)]
+    rows = [F.col(f"`{_name(r)}`") * total.sign for r in total.rows]
+    return reduce(lambda a, b: a + b, [*values, *rows])
+
+
+def _emit(checks: list[tuple[str, Column, Column]], condition: Column, tolerance: float) -> Column:
     return F.array_compact(F.array(*[
         F.when(condition & expected.isNotNull() & actual.isNotNull(), F.struct(
             F.lit(name).alias("name"), expected.cast(MONEY).alias("expected"), actual.cast(MONEY).alias("actual"),
@@ -97,17 +75,17 @@ def with_outcome(checks: DataFrame) -> DataFrame:
 
 
 def total_checks(statements: DataFrame, transactions: DataFrame, names: list[str] | None = None,
-                 layouts: list[str] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
-    """All sum checks of all layouts, or the named ones: one aggregation, one join, one explode."""
-    layouts = layouts or [name for name, *_ in V.LAYOUTS]
-    totals = with_totals(statements, transactions)
-    arrays = []
-    for layout in layouts:
-        wanted = [c for c in _checks_for(layout) if names is None or c[0] in names]
-        if wanted:
-            arrays.append(_emit(totals, wanted, F.col("layout_name") == layout, tolerance))
-    rows = totals.select("stmt_id", F.explode(F.concat(*arrays)).alias("c")).select("stmt_id", "c.*")
-    return with_outcome(rows)
+                 layouts: list[str] | None = None, tolerance: float = TOLERANCE, specs: tuple[Layout, ...] = SHIPPED) -> DataFrame:
+    """All sum checks that the layouts declare, or the named ones: one aggregation, one join, one explode."""
+    wanted = {spec.name: [c for c in spec.checks if names is None or c.name in names]
+              for spec in specs if layouts is None or spec.name in layouts}
+    sums = list(dict.fromkeys(r for checks in wanted.values() for c in checks for t in (c.expected, c.actual) for r in t.rows))
+    totals = with_totals(statements, transactions, sums)
+    arrays = [_emit([(c.name, total_of(c.expected), total_of(c.actual)) for c in checks], F.col("layout_name") == name, tolerance)
+              for name, checks in wanted.items() if checks]
+    kind = f"array<struct<name:string,expected:{MONEY},actual:{MONEY},tolerance:double>>"
+    every = F.concat(*arrays) if arrays else F.array().cast(kind)
+    return with_outcome(totals.select("stmt_id", F.explode(every).alias("c")).select("stmt_id", "c.*"))
 
 
 def ending_balance(statements, transactions, tolerance=TOLERANCE):
@@ -148,14 +126,14 @@ def paper_check_totals(statements, transactions, tolerance=TOLERANCE):
 
 
 def running_balance_breaks(statements: DataFrame, transactions: DataFrame, *, segments: list[str],
-                           order: list[str], step: float = TOLERANCE) -> DataFrame:
+                           order: list[str], step: float = TOLERANCE, specs: tuple[Layout, ...] = SHIPPED) -> DataFrame:
     """Rows whose walked balance differs from the printed one, counted per statement.
 
     Walking resyncs to the printed balance after a break, so whether a row breaks depends only on
     the last printed balance before it and the amounts since: one wrong amount is one break, one
     wrong printed balance is two.
     """
-    opening = statements.where(printed("beginning_balance").isNotNull() & (F.col("layout_name") == "chase_checking")).select(
+    opening = statements.where(printed("beginning_balance").isNotNull() & F.col("layout_name").isin([x.name for x in specs if x.walks_balance])).select(
         "stmt_id", printed("beginning_balance").alias("opening"))
     rows = transactions.select("stmt_id", *segments, *order, "amount", "balance")
     walked = materialize(ordered_scan(rows, ["stmt_id"], segments, order, sums={"walked": F.col("amount")}), "walk")

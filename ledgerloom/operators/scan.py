@@ -17,16 +17,22 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
                  sums: dict[str, Column] | None = None,
                  previous: dict[str, Column] | None = None,
                  last_seen: dict[str, Column] | None = None,
-                 seen_before: dict[str, Column] | None = None) -> DataFrame:
+                 seen_before: dict[str, Column] | None = None,
+                 preceding: dict[str, tuple[Column, int]] | None = None,
+                 following: dict[str, tuple[Column, int]] | None = None) -> DataFrame:
     """Add scan columns over ``keys`` ordered by ``segments`` then ``order``.
 
     ``sums``: inclusive running sum; ``previous``: the value on the row before; ``last_seen``: the
-    last non-null value up to and including the row; ``seen_before``: the same without the row.
+    last non-null value up to and including the row; ``seen_before``: the same without the row;
+    ``preceding`` and ``following`` (value, n): the values of up to n rows before or after the row, in order.
+    For those each segment lends its first and last n rows to its neighbours.
     ``segments + order`` must be a total order
     inside a key, a null key or segment is an error (it would join with nothing), and a segment must be a contiguous stretch of it.  ``df`` is read twice (rows and
     summary), so a chain of scans is cut with ``materialize`` between its links.
     """
     sums, previous, last_seen, seen_before = sums or {}, previous or {}, last_seen or {}, seen_before or {}
+    preceding, following = preceding or {}, following or {}
+    near = {**preceding, **following}
     carried = {**last_seen, **seen_before}
     inside = Window.partitionBy(*keys, *segments).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -34,6 +40,7 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
     position = F.struct(*order)
 
     inputs = {f"in_{o}": c for o, c in {**sums, **previous, **carried}.items()}
+    inputs |= {f"in_{o}": F.struct(c.alias("v")) for o, (c, _) in near.items()}
     df = df.withColumns(inputs)
     if segments:
         df = df.withColumns({c: _not_null(df, c) for c in dict.fromkeys(keys + segments) if df.schema[c].nullable})
@@ -41,20 +48,30 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
     local |= {o: F.lag(f"in_{o}").over(inside) for o in previous}
     local |= {o: F.last(f"in_{o}", ignorenulls=True).over(so_far) for o in last_seen}
     local |= {o: F.last(f"in_{o}", ignorenulls=True).over(earlier) for o in seen_before}
+    local |= {o: F.collect_list(f"in_{o}").over(inside.rowsBetween(-n, -1)) for o, (_, n) in preceding.items()}
+    local |= {o: F.collect_list(f"in_{o}").over(inside.rowsBetween(1, n)) for o, (_, n) in following.items()}
+    plain = {o: F.transform(o, lambda x: x["v"]) for o in near}
     if not segments:
-        return df.withColumns(local).drop(*inputs)
+        return df.withColumns(local).withColumns(plain).drop(*inputs)
 
     summary = df.groupBy(*keys, *segments).agg(
         *[F.sum(f"in_{o}").alias(f"end_{o}") for o in sums],
         *[F.max_by(f"in_{o}", position).alias(f"end_{o}") for o in previous],
         *[F.max_by(f"in_{o}", F.when(F.col(f"in_{o}").isNotNull(), position)).alias(f"end_{o}")
           for o in carried],
-    )
+    ) if sums or previous or carried else None
+    if near:
+        edges = _edges(df, keys, segments, order, preceding, following)
+        summary = edges if summary is None else summary.join(edges, keys + segments)
     across = Window.partitionBy(*keys).orderBy(*segments)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carries = {f"carry_{o}": F.sum(f"end_{o}").over(before) for o in sums}
     carries |= {f"carry_{o}": F.lag(f"end_{o}").over(across) for o in previous}
     carries |= {f"carry_{o}": F.last(f"end_{o}", ignorenulls=True).over(before) for o in carried}
+    carries |= {f"carry_{o}": _last(F.flatten(F.collect_list(f"end_{o}").over(across.rowsBetween(-n, -1))), n)
+                for o, (_, n) in preceding.items()}
+    carries |= {f"carry_{o}": F.slice(F.flatten(F.collect_list(f"end_{o}").over(across.rowsBetween(1, n))), 1, n)
+                for o, (_, n) in following.items()}
     carry = summary.select(*keys, *segments, *[c.alias(o) for o, c in carries.items()])
 
     out = df.join(carry, keys + segments).withColumns(
@@ -63,7 +80,31 @@ def ordered_scan(df: DataFrame, keys: list[str], segments: list[str], order: lis
     final |= {o: F.when(F.col("row_in_segment") == 1, F.col(f"carry_{o}")).otherwise(F.col(o))
               for o in previous}
     final |= {o: F.coalesce(F.col(o), F.col(f"carry_{o}")) for o in carried}
-    return out.withColumns(final).drop(*inputs, *carries, "row_in_segment")
+    final |= {o: _last(F.concat(F.col(f"carry_{o}"), F.col(o)), n) for o, (_, n) in preceding.items()}
+    final |= {o: F.slice(F.concat(F.col(o), F.col(f"carry_{o}")), 1, n) for o, (_, n) in following.items()}
+    return out.withColumns(final).withColumns(plain).drop(*inputs, *carries, "row_in_segment")
+
+
+def _last(values: Column, n: int) -> Column:
+    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
+
+
+def _edges(df: DataFrame, keys: list[str], segments: list[str], order: list[str], preceding: dict, following: dict) -> DataFrame:
+    """The last rows of each segment for its successors and the first for its predecessors, a few rows a segment."""
+    most = max(n for _, n in {**preceding, **following}.values())
+    inside = Window.partitionBy(*keys, *segments)
+    placed = df.withColumns({"from_start": F.row_number().over(inside.orderBy(*order)), "in_all": F.count(F.lit(1)).over(inside)}) \
+        .withColumn("from_end", F.col("in_all") - F.col("from_start") + 1)
+    position = F.struct(*order).alias("at")
+
+    def rows(name: str, rank: str, n: int) -> Column:
+        kept = F.collect_list(F.when(F.col(rank) <= n, F.struct(position, F.col(f"in_{name}").alias("v"))))
+        return F.transform(F.array_sort(kept, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)),
+                           lambda x: x["v"]).alias(f"end_{name}")
+
+    return placed.where((F.col("from_start") <= most) | (F.col("from_end") <= most)).groupBy(*keys, *segments).agg(
+        *[rows(o, "from_end", n) for o, (_, n) in preceding.items()],
+        *[rows(o, "from_start", n) for o, (_, n) in following.items()])
 
 
 def _not_null(df: DataFrame, name: str) -> Column:

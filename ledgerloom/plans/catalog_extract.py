@@ -78,33 +78,28 @@ def detect_sql(source: str, registry, reason_pages: int = 3) -> str:
     return f"""src as ({source}), sc as ({long}),
  rk as (select *, row_number() over (partition by stmt_id order by score desc, ord) as rn from sc),
  det as (select src.stmt_id, case when b.score > 0 then b.name end as layout_name, case when b.score > 0 then b.label end as label, b.score,
-  case when opening is null or regexp_replace(opening, '\\s+', '', 'g') = '' then 'no extractable text in the first 3 pages'
-   when b.score = 0 then {C.lit('no supported format matched. Supported: ' + ', '.join(r[1] for r in registry))} end as error,
+  case when opening is null or regexp_replace(opening, '\\s+', '', 'g') = '' then 'the first 3 pages hold no text'
+   when b.score = 0 then {C.lit('none of the known layouts: ' + ', '.join(r[1] for r in registry))} end as error,
   coalesce((select string_agg(label, ', ' order by score desc, ord) from rk o where o.stmt_id = src.stmt_id and rn > 1 and o.score > 0 and b.score > 0), '') as runners_up
   from src join rk b on b.stmt_id = src.stmt_id and rn = 1)"""
 
 
-def document_openings(k, f):
-    return D.opening_text(T.read(k, f, "documents").selectExpr("doc_id as stmt_id", "1 as page_no", "text"))
+def document_pages(k, f):
+    return T.read(k, f, "documents").selectExpr("doc_id as stmt_id", "1 as page_no", "text")
 
 
 add("d1_score_formats", lambda k, f: D.score_formats(T.read(k, f, "documents"), "doc_id", "text", MARKERS).select("doc_id", "name", "score"),
     " union all ".join(f"select doc_id, {C.lit(r[0])} as name, {sc} as score from documents" for r, sc in zip(MARKERS, score_sql("text", MARKERS))))
-add("d2_detect", lambda k, f: D.detect(document_openings(k, f), layouts=MARKERS).withColumn("runners_up", F.array_join("runners_up", ", ")),
+add("d2_detect", lambda k, f: D.detect(document_pages(k, f), layouts=MARKERS).withColumn("runners_up", F.array_join("runners_up", ", ")),
     "with " + detect_sql("select doc_id as stmt_id, text as opening from documents", MARKERS) + " select * from det")
-add("d2_detect_pages", lambda k, f: D.detect(D.opening_text(conversation_pages(k, f)), layouts=MARKERS).withColumn("runners_up", F.array_join("runners_up", ", ")),
+add("d2_detect_pages", lambda k, f: D.detect(conversation_pages(k, f), layouts=MARKERS).withColumn("runners_up", F.array_join("runners_up", ", ")),
     "with " + detect_sql("select conv_id as stmt_id, string_agg(text, chr(10) order by turn) as opening from conversations where turn < 3 group by 1", MARKERS) + " select * from det")
 
 
-def statement_openings(k, f):
-    pages = P.page_texts(RD.lines(k, f)).withColumnRenamed("page_text", "text")
-    return D.opening_text(pages)
-
-
-add("d2_detect_statements", lambda k, f: D.detect(statement_openings(k, f)).select("stmt_id", "layout_name", "score"),
+add("d2_detect_statements", lambda k, f: D.detect(RD.lines(k, f)).select("stmt_id", "layout_name", "score"),
     on_statements("""select stmt_id, layout_name, case layout_name when 'chase_checking' then 4 + cast(owner % 2 = 0 as int)
  when 'chase_credit' then 3 + cast(owner % 2 = 0 as int) when 'boa_checking' then 4 else 3 end as score from stmts"""))
-add("d3_detection_summary", lambda k, f: D.detection_summary(D.detect(document_openings(k, f), layouts=MARKERS[:2])),
+add("d3_detection_summary", lambda k, f: D.detection_summary(D.detect(document_pages(k, f), layouts=MARKERS[:2])),
     "with " + detect_sql("select doc_id as stmt_id, text as opening from documents", MARKERS[:2]) +
     " select coalesce(label, 'skipped') as label, case when layout_name is null then error end as reason, count(*) as documents from det group by 1, 2")
 
@@ -117,12 +112,8 @@ for _name in (RUN, CARD, SEC, ANC):
 
 
 def summaries(k, f, name):
-    if name == ANC:
-        return P.anchored_summary(layout(k, f, name))
-    patterns = dict(P.SPECS[name].summary)
-    if name == RUN:
-        patterns |= {"beginning_balance": V.RUN_BEGIN, "ending_balance": V.RUN_END}
-    return P.extract_summary(layout(k, f, name), patterns)
+    lines, spec = layout(k, f, name), P.SPECS[name]
+    return P.layout_summary(lines, spec, P.header_fields(lines, spec))
 
 
 for _name in (RUN, CARD, SEC, ANC):
@@ -132,32 +123,43 @@ for _name in (RUN, CARD, SEC, ANC):
 
 # --- rows ------------------------------------------------------------------------------------
 _SECTION = "case when amount > 0 then 'Deposits and other additions' else 'Other subtractions' end"
-add("d11_assign_section", lambda k, f: P.assign_section(layout(k, f, SEC)).where(F.col("text").rlike(V.SEC_ROW)).select("stmt_id", "text", "section"),
-    f"with {C.TX} select stmt_id, strftime(date, '%m/%d/%y') || ' ' || description || ' ' || format('{{:,.2f}}', amount) as text, {_SECTION} as section from tx where layout_name = '{SEC}'")
-
-
-def parsed_running(k, f):
-    return P.parse_running(layout(k, f, RUN), periods(k, f, RUN))
+def _long_day(column):
+    return f"strftime({column}, '%B %-d, %Y')"
 
 
-def parsed_card(k, f):
-    return P.parse_card(layout(k, f, CARD), periods(k, f, CARD), RD.layout_lines(k, f))
+def _figure(column):
+    return f"format('{{:,.2f}}', cast({column} as double))"
 
 
-def parsed_sectioned(k, f):
-    return P.parse_sectioned(layout(k, f, SEC))
+_HEAD_LINES = [  # text and section of the lines of a sectioned statement that are no rows
+    ("'bankofamerica.com'", "null"), ("'Account summary'", "null"), ("'a line outside every section'", "null"),
+    (f"'for ' || {_long_day('period_start')} || ' to ' || {_long_day('period_end')} || ' Account number: 0000 0000 ' || account_last4", "null"),
+    (f"'Beginning balance on ' || {_long_day('period_start')} || ' $' || {_figure('beginning_balance')}", "null"),
+    (f"'Deposits and other additions ' || {_figure('deposits')}", "null"), (f"'Other subtractions ' || {_figure('other_subtractions')}", "null"),
+    (f"'Ending balance on ' || {_long_day('period_end')} || ' $' || {_figure('ending_balance')}", "null"),
+    ("'Deposits and other additions'", "'Deposits and other additions'"), ("'Date Description Amount'", "'Deposits and other additions'"),
+    (f"'Total deposits and other additions $' || {_figure('total_deposits')}", "null"), ("'Withdrawals and other subtractions'", "null"),
+    ("'Other subtractions'", "'Other subtractions'"), (f"'Total other subtractions $' || {_figure('total_other_subtractions')}", "null")]
+_ROW_LINES = [
+    (f"strftime(date, '%m/%d/%y') || ' ' || description || ' ' || {_figure('amount')}", _SECTION, "true"), ("'WEB'", _SECTION, "txn_id % 4 = 1"),
+    (C.lit(RD.LONG_LINE.strip()), _SECTION, "txn_id % 36 = 2"), ("'continued on the next page'", "null", "txn_id % 10 = 3"),
+    (f"{_SECTION} || ' - continued'", _SECTION, "txn_id % 10 = 3")]
+add("d11_assign_section", lambda k, f: P.assign_section(layout(k, f, SEC)).select("stmt_id", "text", "section"),
+    on_statements("select * from (" + " union all ".join(
+        [f"select stmt_id, {t} as text, {c} as section from stmts where layout_name = '{SEC}'" for t, c in _HEAD_LINES]
+        + [f"select stmt_id, {t}, {c} from tx where layout_name = '{SEC}' and {w}" for t, c, w in _ROW_LINES]) + ") where text is not null"))
 
 
-def parsed_anchored(k, f):
-    return P.parse_anchored(layout(k, f, ANC), periods(k, f, ANC))
+def parsed(k, f, name):
+    reading = RD.layout_lines(k, f) if name == CARD else None
+    return P.parse_layout(layout(k, f, name), P.SPECS[name], periods(k, f, name), reading)
 
 
-PARSED = {RUN: parsed_running, CARD: parsed_card, SEC: parsed_sectioned, ANC: parsed_anchored}
 OUT = ["stmt_id", "date", "description", "amount", "kind"]
 
 
 def rows_of(k, f, name):
-    return PARSED[name](k, f).where("outcome = 'row'")
+    return parsed(k, f, name).where("outcome = 'row'")
 
 
 from ledgerloom.plans.catalog_ledger import BREAKS  # noqa: E402
@@ -170,8 +172,11 @@ add("d13_append_continuations", lambda k, f: rows_of(k, f, SEC).select(*OUT),
     f"with {C.TX} select stmt_id, {s('date')}, description || case when txn_id % 4 = 1 then ' WEB' else '' end as description, {d('amount')}, kind from tx where layout_name = '{SEC}'")
 add("d14_extract_multi", lambda k, f: P.extract_multi(P.slice_between(layout(k, f, ANC), P.find_anchors(layout(k, f, ANC)), "a3", "a4")).select("stmt_id", "number", "mm", "dd", "amount"),
     f"with {C.TX} select stmt_id, substr(description, 7) as number, strftime(date, '%m') as mm, strftime(date, '%d') as dd, {d('-amount', 'amount')} from tx where layout_name = '{ANC}' and description like 'Check %'")
-add("d15_slice_between", lambda k, f: P.slice_between(layout(k, f, ANC), P.find_anchors(layout(k, f, ANC)), "a5", "a6").where(P.starts_row(F.col("text"))).groupBy("stmt_id").agg(F.count(F.lit(1)).alias("row_count")),
-    f"with {C.TX} select stmt_id, count(*) as row_count from tx where layout_name = '{ANC}' and amount < 0 and description not like 'Check %' group by 1")
+_WITHDRAWN = f"layout_name = '{ANC}' and amount < 0 and description not like 'Check %'"
+add("d15_slice_between", lambda k, f: P.slice_between(layout(k, f, ANC), P.find_anchors(layout(k, f, ANC)), "a5", "a6").select("stmt_id", "text"),
+    on_statements(f"""select stmt_id, 'Other withdrawals' as text from stmts where layout_name = '{ANC}' union all
+ select stmt_id, strftime(date, '%m/%d') || ' ' || description || case when txn_id % 3 = 1 then '' else ' ' || {_figure('-amount')} end from tx where {_WITHDRAWN}
+ union all select stmt_id, {_figure('-amount')} from tx where {_WITHDRAWN} and txn_id % 3 = 1"""))
 _CARD = f"""card as (select *, description || case when kind = 'payment' then ' PAYMENT' else '' end as printed_text,
  case kind when 'purchase' then kind when 'cash_advance' then kind when 'fee' then kind when 'interest' then kind else 'payment' end as section,
  strftime(date, '%m/%d') as mmdd from tx where layout_name = '{CARD}'),
@@ -190,7 +195,7 @@ add("d17_classify_kind", lambda k, f: rows_of(k, f, CARD).select(*OUT),
 add("d18_strip_envelope", lambda k, f: T.ledger(k, f).select("txn_id", X.strip_envelope(F.col("description")).alias("inner_text")),
     f"with {C.TX} select txn_id, {C.envelope('description')} as inner_text from tx")
 add("d20_unparsed_report", lambda k, f: P.unparsed_report(reduce(
-        lambda a, b: a.unionByName(b), [parsed(k, f) for parsed in PARSED.values()])).select("stmt_id", "text"),
+        lambda a, b: a.unionByName(b), [parsed(k, f, name) for name in P.SPECS])).select("stmt_id", "text"),
     f"""with {C.TX} select stmt_id, strftime(date, '%m/%d') || ' No amount here' as text from tx where layout_name = '{RUN}' and txn_id % 35 = 4
  union all select stmt_id, 'See reverse side' from tx where layout_name = '{RUN}' and txn_id % 97 = 0
  union all select stmt_id, {C.lit(RD.LONG_LINE.strip())} from tx where layout_name = '{SEC}' and txn_id % 36 = 2""")
@@ -306,7 +311,7 @@ def proved(k, f):
     key = (k.sparkContext.applicationId, f)
     if key not in _proved:
         owners = T.statements(k, f).select("stmt_id", "owner")
-        _proved[key] = prove_lines(RD.lines(k, f), D.detect(statement_openings(k, f)), RD.layout_lines(k, f),
+        _proved[key] = prove_lines(RD.lines(k, f), D.detect(RD.lines(k, f)), RD.layout_lines(k, f),
                                    T.USER_RULES, T.KEY, owners)
     return _proved[key]
 
@@ -332,7 +337,7 @@ def proved_with_losses(k, f):
     printed = " or ".join(f"layout_name = '{n}' and text rlike {X.sql_literal(p)}" for n, p in PERIOD_LINES.items())
     lines = RD.lines(k, f).where(f"not ({_LOST} and ({printed}))")
     owners = T.statements(k, f).select("stmt_id", "owner")
-    return prove_lines(lines, D.detect(statement_openings(k, f)), RD.layout_lines(k, f), T.USER_RULES, T.KEY, owners)
+    return prove_lines(lines, D.detect(RD.lines(k, f)), RD.layout_lines(k, f), T.USER_RULES, T.KEY, owners)
 
 
 def documents_accounted(k, f):

@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom import fixed_values as V
 from ledgerloom.functions import text as X
 from ledgerloom.operators import continuity as N
 from ledgerloom.operators import detect as D
 from ledgerloom.operators import extract as P
 from ledgerloom.operators import reconcile as R
 from ledgerloom.operators.classify import with_classification
+from ledgerloom.operators.layouts import SHIPPED, Layout
 from ledgerloom.operators.spend import with_signed
 from ledgerloom.sources.lines import explode_lines
 from ledgerloom.sources.rules import Rules
@@ -22,6 +22,8 @@ from ledgerloom.sources.tables import (export_by_category, export_by_month, expo
                                       gated_write)
 from ledgerloom.storage import Workspace, materialize
 
+SUMMARY = "map<string,decimal(18,2)>"
+
 
 @dataclass
 class Proved:
@@ -58,34 +60,29 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def prove_lines(lines: DataFrame, detections: DataFrame, layout_lines: DataFrame, rules: Rules | None = None,
-                key: list[str] | None = None, identity: DataFrame | None = None) -> Proved:
-    """``lines`` carry ``layout_name``; ``layout_lines`` is the card layout in reading order.
+                key: list[str] | None = None, identity: DataFrame | None = None, layouts: tuple[Layout, ...] = SHIPPED) -> Proved:
+    """``lines`` carry ``layout_name``; ``layout_lines`` are statements in reading order, for layouts with sections.
 
     ``identity`` may add columns per statement (such as an owner) that ``key`` then uses to tell
     accounts apart.  All intermediate tables are removed; those of the result go with ``close``.
     """
     with Workspace(lines.sparkSession, "prove") as space:
-        return _prove_lines(space, lines, detections, layout_lines, rules, key or list(N.ACCOUNT), identity)
+        return _prove_lines(space, lines, detections, layout_lines, rules, key or list(N.ACCOUNT), identity, layouts)
 
 
 def _prove_lines(space: Workspace, lines: DataFrame, detections: DataFrame, layout_lines: DataFrame, rules: Rules | None,
-                 key: list[str], identity: DataFrame | None) -> Proved:
-    of = {name: P.of_layout(lines, name) for name in P.SPECS}
-    periods = {n: materialize(P.extract_period(of[n], s), "periods") for n, s in P.SPECS.items()}
-    summary = {n: P.extract_summary(of[n], s.summary) for n, s in P.SPECS.items() if s.summary}
-    run = of["chase_checking"]
-    in_table = P.table_region(run).where((F.col("table") == "in") | ~F.col("text").rlike(V.RUN_END))
-    summary["chase_checking"] = summary["chase_checking"].unionByName(P.extract_summary(
-        in_table, {"beginning_balance": V.RUN_BEGIN, "ending_balance": V.RUN_END}))
-    summary["wellsfargo_checking"] = P.anchored_summary(of["wellsfargo_checking"])
-
+                 key: list[str], identity: DataFrame | None, layouts: tuple[Layout, ...]) -> Proved:
+    of = {layout.name: P.of_layout(lines, layout.name) for layout in layouts}
+    fields = {x.name: materialize(P.header_fields(of[x.name], x), "headers") for x in layouts}
     heads = []
-    for name, spec in P.SPECS.items():
-        heads.append(periods[name].join(P.extract_account_last4(of[name], spec), "stmt_id", "left")
-                     .join(P.summary_map(summary[name]), "stmt_id", "left")
-                     .withColumns({"account": F.lit(spec.account_kind), "layout_name": F.lit(name)}))
+    for layout in layouts:
+        head = fields[layout.name].drop("running")
+        printed = P.layout_summary(of[layout.name], layout, fields[layout.name])
+        head = head.join(P.summary_map(printed), "stmt_id", "left") if printed is not None else \
+            head.withColumn("summary", F.lit(None).cast(SUMMARY))
+        heads.append(head.withColumns({"account": F.lit(layout.account), "layout_name": F.lit(layout.name)}))
     heads = _union(heads).withColumns({
-        "summary": F.coalesce("summary", F.create_map().cast("map<string,decimal(18,2)>")),
+        "summary": F.coalesce("summary", F.create_map().cast(SUMMARY)),
         "close_date": F.col("period_end"), "source_file": F.col("stmt_id")})
     if identity is not None:
         heads = heads.join(identity, "stmt_id", "left")
@@ -93,12 +90,8 @@ def _prove_lines(space: Workspace, lines: DataFrame, detections: DataFrame, layo
     readable = F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
     statements = heads.where(readable)
 
-    parsed = _union([
-        P.parse_running(run, periods["chase_checking"]),
-        P.parse_card(of["chase_credit"], periods["chase_credit"], layout_lines),
-        P.parse_sectioned(of["boa_checking"]),
-        P.parse_anchored(of["wellsfargo_checking"], periods["wellsfargo_checking"]),
-    ])
+    periods = {name: f.select("stmt_id", "period_start", "period_end") for name, f in fields.items()}
+    parsed = _union([P.parse_layout(of[x.name], x, periods[x.name], layout_lines) for x in layouts])
     # a row of a document that cannot be placed in time is reported, not dropped
     lost = F.col("unreadable") & (F.col("outcome") == "row")
     parsed = space.keep(materialize(parsed.join(heads.select("stmt_id", (~readable).alias("unreadable")), "stmt_id").withColumns({
@@ -110,23 +103,23 @@ def _prove_lines(space: Workspace, lines: DataFrame, detections: DataFrame, layo
                           F.col("close_date").alias("statement_close")), "stmt_id")
     rows = with_signed(rows).withColumns({
         "month": X.month_key(F.col("date")), "txn_id": F.struct("stmt_id", "source_line"),
-        "descriptor": F.when(F.col("layout_name") == "boa_checking", X.strip_envelope(F.col("description"))).otherwise("")})
+        "descriptor": F.when(F.col("layout_name").isin([x.name for x in layouts if x.strips_envelope]), X.strip_envelope(F.col("description"))).otherwise("")})
     transactions = space.keep(materialize(with_classification(rows, rules), "transactions"))
     counts = transactions.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("txn_count"))
     statements = statements.join(counts, "stmt_id", "left").fillna(0, ["txn_count"])
 
     printed = transactions.withColumn("block", F.floor(F.col("source_line") / 1000))
-    checks = R.total_checks(statements, transactions).unionByName(
-        R.running_balance_breaks(statements, printed.where("layout_name = 'chase_checking'"),
-                                 segments=["block"], order=["source_line"]))
+    walked = F.col("layout_name").isin([x.name for x in layouts if x.walks_balance])
+    checks = R.total_checks(statements, transactions, specs=layouts).unionByName(R.running_balance_breaks(
+        statements, printed.where(walked), segments=["block"], order=["source_line"], specs=layouts))
     problems = unreadable_documents(heads.where(~readable)).unionByName(N.continuity(statements, transactions, key))
     return Proved(detections, statements, transactions, space.keep(materialize(checks, "checks")), P.unparsed_report(parsed),
                   space.keep(materialize(problems, "problems")), (space,))
 
 
 def unreadable_documents(heads: DataFrame) -> DataFrame:
-    """Detected documents without a period, or (anchored layout) without printed balances, as problems."""
-    dated = (F.col("layout_name") == "wellsfargo_checking") & F.col("period_end").isNotNull()
+    """Detected documents without a period, or without the dated balance that opens it, as problems."""
+    dated = F.col("period_end").isNotNull()
     kind = F.when(dated, "no_balances").otherwise("no_period")
     detail = F.when(dated, "the balances that open and close the statement were not found").otherwise(
         "the statement period was not found")
@@ -135,17 +128,17 @@ def unreadable_documents(heads: DataFrame) -> DataFrame:
 
 
 def prove(pages: DataFrame, layout_pages: DataFrame | None = None, rules: Rules | None = None,
-          key: list[str] | None = None) -> Proved:
-    """``pages(stmt_id, page_no, text)`` to a proved ledger.
+          key: list[str] | None = None, layouts: tuple[Layout, ...] = SHIPPED) -> Proved:
+    """``pages(stmt_id, page_no, text)`` to a proved ledger.  A bank of one's own is one more value in ``layouts``.
 
     ``layout_pages`` is the same text in reading order, used to label card rows by section; without
     it rows are labelled by sign and words.
     """
     with Workspace(pages.sparkSession, "read") as space:
-        detections = space.keep(materialize(D.detect(D.opening_text(pages)), "detections"))
+        detections = space.keep(materialize(D.detect(pages, layouts=[x.registered() for x in layouts]), "detections"))
         matched = detections.where(F.col("layout_name").isNotNull()).select("stmt_id", "layout_name")
         lines = materialize(explode_lines(pages).join(matched, "stmt_id"), "lines")
         reading = explode_lines(layout_pages if layout_pages is not None else pages.where(F.lit(False)))
-        proved = prove_lines(lines, detections, reading, rules, key)
+        proved = prove_lines(lines, detections, reading, rules, key, layouts=tuple(layouts))
     proved.spaces += (space,)
     return proved
