@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.batches import mixed, partitions
 from ledgerloom.storage import Workspace
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 BLANKS = b" \t\n\v\f\r"
-#: Answers to chunks (``chunk`` set) and the counted keys themselves (``chunk`` null).
-ANSWERS = ("chunk bigint, per string, at array<int>, ids array<bigint>, counts array<bigint>, words binary, "
+#: Answers to chunks (``chunk`` set): the places of its keys that have a number, the numbers and counts, as ``gaps`` and ``planes``;
+#: and the counted keys themselves (``chunk`` null).
+ANSWERS = ("chunk bigint, at binary, numbers binary, times binary, per string, words binary, ids array<bigint>, counts array<bigint>, "
            "first array<bigint>, rest array<bigint>")
-ANSWER_FIELDS = [("chunk", pa.int64()), ("per", pa.string()), ("at", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())),
-                 ("counts", pa.list_(pa.int64())), ("words", pa.binary()), ("first", pa.list_(pa.int64())),
-                 ("rest", pa.list_(pa.int64()))]
+ANSWER_FIELDS = [("chunk", pa.int64()), ("at", pa.binary()), ("numbers", pa.binary()), ("times", pa.binary()), ("per", pa.string()),
+                 ("words", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("ids", "counts", "first", "rest")]]
 
 
 def strings(lengths: np.ndarray, data: np.ndarray) -> pa.BinaryArray:
@@ -75,21 +75,29 @@ def parted(blob: bytes) -> pa.BinaryArray:
     return strings(np.diff(np.concatenate([[-1], gaps, [len(body)]])) - 1, body[body != 32])
 
 
-def lists(ends: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """Consecutive lists of ``values``; list i ends before ``ends[i]``."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
 def planes(values: np.ndarray) -> bytes:
     """Whole numbers as bytes, all lowest bytes first: the upper ones of small numbers then compress to nothing."""
     return np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
+def gaps(values: np.ndarray) -> bytes:
+    """Whole numbers in ascending order, as planes of the steps between them."""
+    return planes(np.diff(values, prepend=0))
+
+
+def from_gaps(blob: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(blob))
+
+
 def from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
+def split(code: Callable[[np.ndarray], bytes], values: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive parts of ``values``, each coded."""
+    return pa.array([code(values[a:b]) for a, b in zip(firsts, ends)], pa.binary())
+
+
 def text_chunks(texts: DataFrame, per: str | None = None, carry: tuple[str, ...] = (), counted: str | None = None,
                 blanks: bytes = BLANKS, breaks: bytes = b"", limit: int = CHUNK_BYTES) -> DataFrame:
     """``texts`` (text, ...) -> (chunk, per, sizes, tokens, positions, words, counts, carried_0, ...), one row a chunk.
@@ -97,7 +105,8 @@ def text_chunks(texts: DataFrame, per: str | None = None, carry: tuple[str, ...]
     ``tokens`` (as ``planes``) are places in ``words``, which holds the chunk's distinct words in order of their first use;
     ``counts`` says how often each occurs in texts whose column ``counted`` is true (all, without it).
     ``sizes`` are the numbers of words of the texts and the carried lists their other columns.  A chunk
-    has one value of ``per`` only.  A null text is empty.  ``positions`` are kept only with ``breaks``.
+    has one value of ``per`` only.  A null text is empty.  ``positions`` (as ``gaps``) are kept only
+    with ``breaks``.
     """
     columns = [texts.schema[c].dataType.simpleString() for c in carry]
     schema = ", ".join(["chunk bigint, per string, sizes array<int>, tokens binary, positions binary, words binary",
@@ -113,7 +122,7 @@ def text_chunks(texts: DataFrame, per: str | None = None, carry: tuple[str, ...]
         counts = np.bincount(tokens[np.repeat(learned, sizes)], minlength=len(coded.dictionary))
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         arrays = [pa.array([number], pa.int64()), pa.array([value], pa.string()), one(sizes, pa.int32()),
-                  pa.array([planes(tokens)], pa.binary()), pa.array([planes(positions if breaks else tokens[:0])], pa.binary()),
+                  pa.array([planes(tokens)], pa.binary()), pa.array([gaps(positions if breaks else tokens[:0])], pa.binary()),
                   pa.array([joined(coded.dictionary)], pa.binary()), one(counts, pa.int64())]
         for k in range(len(carry)):
             column = table.column(3 + k).combine_chunks()
@@ -211,7 +220,7 @@ def number_words(chunks: DataFrame, space: Workspace, least: int = 1, reserved:
                 n = len(shards)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shards.astype(np.int32)), pa.array([chunk] * n, pa.int64()), pa.array([per] * n, pa.string()),
-                     lists(ends, order, pa.int32()), pa.array(blobs, pa.binary()), lists(ends, array_of(counts)[order], pa.int64())],
+                     split(gaps, order, firsts, ends), pa.array(blobs, pa.binary()), split(planes, array_of(counts)[order], firsts, ends)],
                     ["shard", "chunk", "per", "at", "words", "counts"])
 
     def answer(shard, rows):
@@ -223,7 +232,7 @@ def number_words(chunks: DataFrame, space: Workspace, least: int = 1, reserved:
         key = np.asarray(coded.indices).astype(np.int64) + np.repeat([code[r[2]] for r in rows], sizes) * len(coded.dictionary)
         keys, inverse = np.unique(key, return_inverse=True)
         total = np.zeros(len(keys), np.int64)
-        np.add.at(total, inverse, np.concatenate([array_of(r[5]) for r in rows]))
+        np.add.at(total, inverse, np.concatenate([from_planes(r[5].as_py()) for r in rows]))
         kept = total >= least
         ids = np.where(kept, (np.cumsum(kept) - 1) * groups + shard + reserved, 0)
         out, first = [], 0
@@ -231,16 +240,16 @@ def number_words(chunks: DataFrame, space: Workspace, least: int = 1, reserved:
             mine = inverse[first:first + n]
             some = np.flatnonzero(kept[mine])
             first += n
-            out.append((row[1], None, array_of(row[3])[some], ids[mine[some]], total[mine[some]], None, None, None))
+            out.append((row[1], gaps(from_gaps(row[3].as_py())[some]), planes(ids[mine[some]]), planes(total[mine[some]]), *[None] * 6))
         for p in pers:
             mine = np.flatnonzero(kept & (keys // max(1, len(coded.dictionary)) == code[p]))
             if len(mine):
                 words = coded.dictionary.take(pa.array(keys[mine] % len(coded.dictionary)))
-                out.append((None, p, None, ids[mine], total[mine], joined(words), None, None))
+                out.append((*[None] * 4, p, joined(words), ids[mine], total[mine], None, None))
         yield answer_batch(out)
 
     asked = chunks.select("chunk", "per", "words", "counts").mapInArrow(
-        ask, "shard int, chunk bigint, per string, at array<int>, words binary, counts array<bigint>")
+        ask, "shard int, chunk bigint, per string, at binary, words binary, counts binary")
     return space.cut(dealt(asked, groups).mapInArrow(by_key(answer), ANSWERS), "words")
 
 
@@ -252,8 +261,9 @@ def number_pairs(asked: DataFrame, space: Workspace, least: int, reserved: int =
     groups = partitions(asked.sparkSession)
 
     def answer(shard, rows):
-        first, rest, counts = (np.concatenate([array_of(r[k]) for r in rows]) for k in (3, 4, 5))
-        sizes = [len(r[2]) for r in rows]
+        parts = [(from_gaps(r[3].as_py()), from_planes(r[4].as_py()), from_planes(r[5].as_py())) for r in rows]
+        first, rest, counts = (np.concatenate(c) for c in zip(*parts))
+        sizes = [len(p[0]) for p in parts]
         order = np.lexsort((rest, first))
         new = np.ones(len(order), bool)
         new[1:] = (first[order][1:] != first[order][:-1]) | (rest[order][1:] != rest[order][:-1])
@@ -269,33 +279,41 @@ def number_pairs(asked: DataFrame, space: Workspace, least: int, reserved: int =
             begin += n
             some = np.flatnonzero(kept[mine])
             if len(some):
-                out.append((row[1], None, array_of(row[2])[some], ids[mine[some]], total[mine[some]], None, None, None))
+                out.append((row[1], gaps(from_gaps(row[2].as_py())[some]), planes(ids[mine[some]]), *[None] * 7))
         one = order[new][kept]
-        out.append((None, None, None, ids[kept], total[kept], None, first[one], rest[one]))
+        out.append((*[None] * 6, ids[kept], total[kept], first[one], rest[one]))
         yield answer_batch(out)
 
     return space.cut(dealt(asked, groups).mapInArrow(by_key(answer), ANSWERS), "pairs")
 
 
 def ask_pairs(chunk: int, first: np.ndarray, rest: np.ndarray, counts: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Distinct pairs of a chunk, dealt to groups by hash."""
+    """Distinct pairs of a chunk, in ascending order, dealt to groups by hash."""
     shard = mixed(first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.astype(np.uint64)) % np.uint64(groups)
     order = np.argsort(shard, kind="stable")
     shards, firsts = np.unique(shard[order], return_index=True)
     ends = np.append(firsts[1:], len(order))
     return pa.RecordBatch.from_arrays(
-        [pa.array(shards.astype(np.int32)), pa.array([chunk] * len(shards), pa.int64()), lists(ends, order, pa.int32()),
-         lists(ends, first[order], pa.int64()), lists(ends, rest[order], pa.int64()), lists(ends, counts[order], pa.int64())],
+        [pa.array(shards.astype(np.int32)), pa.array([chunk] * len(shards), pa.int64()), split(gaps, order, firsts, ends),
+         split(gaps, first[order], firsts, ends), split(planes, rest[order], firsts, ends), split(planes, counts[order], firsts, ends)],
         ["shard", "chunk", "at", "first", "rest", "counts"])
 
 
-ASKED_PAIRS = "shard int, chunk bigint, at array<int>, first array<bigint>, rest array<bigint>, counts array<bigint>"
+ASKED_PAIRS = "shard int, chunk bigint, at binary, first binary, rest binary, counts binary"
 
 
 def looked_up(answers: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(number, count) of each of a chunk's ``size`` keys from the answers to it; zeros where none was given."""
     ids, counts = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    flat = [answers.column(c).combine_chunks().flatten() for c in ("at", "ids", "counts")]
-    at = np.asarray(flat[0])
-    ids[at], counts[at] = np.asarray(flat[1]), np.asarray(flat[2])
+    for at, numbers, times in zip(*[answers.column(c).to_pylist() for c in ("at", "numbers", "times")]):
+        place = from_gaps(at)
+        ids[place] = from_planes(numbers)
+        if times is not None:
+            counts[place] = from_planes(times)
     return ids, counts
+
+
+def answered(asking: DataFrame, answers: DataFrame, join: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Bring each chunk together with the answers to it."""
+    given = answers.where("chunk is not null").select("chunk", "at", "numbers", "times")
+    return asking.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(join, schema)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.batches import partitions
-from ledgerloom.llm.chunks import (ASKED_PAIRS, array_of, ask_pairs, from_planes, lists, looked_up, number_pairs,
-                                   number_words, text_chunks)
+from ledgerloom.llm.chunks import (ASKED_PAIRS, answered, ask_pairs, from_gaps, from_planes, gaps, looked_up, number_pairs,
+                                   number_words, planes, text_chunks)
 from ledgerloom.storage import Workspace
 
 LEAST = 30
@@ -21,7 +21,8 @@ SCALE = 2_000_000
 COVERED_PERCENT = 80
 BLANKS = b" \t"
 BREAKS = b".,;:!?\n\v\f\r"
-RELATION = "chunk bigint, positions array<int>, ids array<bigint>"
+#: Occurrences of groups with a number, sorted by position (``gaps``, ``planes``).
+RELATION = "chunk bigint, positions binary, ids binary"
 
 
 def neighbours(positions: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -39,19 +40,18 @@ def neighbours(positions: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.n
 def relation_of(number: int, positions: np.ndarray, ids: np.ndarray) -> pa.Table:
     """Occurrences whose group has a number, in order of position."""
     kept = np.flatnonzero(ids)
-    return pa.table({"chunk": pa.array([number], pa.int64()), "positions": lists(np.array([len(kept)]), positions[kept], pa.int32()),
-                     "ids": lists(np.array([len(kept)]), ids[kept], pa.int64())})
+    return pa.table({"chunk": pa.array([number], pa.int64()), "positions": pa.array([gaps(positions[kept])], pa.binary()),
+                     "ids": pa.array([planes(ids[kept])], pa.binary())})
 
 
-def _row(table: pa.Table, *columns: str) -> list:
-    return [array_of(table.column(c)[0]) for c in columns]
+NONE = relation_of(0, np.zeros(0, np.int64), np.zeros(0, np.int64)).slice(0, 0)
 
 
 def _words(left: pa.Table, right: pa.Table) -> pa.Table:
     """The relation of frequent words of a chunk."""
     if not left.num_rows:
-        return relation_of(0, np.zeros(0, np.int32), np.zeros(0, np.int64)).slice(0, 0)
-    tokens, positions = (from_planes(left.column(c)[0].as_py()) for c in ("tokens", "positions"))
+        return NONE
+    tokens, positions = from_planes(left.column("tokens")[0].as_py()), from_gaps(left.column("positions")[0].as_py())
     ids, _ = looked_up(right, int(tokens.max(initial=-1)) + 1)
     return relation_of(left.column("chunk")[0].as_py(), positions, ids[tokens])
 
@@ -59,8 +59,8 @@ def _words(left: pa.Table, right: pa.Table) -> pa.Table:
 def _longer(left: pa.Table, right: pa.Table) -> pa.Table:
     """Semi join: the relation of phrases one word longer, of frequent groups only."""
     if not left.num_rows:
-        return relation_of(0, np.zeros(0, np.int32), np.zeros(0, np.int64)).slice(0, 0)
-    positions, ids = _row(left, "positions", "ids")
+        return NONE
+    positions, ids = from_gaps(left.column("positions")[0].as_py()), from_planes(left.column("ids")[0].as_py())
     at, first, _, inverse = neighbours(positions, ids)
     numbers, _ = looked_up(right, len(first))
     return relation_of(left.column("chunk")[0].as_py(), positions[at], numbers[inverse])
@@ -69,19 +69,14 @@ def _longer(left: pa.Table, right: pa.Table) -> pa.Table:
 def _asking(groups: int):
     def run(batches):
         for batch in batches:
-            for chunk, positions, ids in zip(*batch.columns):
-                _, first, rest, inverse = neighbours(array_of(positions), array_of(ids))
+            for chunk, positions, ids in zip(*[c.to_pylist() for c in batch.columns]):
+                _, first, rest, inverse = neighbours(from_gaps(positions), from_planes(ids))
                 if len(first):
-                    yield ask_pairs(chunk.as_py(), first, rest, np.bincount(inverse, minlength=len(first)), groups)
+                    yield ask_pairs(chunk, first, rest, np.bincount(inverse, minlength=len(first)), groups)
 
     return run
 
 
-def _answered(relation: DataFrame, answers: DataFrame, join) -> DataFrame:
-    asked = answers.where("chunk is not null").select("chunk", "at", "ids", "counts")
-    return relation.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(join, RELATION)
-
-
 def frequent_phrases(transactions: DataFrame, text: str, per: str, space: Workspace, least: int = LEAST,
                      longest: int = LONGEST, unnamed: str = "und") -> tuple[DataFrame, list[DataFrame]]:
     """(words per group, phrases of 2, 3, ... words): every phrase that occurs ``least`` times or more in its group.
@@ -95,7 +90,7 @@ def frequent_phrases(transactions: DataFrame, text: str, per: str, space: Worksp
     chunks = space.cut(text_chunks(texts, per="per", blanks=BLANKS, breaks=BREAKS), "chunks")
     totals = space.cut(chunks.groupBy("per").agg(F.sum((F.octet_length("tokens") / 8).cast("bigint")).alias("n")), "totals")
     answers = number_words(chunks, space, least)
-    relation = space.cut(_answered(chunks.select("chunk", "tokens", "positions"), answers, _words), "relation")
+    relation = space.cut(answered(chunks.select("chunk", "tokens", "positions"), answers, _words, RELATION), "relation")
     space.drop(chunks)
     group = F.explode(F.arrays_zip(F.split(F.col("words").cast("string"), " ").alias("word"), "ids", "counts")).alias("g")
     none = F.array().cast("array<bigint>")
@@ -108,7 +103,7 @@ def frequent_phrases(transactions: DataFrame, text: str, per: str, space: Worksp
         answers = number_pairs(relation.mapInArrow(_asking(groups), ASKED_PAIRS), space, least)
         shorter = relation
         if width < longest:
-            relation = space.cut(_answered(shorter, answers, _longer), "relation")
+            relation = space.cut(answered(shorter, answers, _longer, RELATION), "relation")
         space.drop(shorter)
         pairs = answers.where("chunk is null").select(
             F.explode(F.arrays_zip("ids", "counts", "first", "rest")).alias("g")).select("g.*")
