@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as V
 from ledgerloom.functions import text as X
+from ledgerloom.operators.rule_index import indexed_matches, with_literals
 from ledgerloom.sources.rules import RULE_SCHEMA, Rules
 from ledgerloom.storage import broadcast_if_small, materialize, spread
 
@@ -54,6 +55,25 @@ def with_rule_match(df: DataFrame, subject: str, rules: list, target: str, flags
         F.element_at(categories, F.col(number)).alias("category")))).drop(number)
 
 
+def with_rule_table(df: DataFrame, subject: str, rules: DataFrame, target: str, flags: str = "(?i)") -> DataFrame:
+    """As ``with_rule_match``, for ``rules`` (ord, pattern, merchant, category) of any number.
+
+    Rules with a required literal go through the index; the rest are tried as expressions, in ``ord``.  Of several rules with
+    one ``ord`` the one with the smallest pattern counts.
+    """
+    rules = materialize(with_literals(rules.groupBy("ord").agg(F.min(F.struct("pattern", "merchant", "category")).alias("r"))
+                                      .select("ord", "r.*")), "rules")
+    found = indexed_matches(df, subject, rules.where("literals is not null"), flags)
+    others = rules.where("literals is null").select("pattern", F.col("ord").cast("string").alias("ord")).orderBy(F.col("ord").cast("bigint")).collect()
+    if others:
+        texts = spread(df.select(F.col(subject).alias("subject")).where("subject is not null").distinct(), "subject")
+        tried = with_rule_match(texts, "subject", [(r["pattern"], r["ord"], "") for r in others], "hit", flags)
+        found = found.unionByName(tried.where("hit is not null").select("subject", F.col("hit.merchant").cast("bigint").alias("ord")))
+        found = found.groupBy("subject").agg(F.min("ord").alias("ord"))
+    hits = materialize(found.join(rules, "ord").select(F.col("subject").alias(subject), F.struct("merchant", "category").alias(target)), "hits")
+    return df.join(broadcast_if_small(hits), subject, "left")
+
+
 def with_originator_rule(df: DataFrame, originator: str, ach_rules: DataFrame, target: str) -> DataFrame:
     """Struct of the rule keyed on the originator id (an equi lookup on ``upper(trim(id))``).
 
@@ -99,7 +119,10 @@ def classify_texts(texts: DataFrame, rules: Rules | None = None) -> DataFrame:
         "subject": F.upper("subject_text"),
         "payee_text": X.strip_ach_tail(F.col("subject_text")),
     })
-    df = with_rule_match(df, "subject", rules.merchants, "user_hit", "(?i)")
+    if rules.table is not None:
+        df = with_rule_table(df, "subject", rules.table, "user_hit")
+    else:
+        df = with_rule_match(df, "subject", rules.merchants, "user_hit", "(?i)")
     df = with_rule_match(df, "subject", V.DESCRIPTOR_RULES, "shipped_hit")
     df = with_rule_match(df, "subject", V.ARRIVAL_RULES, "arrival_hit", "(?i)")
     df = with_rail_outcome(df, "rail_text", rules.payees, "rail_hit")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -13,13 +14,15 @@ from ledgerloom.operators import detect as D
 from ledgerloom.operators import extract as P
 from ledgerloom.operators import spend as S
 from ledgerloom.operators import suggest as G
+from ledgerloom.operators.memory import ClassificationMemory
 from ledgerloom.plans import check_sql as C
 from ledgerloom.plans import render as RD
 from ledgerloom.plans import testview as T
 from ledgerloom.plans.check_sql import d, n, on_ledger, on_statements, s
-from ledgerloom.plans.registry import add
+from ledgerloom.plans.registry import SQL, add
 from ledgerloom.sources import lines as LN
 from ledgerloom.sources.rules import Rules
+from ledgerloom.storage import checkpoint_root
 
 RUN, CARD, SEC, ANC = "chase_checking", "chase_credit", "boa_checking", "wellsfargo_checking"
 
@@ -296,6 +299,18 @@ add("t15_recategorize", lambda k, f: K.recategorize(T.ledger(k, f), NEW_RULES).w
  where regexp_matches(match_text, '(?i)cold (ring|bolt)') and kind not in ('payment', 'fee', 'interest', 'cash_advance')
  and not (kind <> 'deposit' and regexp_matches(match_text, 'CO ID:(9000000007|9000000011)')))
  select txn_id, former_merchant, former_category, merchant, category from moved"""))
+
+
+def recategorized_from_memory(k, f):
+    """Outcomes under changed rules from a memory filled under the former ones; only texts they touch run again."""
+    memory = ClassificationMemory(k, f"{checkpoint_root(k)}/memory-{uuid.uuid4().hex}")
+    memory.update(T.ledger(k, f), T.USER_RULES)
+    former = T.ledger(k, f).withColumnsRenamed({"merchant": "former_merchant", "category": "former_category"})
+    return memory.classify(former, NEW_RULES)
+
+
+add("t15_recategorize_memory", lambda k, f: recategorized_from_memory(k, f).where("not (merchant <=> former_merchant) or not (category <=> former_category)")
+    .select("txn_id", "former_merchant", "former_category", "merchant", "category"), SQL["t15_recategorize"])
 add("t15_applied", lambda k, f: K.applied(S.spend_rows(T.ledger(k, f)), "Groceries"),
     on_ledger("select count(*) filter (where category = 'Groceries') as applied from spend"))
 

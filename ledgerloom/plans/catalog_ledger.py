@@ -100,6 +100,35 @@ add("j2_first_matching_rule", lambda k, f: K.with_rule_match(
     f"""with {C.TX}, t as (select distinct upper(coalesce(nullif(descriptor, ''), description)) as subject from tx),
  m as (select subject, {C.rule_number('subject', V.DESCRIPTOR_RULES)} as no from t)
  select subject, {C.pick(V.DESCRIPTOR_RULES, 1, 'no')} as rule_merchant, {C.pick(V.DESCRIPTOR_RULES, 2, 'no')} as rule_category from m""")
+
+
+def rules_by_part(k, f):
+    """Over 20,000 rules at any scale: a regex for every second pair of part and nation, then one for each part name."""
+    pairs = T.read(k, f, "part").crossJoin(F.broadcast(T.read(k, f, "nation"))).where("(p_partkey + n_nationkey) % 2 = 0").selectExpr(
+        "p_partkey * 25 + n_nationkey as ord", "'#' || p_partkey || ' +' || n_name || '\\\\b' as pattern", "p_name || ' ' || n_name as merchant",
+        "p_brand as category")
+    names = T.read(k, f, "part").groupBy("p_name").agg((F.lit(10 ** 9) + F.min("p_partkey")).alias("ord")).selectExpr(
+        "ord", "p_name as pattern", "p_name as merchant", "'by name' as category")
+    return pairs.unionByName(names)
+
+
+add("j2_rules_as_table", lambda k, f: K.with_rule_table(
+        S.with_match_text(L(k, f)).select(F.upper("match_text").alias("subject")).distinct(), "subject", rules_by_part(k, f), "hit")
+    .select("subject", F.col("hit.merchant").alias("rule_merchant"), F.col("hit.category").alias("rule_category")),
+    f"""with {C.TX}, t as (select distinct upper(coalesce(nullif(descriptor, ''), description)) as subject from tx),
+ x as (select subject, unnest(regexp_extract_all(subject, '#([0-9]+) ', 1)) as pk from t),
+ a as (select distinct subject, p_partkey * 25 + n_nationkey as ord, p_name || ' ' || n_name as m, p_brand as c from x
+  join part on cast(p_partkey as string) = pk join nation on (p_partkey + n_nationkey) % 2 = 0 and regexp_matches(subject, '#' || pk || ' +' || upper(n_name) || '\b')),
+ b as (select subject, 1000000000 + low as ord, p_name as m, 'by name' as c from t join (select p_name, min(p_partkey) as low from part group by 1) n on contains(subject, upper(p_name))),
+ best as (select subject, arg_min(m, ord) as m, arg_min(c, ord) as c from (select * from a union all select * from b) group by 1)
+ select t.subject, m as rule_merchant, c as rule_category from t left join best using (subject)""")
+add("j2_rules_as_table_shipped", lambda k, f: K.with_rule_table(
+        S.with_match_text(L(k, f)).select(F.upper("match_text").alias("subject")).distinct(), "subject",
+        k.createDataFrame([(i, *r) for i, r in enumerate(V.DESCRIPTOR_RULES)], "ord bigint, pattern string, merchant string, category string"), "hit", "")
+    .select("subject", F.col("hit.merchant").alias("rule_merchant"), F.col("hit.category").alias("rule_category")),
+    f"""with {C.TX}, t as (select distinct upper(coalesce(nullif(descriptor, ''), description)) as subject from tx),
+ m as (select subject, {C.rule_number('subject', V.DESCRIPTOR_RULES)} as no from t)
+ select subject, {C.pick(V.DESCRIPTOR_RULES, 1, 'no')} as rule_merchant, {C.pick(V.DESCRIPTOR_RULES, 2, 'no')} as rule_category from m""")
 add("j3_payee_prefix", lambda k, f: K.with_rail_outcome(L(k, f), "description", T.USER_RULES.payees, "hit")
     .where("hit is not null").select("txn_id", F.col("hit.merchant").alias("rule_merchant"), F.col("hit.category").alias("rule_category")),
     f"""with {C.TX} select txn_id,

@@ -1,8 +1,8 @@
 """User rules: loading, validation and the update of one entry.
 
 A rules file is one JSON object with optional sections ``payees``, ``ach`` and ``merchants``.
-Rules are small reference data written by people; they are read on the driver once to build
-expressions, and offered as a DataFrame for everything that treats them as data.
+A few thousand rules are read on the driver once to build expressions; a larger set of merchant rules stays a
+DataFrame and is matched through an index.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ledgerloom import fixed_values as V
 
 RULE_SCHEMA = "ord int, stage string, pattern string, merchant string, category string"
+LISTED_RULES = 2_000
 RULES_JSON = T.StructType([
     T.StructField("payees", T.MapType(T.StringType(), T.StringType())),
     T.StructField("ach", T.MapType(T.StringType(), T.StringType())),
@@ -34,6 +35,7 @@ class Rules:
     payees: list = field(default_factory=list)      # (prefix, label, category)
     ach: list = field(default_factory=list)         # (originator id, merchant, category)
     merchants: list = field(default_factory=list)   # (pattern, merchant, category)
+    table: DataFrame | None = None                  # merchant rules (ord, pattern, merchant, category) in place of the list
 
 
 def check_patterns(spark: SparkSession, patterns: list[str], where: str) -> None:
@@ -82,18 +84,23 @@ def rules_frame(spark: SparkSession, path: str) -> DataFrame:
     return payees.unionByName(ach).unionByName(merchants)
 
 
-def rules_from_frame(frame: DataFrame, limit: int = 100_000) -> Rules:
-    """Rules as values for building expressions.  The table is hand-written and must be small."""
-    rows = frame.orderBy("stage", "ord", "pattern").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise RulesError(f"more than {limit} rules; keep them as a table and join")
-    by = {s: [(r["pattern"], r["merchant"], r["category"]) for r in rows if r["stage"] == s]
-          for s in ("payee", "ach", "merchant")}
-    return Rules(by["payee"], by["ach"], by["merchant"])
+def rules_from_frame(frame: DataFrame, most: int = LISTED_RULES) -> Rules:
+    """Rules as values for building expressions; merchant rules beyond ``most`` stay a table that is matched by its index.
 
-
-def load_rules(spark: SparkSession, path: str) -> Rules:
-    rules = rules_from_frame(rules_frame(spark, path))
+    Payee and originator rules are prefixes and ids that people enter one by one; both are read whole.
+    """
+    merchants = frame.where("stage = 'merchant'")
+    listed = merchants.orderBy("ord", "pattern").limit(most + 1).collect()
+    many = len(listed) > most
+    rows = frame.where("stage <> 'merchant'").orderBy("stage", "ord", "pattern").collect()
+    by = {s: [(r["pattern"], r["merchant"], r["category"]) for r in rows if r["stage"] == s] for s in ("payee", "ach")}
+    return Rules(by["payee"], by["ach"], [] if many else [(r["pattern"], r["merchant"], r["category"]) for r in listed],
+                 merchants.select("ord", "pattern", "merchant", "category") if many else None)
+
+
+def load_rules(spark: SparkSession, path: str, most: int = LISTED_RULES) -> Rules:
+    """The rules of a file.  Listed patterns are compiled here; those of a table when they first run."""
+    rules = rules_from_frame(rules_frame(spark, path), most)
     check_patterns(spark, ["(?i)" + p for p, _, _ in rules.merchants], path)
     return rules
 
