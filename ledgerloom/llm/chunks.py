@@ -76,8 +76,17 @@ def parted(blob: bytes) -> pa.BinaryArray:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Whole numbers as bytes, all lowest bytes first: the upper ones of small numbers then compress to nothing."""
-    return np.ascontiguousarray(values, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers from 0 as bytes: all lowest bytes, then all second ones, as many as the largest number needs."""
+    values = np.ascontiguousarray(values, np.int64)
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def from_planes(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    out = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1).T
+    return out.view(np.int64).ravel()
 
 
 def gaps(values: np.ndarray) -> bytes:
@@ -89,10 +98,6 @@ def from_gaps(blob: bytes) -> np.ndarray:
     return np.cumsum(from_planes(blob))
 
 
-def from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-
-
 def split(code: Callable[[np.ndarray], bytes], values: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Consecutive parts of ``values``, each coded."""
     return pa.array([code(values[a:b]) for a, b in zip(firsts, ends)], pa.binary())

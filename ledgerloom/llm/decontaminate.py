@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,7 +70,7 @@ def _members(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """``items`` (item_id, text) -> (item_id, words: array<bigint>), items of too few words left out."""
+    """``items`` (item_id, text) -> (item_id, words: array<bigint>), items without words left out."""
     kind = items.schema["item_id"].dataType.simpleString()
 
     def run(batches):
@@ -81,7 +83,7 @@ def item_words(items: DataFrame) -> DataFrame:
                                              ["item_id", "words"])
 
     return (items.where("item_id is not null").select("item_id", "text")
-            .mapInArrow(run, f"item_id {kind}, words array<bigint>").where(F.size("words") >= LEAST_WORDS))
+            .mapInArrow(run, f"item_id {kind}, words array<bigint>").where(F.size("words") > 0))
 
 
 def _gram_frequencies(statements: DataFrame, grams: np.ndarray) -> dict[int, int]:
@@ -181,6 +183,41 @@ def _candidates(statements: DataFrame, seeds: np.ndarray, owners: list[np.ndarra
             .mapInArrow(run, f"stmt_id {kind}, item int, first bigint, words array<bigint>"))
 
 
+def _whole_copies(statements: DataFrame, items: dict[int, np.ndarray]) -> DataFrame:
+    """Places where all words of a short item stand in a row, in the form of ``_candidates``."""
+    kind = statements.schema["stmt_id"].dataType.simpleString()
+    tables = []
+    for n in sorted({len(w) for w in items.values()}):
+        mine = [(int(gram_hashes(w.astype(np.uint64), np.zeros(n, np.int64), n)[0][0]), k) for k, w in items.items() if len(w) == n]
+        hashes = np.array(sorted({h for h, _ in mine}), np.int64)
+        tables.append((n, hashes, [np.array([k for h, k in mine if h == x], np.int32) for x in hashes]))
+    shared = statements.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches):
+        for table in chunked(batches, CHUNK_BYTES, "text"):
+            ids = table.column("stmt_id").combine_chunks()
+            words, owner = word_hashes([t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()])
+            for n, hashes, owners in shared.value:
+                values, at = gram_hashes(words, owner, n)
+                found = _members(hashes, values)
+                hit = np.flatnonzero(found >= 0)
+                if not len(hit):
+                    continue
+                item = np.concatenate([owners[k] for k in found[hit]])
+                place = np.repeat(at[hit], [len(owners[k]) for k in found[hit]])
+                first = np.unique(np.stack([owner[place], item, place]), axis=1)
+                first = first[:, np.append(True, (first[:2, 1:] != first[:2, :-1]).any(axis=0))]  # one place of a text and item
+                offsets = np.arange(0, n * (first.shape[1] + 1), n, dtype=np.int32)
+                lists = words[(first[2][:, None] + np.arange(n)).ravel()].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(first[0])), pa.array(first[1].astype(np.int32)),
+                     pa.array(first[2] - np.searchsorted(owner, first[0])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(lists))],
+                    ["stmt_id", "item", "first", "words"])
+
+    return (statements.where("stmt_id is not null").select("stmt_id", "text")
+            .mapInArrow(run, f"stmt_id {kind}, item int, first bigint, words array<bigint>"))
+
+
 def _scored(passages: DataFrame, items: list[np.ndarray], threshold: float) -> DataFrame:
     """Alignment of each distinct passage with its item, where the share of the best score is enough."""
     shared = passages.sparkSession.sparkContext.broadcast(items)
@@ -221,8 +258,8 @@ def contaminated_statements(statements: DataFrame, items: DataFrame, threshold:
     Words are runs of letters, digits and bytes above ASCII, A-Z lower-cased.  Every ``SPACING``
     n-grams of an item in a row, the one that the fewest statements hold is a seed, by counts over
     all statements; it is a seed however frequent it is.  Passages around seeds that are alike are
-    aligned once.  Items under ``LEAST_WORDS`` words are no evidence and are not searched; null texts are
-    empty; rows with a null id are left out; repeated ids give their best row.  Items are handled in
+    aligned once.  Of items under ``LEAST_WORDS`` words only copies of the whole item, word for word, are found
+    (score 1), by the hash of its words in a row; items without words are not searched.  Null texts are empty; rows with a null id are left out; repeated ids give their best row.  Items are handled in
     blocks of about ``GRAMS_PER_BLOCK`` words, which bounds what is sent to tasks.
     """
     spark = statements.sparkSession
@@ -238,15 +275,19 @@ def contaminated_statements(statements: DataFrame, items: DataFrame, threshold:
         if not rows:
             continue
         words = [np.array(r["words"], np.int64) for r in rows]
-        grams = np.unique(np.concatenate([gram_hashes(w.astype(np.uint64), np.zeros(len(w), np.int64))[0] for w in words]))
-        frequency = _gram_frequencies(statements, grams)
-        pairs = sorted({(int(g), i) for i, w in enumerate(words) for g in rare_seeds(w, frequency)})
-        seeds = np.array(sorted({g for g, _ in pairs}), np.int64)
-        owners: list[list[int]] = [[] for _ in seeds]
-        for g, i in pairs:
-            owners[int(np.searchsorted(seeds, g))].append(i)
-        passages = space.cut(_candidates(statements, seeds, [np.array(o) for o in owners],
-                                         np.array(list(map(len, words)))), "passages")
+        long = {i: w for i, w in enumerate(words) if len(w) >= LEAST_WORDS}
+        short = {i: w for i, w in enumerate(words) if len(w) < LEAST_WORDS}
+        parts = [_whole_copies(statements, short)] if short else []
+        if long:
+            grams = np.unique(np.concatenate([gram_hashes(w.astype(np.uint64), np.zeros(len(w), np.int64))[0] for w in long.values()]))
+            frequency = _gram_frequencies(statements, grams)
+            pairs = sorted({(int(g), i) for i, w in long.items() for g in rare_seeds(w, frequency)})
+            seeds = np.array(sorted({g for g, _ in pairs}), np.int64)
+            owners: list[list[int]] = [[] for _ in seeds]
+            for g, i in pairs:
+                owners[int(np.searchsorted(seeds, g))].append(i)
+            parts.append(_candidates(statements, seeds, [np.array(o) for o in owners], np.array(list(map(len, words)))))
+        passages = space.cut(reduce(DataFrame.union, parts), "passages")
         scored = space.cut(_scored(passages, words, threshold), "scored")
         names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)],
                                       f"item int, item_id {items.schema['item_id'].dataType.simpleString()}")

@@ -17,6 +17,8 @@ FILTERS = 16
 CLASSES = 64
 SAMPLE_PER_LANGUAGE = 512
 SAMPLE_CHARACTERS = 512
+MOST_LANGUAGES = 200
+LEAST_SCORE = 0.3
 EPOCHS = 12
 BATCH = 64
 WINDOWS_AT_ONCE = 2048
@@ -155,8 +157,15 @@ def training_sample(statements: DataFrame, per_language: int = SAMPLE_PER_LANGUA
             .groupBy("lang", "slot").agg(F.min_by("passage", F.struct("order", "passage")).alias("passage")))
 
 
+def common_languages(labelled: DataFrame, most: int = MOST_LANGUAGES) -> list[str]:
+    """The ``most`` labels with the most labelled texts (ties by name): what is learned, however dirty the column is."""
+    counted = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count()
+    return [r["lang"] for r in counted.orderBy(F.desc("count"), "lang").limit(most).collect()]
+
+
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
     """Train on ``labelled`` (text, lang); None if it holds no labelled letter."""
+    labelled = labelled.where(F.col("lang").isin(common_languages(labelled)))
     rows = sorted((r["lang"], r["passage"]) for r in training_sample(labelled, per_language).collect())
     return train([r[1].encode() for r in rows], [r[0] for r in rows]) if rows else None
 
@@ -218,17 +227,27 @@ def held_out(number: str = "stmt_id"):
 def identify_languages(statements: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """Learn languages from the labelled statements that are not held out and judge all of them.
 
-    ``statements`` (stmt_id, text, lang, ...) -> (stmt_id, held_out, lang_pred, score).  ``lang``
-    teaches and is no input of a prediction.
+    ``statements`` (stmt_id, text, lang, ...) -> (stmt_id, held_out, lang_pred, score), one row per row.  ``lang``
+    teaches and is no input of a prediction; of more than ``MOST_LANGUAGES`` labels the most common ones are learned.
+    A null text, or one without a letter, is ``und``; every window of a text of any length counts; between
+    equally likely languages the first by name wins; repeated rows and null ids stay; an empty table gives an
+    empty result.
     """
     net = fit(statements.where(~held_out()).select("text", "lang"), per_language)
     return predict(statements, net).withColumnRenamed("carried_0", "stmt_id").select(
         "stmt_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def with_known_language(statements: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """The statements, with all their columns, whose text is in some language (not ``und``)."""
+def with_known_language(statements: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, least: float = LEAST_SCORE) -> DataFrame:
+    """The statements, with all their columns, whose text is in some language that was learned.
+
+    A text goes if it is null or has no letter, or if the network gives its best language less than ``least``: far below
+    what texts of a learned language get, and only reachable with more than three languages.  If no language
+    could be learned (no labels), every text with a letter stays.  Repeated rows stay; an empty table stays empty.
+    """
     columns = statements.columns
     net = fit(statements.where(~held_out()).select("text", "lang"), per_language)
-    judged = predict(statements, net, tuple(columns)).where("lang_pred <> 'und'")
+    if net is None:
+        return statements.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    judged = predict(statements, net, tuple(columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return judged.select(*[F.col(f"carried_{k}").alias(c) for k, c in enumerate(columns)])

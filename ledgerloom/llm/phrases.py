@@ -88,7 +88,7 @@ def frequent_phrases(transactions: DataFrame, text: str, per: str, space: Worksp
     texts = transactions.select(F.col(text).cast("string").alias("text"),
                                 F.coalesce(F.col(per).cast("string"), F.lit(unnamed)).alias("per"))
     chunks = space.cut(text_chunks(texts, per="per", blanks=BLANKS, breaks=BREAKS), "chunks")
-    totals = space.cut(chunks.groupBy("per").agg(F.sum((F.octet_length("tokens") / 8).cast("bigint")).alias("n")), "totals")
+    totals = space.cut(chunks.groupBy("per").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("n")), "totals")
     answers = number_words(chunks, space, least)
     relation = space.cut(answered(chunks.select("chunk", "tokens", "positions"), answers, _words, RELATION), "relation")
     space.drop(chunks)

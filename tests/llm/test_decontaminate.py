@@ -30,7 +30,8 @@ def test_alignment_is_smith_waterman():
 
 def world():
     rng = random.Random(9)
-    items = [(k, prose(rng, rng.randint(20, 40))) for k in range(12)] + [(90, "too short"), (91, None), (None, prose(rng, 20))]
+    items = [(k, prose(rng, rng.randint(20, 40))) for k in range(12)] + [(90, "too short"), (91, None), (None, prose(rng, 20)), (92, " ?! "),
+        (93, "one two three four five six seven"), (94, "quux"), (95, "three four five six seven")]
     rows = [(i, prose(rng, rng.randint(1, 200))) for i in range(200)]
     planted = set()
     for i in range(0, 120, 3):
@@ -42,6 +43,10 @@ def world():
             del words[rng.randrange(len(words))]
         rows[i] = (i, prose(rng, 30) + " " + " ".join(words).upper() + ", " + prose(rng, 30))
         planted.add((i, k))
+    for i, k in ((1, 90), (2, 90), (4, 93), (5, 93), (7, 94), (8, 95)):
+        rows[i] = (i, f"{prose(rng, 20)} {'-' if i % 2 else ''}{dict(items)[k].title()}! {prose(rng, 20)} {dict(items)[k]}")
+        planted.add((i, k))
+    rows[10] = (10, "one two three four five six eight")
     return items, rows, planted
 
 
@@ -54,7 +59,11 @@ def test_matches_alignment_of_all_pairs(spark):
     for i, text in rows:
         for k, item in items:
             w = words(item)
-            if k is not None and len(w) >= D.LEAST_WORDS:
+            if k is not None and 0 < len(w) < D.LEAST_WORDS:
+                t = words(text)
+                if any(t[p:p + len(w)] == w for p in range(len(t))):
+                    want[i, k] = 1.0
+            elif k is not None and w:
                 score = smith_waterman(words(text), w) / (2 * len(w))
                 if score >= D.THRESHOLD:
                     want[i, k] = score

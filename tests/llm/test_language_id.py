@@ -62,3 +62,15 @@ def test_nothing_to_learn_from(spark):
     got = language_id.identify_languages(statements(spark, [(1, "words", None)])).collect()
     assert [tuple(r)[2:] for r in got] == [("und", 0.0)]
     assert language_id.identify_languages(statements(spark, [])).count() == 0
+
+
+L = language_id
+
+
+def test_stage_without_labels_keeps_texts_and_bounds_languages(spark):
+    rows = [(i, f"some words {i}") for i in range(20)] + [(30, None), (31, "12 %"), (32, "")]
+    kept = L.with_known_language(statements(spark, rows))
+    assert sorted(r["stmt_id"] for r in kept.collect()) == list(range(20)) and kept.columns == statements(spark, rows).columns
+    assert L.with_known_language(statements(spark, [])).count() == 0
+    dirty = statements(spark, [(i, f"text {i}", f"l{i % 7}" if i % 2 else "main") for i in range(60)])
+    assert L.common_languages(dirty, 3) == ["main", "l1", "l3"]

@@ -97,3 +97,13 @@ def test_query_is_brute_force_over_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("text", "lang").collect()]
     expected = brute(rows, 30)
     assert expected and rows_of(catalog.QUERIES["op12_phrase_mining"](spark, folder), "lang") == expected
+
+
+def test_lists_survive_their_coding():
+    import numpy as np
+
+    from ledgerloom.llm.chunks import from_gaps, from_planes, gaps, planes
+    for values in ([], [0], [255, 256, 0], [2 ** 40, 3], [2 ** 62]):
+        assert from_planes(planes(np.array(values, np.int64))).tolist() == values
+        assert from_gaps(gaps(np.array(sorted(values), np.int64))).tolist() == sorted(values)
+    assert len(planes(np.arange(200))) == 201
