@@ -56,30 +56,30 @@ def balance_chain(statements: DataFrame, key: list[str] = ACCOUNT, tolerance: fl
             .select(*key, "stmt_id", close.alias("prior_close"), opened.alias("opening_balance")))
 
 
-def account_movement(statements: DataFrame, key: list[str] = ACCOUNT) -> DataFrame:
+def account_movement(statements: DataFrame, key: list[str] = ACCOUNT, layouts=None) -> DataFrame:
     """First opening, last closing and the weighted change per account."""
     at = F.struct("period_start", "stmt_id")
     ends = with_balances(statements).groupBy(*key).agg(
         F.min_by(F.struct("opening_balance"), at).alias("o"), F.max_by(F.struct("closing_balance"), at).alias("c"))
     return ends.select(*key, F.col("o.opening_balance").alias("first_open"), F.col("c.closing_balance").alias("last_close"),
-                       polarity_of(F.col("account")).alias("polarity")).withColumn(
+                       polarity_of(F.col("account"), layouts).alias("polarity")).withColumn(
         "movement", (F.col("polarity") * (F.col("last_close") - F.col("first_open"))).cast("decimal(28,2)"))
 
 
 def net_position(statements: DataFrame, transactions: DataFrame, key: list[str] = ACCOUNT,
-                 tolerance: float = 0.01) -> DataFrame:
+                 tolerance: float = 0.01, layouts=None) -> DataFrame:
     """One row: net of all signed rows against the weighted movement of all balances.
 
     ``complete`` is false when an account lacks a balance or a polarity; the check is then void.
     """
-    moved = account_movement(statements, key).agg(
+    moved = account_movement(statements, key, layouts).agg(
         F.sum("movement").alias("expected"), F.bool_and(F.col("movement").isNotNull()).alias("complete"))
     total = transactions.agg(F.coalesce(F.sum("signed"), F.lit(0)).cast("decimal(28,2)")).scalar()
     return moved.withColumn("actual", total).withColumn(
         "ok", ~F.col("complete") | (F.abs(F.col("expected") - F.col("actual")) <= tolerance))
 
 
-def continuity(statements: DataFrame, transactions: DataFrame, key: list[str] = ACCOUNT) -> DataFrame:
+def continuity(statements: DataFrame, transactions: DataFrame, key: list[str] = ACCOUNT, layouts=None) -> DataFrame:
     """All problems across statements: ``(scope, account, account_last4, kind, detail, measured, expected)``."""
     money = "decimal(28,2)"
     label = account_label(F.col("account"), F.col("account_last4"))
@@ -100,7 +100,7 @@ def continuity(statements: DataFrame, transactions: DataFrame, key: list[str] =
         F.concat(label, F.lit(" opens at "), F.col("opening_balance").cast("string"), F.lit(" after closing at "),
                  F.col("prior_close").cast("string")).alias("detail"),
         F.col("opening_balance").cast(money).alias("measured"), F.col("prior_close").cast(money).alias("expected"))
-    net = net_position(statements, transactions, key).where(~F.col("ok")).select(
+    net = net_position(statements, transactions, key, layouts=layouts).where(~F.col("ok")).select(
         F.lit(None).cast("string").alias("stmt_id"), *[F.lit(None).cast("string").alias(c) for c in ACCOUNT],
         F.lit("net_position").alias("kind"),
         F.concat(F.lit("all rows sum to "), F.col("actual").cast("string"), F.lit(", all balances to "),
@@ -125,7 +125,11 @@ def run_totals(statements: DataFrame, transactions: DataFrame, checks: DataFrame
         counts = counts.unionByName(part)
     one = counts.agg(*[F.max(F.when(F.col("what") == n, F.col("n"))).alias(n)
                        for n in ("statements", "transactions", "failed_checks", "unparsed", "problems")])
-    return one.withColumn("can_generate", (F.col("failed_checks") == 0) & (F.col("unparsed") == 0) & (F.col("problems") == 0))
+    return with_verdict(one)
+
+
+def with_verdict(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("can_generate", (F.col("failed_checks") == 0) & (F.col("unparsed") == 0) & (F.col("problems") == 0))
 
 
 def statement_report(statements: DataFrame, transactions: DataFrame, checks: DataFrame, unparsed: DataFrame,

@@ -61,6 +61,9 @@ def inflow_rows(df: DataFrame) -> DataFrame:
     return df.where(is_inflow())
 
 
+LEDGER_ORDER = ["date", "account", "source_file", "source_line"]
+
+
 def spend_months(df: DataFrame) -> DataFrame:
     """The months present in spend: at most one row per calendar month.
 
@@ -80,11 +83,15 @@ def period_months(months: DataFrame, period="all") -> DataFrame:
         return months
     if isinstance(period, str) and len(period) == 4:
         return months.where(F.col("month").startswith(period))
-    return months.orderBy(F.desc("month")).limit(int(period))
+    newest = F.dense_rank().over(Window.orderBy(F.desc("month")))
+    return months.withColumn("newest", newest).where(F.col("newest") <= int(period)).select("month").distinct()
 
 
 def period_filter(df: DataFrame, months: DataFrame) -> DataFrame:
-    """Rows of the selected months; the month list is bounded by the calendar."""
+    """Rows of the selected months; the month list is bounded by the calendar.
+
+    Over a ledger in folders by month the join prunes at run time: only folders of selected months are read.
+    """
     return df.join(F.broadcast(months), "month", "left_semi")
 
 
@@ -356,7 +363,7 @@ def period_change(df: DataFrame, current: DataFrame, prior: DataFrame) -> DataFr
 
 def ledger_order(df: DataFrame) -> DataFrame:
     """The total order of the ledger export."""
-    return df.orderBy("date", "account", "source_file", "source_line")
+    return df.orderBy(*LEDGER_ORDER)
 
 
 def report_order(statements: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import check_sql as C
+from ledgerloom.operators import spend as SP
 from ledgerloom.plans import testview as T
 from ledgerloom.plans.check_sql import d, on_ledger, s
 from ledgerloom.plans.registry import add
@@ -51,8 +52,7 @@ def _picked_months(k, f):
     clean = T.ledger(k, f).agg(*[F.lit(0).alias(c) for c in ("failed_checks", "unparsed", "problems")])
     TB.gated_write({"transactions": TB.export_by_month(T.ledger(k, f))}, clean, root, fmt="parquet", partition_by={"transactions": ["month"]})
     ledger = TB.read_ledger(k, TB.current_version(k, root), "parquet")
-    months = sorted(r[0] for r in ledger.select("month").distinct().collect())[-6:]
-    return ledger.where(F.col("month").isin(months))
+    return SP.period_filter(ledger, SP.period_months(ledger.select("month").distinct(), 6))
 
 
 add("k1_ledger_by_month", lambda k, f: _picked_months(k, f).select("date", "month", "merchant", "category", "signed", "source_line"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,7 +20,7 @@ from ledgerloom.sources.lines import explode_lines
 from ledgerloom.sources.rules import Rules
 from ledgerloom.sources.tables import (export_by_category, export_by_month, export_statements, export_transactions,
                                       gated_write)
-from ledgerloom.storage import Workspace, materialize
+from ledgerloom.storage import Workspace, materialize, materialize_counted
 
 SUMMARY = "map<string,decimal(18,2)>"
 
@@ -35,6 +35,7 @@ class Proved:
     unparsed: DataFrame
     problems: DataFrame
     spaces: tuple[Workspace, ...] = ()
+    counts: dict[str, int] = field(default_factory=dict)  # taken while the tables were written
 
     def close(self) -> None:
         """Remove the tables of this corpus from the checkpoint folder; its frames cannot be read after that."""
@@ -42,7 +43,12 @@ class Proved:
             space.close()
 
     def totals(self) -> DataFrame:
-        return N.run_totals(self.statements, self.transactions, self.checks, self.unparsed, self.problems)
+        """Totals and the verdict: from counts of the tables as they were written, without reading them again."""
+        names = ["statements", "transactions", "failed_checks", "unparsed", "problems"]
+        if any(n not in self.counts for n in names):
+            return N.run_totals(self.statements, self.transactions, self.checks, self.unparsed, self.problems)
+        row = self.transactions.sparkSession.createDataFrame([[self.counts[n] for n in names]], ", ".join(f"{n} bigint" for n in names))
+        return N.with_verdict(row)
 
     def write(self, root: str, force: bool = False, strict: bool = False, fmt: str = "csv") -> bool:
         """Publish the three tables, only if nothing failed (or forced)."""
@@ -86,17 +92,19 @@ def _prove_lines(space: Workspace, lines: DataFrame, detections: DataFrame, layo
         "close_date": F.col("period_end"), "source_file": F.col("stmt_id")})
     if identity is not None:
         heads = heads.join(identity, "stmt_id", "left")
-    heads = space.keep(materialize(heads, "statements"))
     readable = F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
+    heads, counts = materialize_counted(heads, "statements", statements=F.count_if(readable))
+    heads = space.keep(heads)
     statements = heads.where(readable)
 
     periods = {name: f.select("stmt_id", "period_start", "period_end") for name, f in fields.items()}
     parsed = _union([P.parse_layout(of[x.name], x, periods[x.name], layout_lines) for x in layouts])
     # a row of a document that cannot be placed in time is reported, not dropped
     lost = F.col("unreadable") & (F.col("outcome") == "row")
-    parsed = space.keep(materialize(parsed.join(heads.select("stmt_id", (~readable).alias("unreadable")), "stmt_id").withColumns({
+    parsed, found = materialize_counted(parsed.join(heads.select("stmt_id", (~readable).alias("unreadable")), "stmt_id").withColumns({
         "text": F.when(lost & (F.col("text") == ""), F.col("description")).otherwise(F.col("text")),
-        "outcome": F.when(lost, F.lit("unparsed")).otherwise(F.col("outcome"))}).drop("unreadable"), "parsed"))
+        "outcome": F.when(lost, F.lit("unparsed")).otherwise(F.col("outcome"))}).drop("unreadable"), "parsed", unparsed=F.count_if(F.col("outcome") == "unparsed"))
+    parsed, counts = space.keep(parsed), counts | found
     carried = [c for c in dict.fromkeys(["account", "account_last4", "layout_name", *key])]
     rows = parsed.where("outcome = 'row'").drop("outcome", "text").join(
         statements.select("stmt_id", *carried, "period_start", "period_end", "source_file",
@@ -104,17 +112,21 @@ def _prove_lines(space: Workspace, lines: DataFrame, detections: DataFrame, layo
     rows = with_signed(rows).withColumns({
         "month": X.month_key(F.col("date")), "txn_id": F.struct("stmt_id", "source_line"),
         "descriptor": F.when(F.col("layout_name").isin([x.name for x in layouts if x.strips_envelope]), X.strip_envelope(F.col("description"))).otherwise("")})
-    transactions = space.keep(materialize(with_classification(rows, rules), "transactions"))
-    counts = transactions.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("txn_count"))
-    statements = statements.join(counts, "stmt_id", "left").fillna(0, ["txn_count"])
+    transactions, found = materialize_counted(with_classification(rows, rules), "transactions", transactions=F.count(F.lit(1)))
+    transactions, counts = space.keep(transactions), counts | found
+    per_statement = transactions.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("txn_count"))
+    statements = statements.join(per_statement, "stmt_id", "left").fillna(0, ["txn_count"])
 
     printed = transactions.withColumn("block", F.floor(F.col("source_line") / 1000))
     walked = F.col("layout_name").isin([x.name for x in layouts if x.walks_balance])
     checks = R.total_checks(statements, transactions, specs=layouts).unionByName(R.running_balance_breaks(
         statements, printed.where(walked), segments=["block"], order=["source_line"], specs=layouts))
-    problems = unreadable_documents(heads.where(~readable)).unionByName(N.continuity(statements, transactions, key))
-    return Proved(detections, statements, transactions, space.keep(materialize(checks, "checks")), P.unparsed_report(parsed),
-                  space.keep(materialize(problems, "problems")), (space,))
+    problems = unreadable_documents(heads.where(~readable)).unionByName(N.continuity(
+        statements, transactions, key, [x.registered() for x in layouts]))
+    checks, failed = materialize_counted(checks, "checks", failed_checks=F.count_if(~F.col("ok")))
+    problems, found = materialize_counted(problems, "problems", problems=F.count(F.lit(1)))
+    return Proved(detections, statements, transactions, space.keep(checks), P.unparsed_report(parsed), space.keep(problems),
+                  (space,), counts | failed | found)
 
 
 def unreadable_documents(heads: DataFrame) -> DataFrame:

@@ -31,15 +31,26 @@ def column_names(values: DataFrame, what: str, most: int = 1000) -> list[str]:
 
 
 def export_by_month(transactions: DataFrame) -> DataFrame:
-    """The export with its month, for tables in folders by month."""
-    return export_transactions(transactions).withColumn("month", F.date_format("date", "yyyy-MM"))
+    """The export with its month, for tables in folders by month: every file holds its month in export order.
+
+    Rows are dealt out by ranges of (month, export order) and sorted where they then lie, so a month is in few files and no
+    total order is made.
+    """
+    order = ["month", *S.LEDGER_ORDER]
+    rows = _with_balance(transactions).select(*V.TRANSACTION_FIELDS).withColumn("month", F.date_format("date", "yyyy-MM"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
+def _with_balance(transactions: DataFrame) -> DataFrame:
+    if "balance" in transactions.columns:
+        return transactions
+    return transactions.withColumn("balance", F.lit(None).cast("decimal(18,2)"))
 
 
 def export_transactions(transactions: DataFrame) -> DataFrame:
     """Export columns in export order, sorted."""
-    if "balance" not in transactions.columns:
-        transactions = transactions.withColumn("balance", F.lit(None).cast("decimal(18,2)"))
-    return S.ledger_order(transactions).select(*V.TRANSACTION_FIELDS)
+    return S.ledger_order(_with_balance(transactions)).select(*V.TRANSACTION_FIELDS)
 
 
 def export_statements(statements: DataFrame, checks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _scratch: str | None = None  # of a local session without the setting
@@ -47,6 +47,13 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize`` that takes aggregates of ``df`` while it is written, instead of by a scan of its own."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = materialize(df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()]), name)
+    return out, dict(seen.get)
+
+
 class Workspace:
     """Owner of the intermediate tables of one run.
 

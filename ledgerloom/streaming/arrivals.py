@@ -11,6 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.plans.proving import Proved, prove
 from ledgerloom.sources.lines import split_pages
 from ledgerloom.sources.rules import Rules
+from ledgerloom.storage import Workspace, materialize, remove_path
+from ledgerloom.streaming.accounts import AccountState
+
+TABLES = ("statements", "transactions", "checks", "unparsed", "problems")
 
 
 def arriving_pages(spark: SparkSession, folder: str, page_break: str = "\f", files_per_batch: int = 1000) -> DataFrame:
@@ -20,18 +24,31 @@ def arriving_pages(spark: SparkSession, folder: str, page_break: str = "\f", fil
     return split_pages(files.select(F.col("_metadata.file_path").alias("stmt_id"), "value"), page_break)
 
 
-def append_batch(root: str) -> Callable[[Proved, int], None]:
+def append_batch(root: str, state: AccountState | None = None) -> Callable[[Proved, int], None]:
     """A sink that writes a batch under its own number, so a repeated batch replaces itself.
 
-    A batch with a failed check, an unparsed line or a problem goes under ``held`` instead, for review.
-    Continuity is checked inside a batch; over all of them it is ``continuity`` on the tables written.
+    A batch with a failed check, an unparsed line or a problem goes under ``held`` instead, for review; whichever of the two
+    places a former run of the batch used, the other is cleared.  With ``state`` a batch also has to join up with what
+    earlier published batches left of each account, and only a published batch moves the state on.
     """
     def write(proved: Proved, batch: int) -> None:
-        clean = proved.totals().first()["can_generate"]
-        to = root if clean else f"{root}/held"
-        for name in ("statements", "checks", "unparsed", "problems"):
-            getattr(proved, name).write.mode("overwrite").parquet(f"{to}/{name}/batch={batch}")
-        proved.transactions.drop("txn_id").write.mode("overwrite").parquet(f"{to}/transactions/batch={batch}")
+        spark = proved.transactions.sparkSession
+        with Workspace(spark, "arrival"):
+            problems = proved.problems
+            if state is not None:
+                problems = materialize(problems.unionByName(state.problems(batch, proved.statements)), "problems")
+            clean = proved.totals().first()["can_generate"] and problems.isEmpty()
+            to, other = (root, f"{root}/held") if clean else (f"{root}/held", root)
+            frames = {"problems": problems, "transactions": proved.transactions.drop("txn_id")}
+            for name in TABLES:
+                frames.get(name, getattr(proved, name)).write.mode("overwrite").parquet(f"{to}/{name}/batch={batch}")
+            for name in TABLES:
+                remove_path(spark, f"{other}/{name}/batch={batch}")
+            if state is not None:
+                if clean:
+                    state.publish(batch, proved.statements)
+                else:
+                    remove_path(spark, f"{state.root}/batch={batch}")
 
     return write
 
@@ -41,8 +58,10 @@ def ingest(spark: SparkSession, folder: str, checkpoint: str, sink: Callable[[Pr
     """Prove each batch of arriving files and hand it to ``sink``; runs over what is there, then stops."""
     def on_batch(pages: DataFrame, batch: int) -> None:
         proved = prove(pages, rules=rules)
-        sink(proved, batch)
-        proved.close()
+        try:
+            sink(proved, batch)
+        finally:
+            proved.close()
 
     return (arriving_pages(spark, folder).writeStream.foreachBatch(on_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -335,3 +335,82 @@ def test_a_run_leaves_only_its_result(spark, folder):
     assert left == {"detections", "statements", "transactions", "parsed", "checks", "problems"}
     got.close()
     assert set(os.listdir(root)) == before
+
+
+def month_statement(month, opening, rows, closing):
+    """A sectioned statement of June or July 2026 and so on, whole months."""
+    names = {6: ("June", 30), 7: ("July", 31), 8: ("August", 31), 9: ("September", 30)}
+    name, days = names[month]
+    return ["bankofamerica.com", f"for {name} 01, 2026 to {name} {days}, 2026 Account number: 0000 0000 4321",
+            f"Beginning balance on {name} 01, 2026 ${opening:,.2f}", f"Ending balance on {name} {days}, 2026 ${closing:,.2f}", "Deposits and other additions",
+            *[f"{month:02d}/{d:02d}/26 PLUM PAY {a:.2f}" for d, a in rows], f"Total deposits and other additions ${sum(a for _, a in rows):.2f}"]
+
+
+def test_accounts_continue_over_batches(spark, folder):
+    from ledgerloom.streaming.accounts import AccountState
+    from ledgerloom.streaming.arrivals import append_batch
+    out = os.path.join(folder, "out")
+    state = AccountState(spark, os.path.join(folder, "state"))
+    sink = append_batch(out, state)
+
+    def run(batch, docs):
+        got = prove(spark.createDataFrame([(k, 1, "\n".join(v)) for k, v in docs.items()], "stmt_id string, page_no int, text string"))
+        sink(got, batch)
+        got.close()
+
+    def problems(place):
+        path = f"{place}/problems"
+        return sorted((r["batch"], r["kind"], r["measured"]) for r in spark.read.parquet(path).collect()) if os.path.exists(path) else []
+
+    june, july = month_statement(6, 100, [(3, 5.0)], 105), month_statement(7, 105, [(3, 5.0)], 110)
+    august, wrong = month_statement(8, 110, [(4, 1.0)], 111), month_statement(7, 107, [(3, 5.0)], 112)
+    run(0, {"june": june})
+    assert state.before(1).select("stmt_id", "closing_balance").first() == ("june", M("105.00"))
+    run(1, {"august": august})                    # July is missing
+    assert problems(f"{out}/held") == [(1, "balance_chain", M("110.00")), (1, "period_gap", M("31.00"))]
+    assert state.before(2).first()["stmt_id"] == "june"
+    for _ in range(2):                            # a repeated batch changes nothing
+        run(2, {"july": july, "august": august})
+        assert problems(out) == [] and state.before(3).first()["stmt_id"] == "august"
+        assert spark.read.parquet(f"{out}/transactions").count() == 3
+    run(2, {"july": wrong, "august": august})     # the verdict on a repeated batch turns: it moves, no copy stays
+    assert {r["batch"] for r in spark.read.parquet(f"{out}/transactions").select("batch").distinct().collect()} == {0}
+    assert (2, "balance_chain", M("107.00")) in problems(f"{out}/held") and state.before(3).first()["stmt_id"] == "june"
+    run(2, {"july": july, "august": august})
+    assert spark.read.parquet(f"{out}/transactions").count() == 3 and [p for p in problems(f"{out}/held") if p[0] == 2] == []
+    run(3, {"may": month_statement(6, 90, [(3, 5.0)], 95)})
+    assert (3, "late_statement", None) in problems(f"{out}/held")
+
+
+def test_counts_are_those_of_the_tables(proved):
+    from ledgerloom.operators.continuity import run_totals
+    again = run_totals(proved.statements, proved.transactions, proved.checks, proved.unparsed, proved.problems).first().asDict()
+    assert proved.totals().first().asDict() == again
+    assert "parquet" not in proved.totals()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_month_folders_hold_their_rows_in_order(spark, folder):
+    import glob
+
+    import pyarrow.parquet as pq
+    from ledgerloom.operators import spend as S
+    from ledgerloom.sources import tables as TB
+    rows = spark.range(3000).selectExpr(
+        "'checking' account", "'1' account_last4", "date_add(date'2025-01-01', cast(pmod(hash(id), 200) as int)) date", "'m' merchant", "'c' category",
+        "'d' description", "cast(id as decimal(18,2)) amount", "cast(id as decimal(18,2)) signed", "'withdrawal' kind", "date'2025-01-31' statement_close",
+        "date'2025-01-01' period_start", "date'2025-01-31' period_end", "'f' source_file", "id source_line")
+    export = TB.export_by_month(rows)
+    sorts = [x for x in export._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in x]
+    assert sorts and not any(x.endswith("true") for x in sorts)  # no total order
+    clean = spark.createDataFrame([(0, 0, 0)], "failed_checks int, unparsed int, problems int")
+    TB.gated_write({"transactions": export}, clean, folder, fmt="parquet", partition_by={"transactions": ["month"]})
+    path = TB.current_version(spark, folder)
+    files = glob.glob(f"{path}/transactions/month=*/*.parquet")
+    assert sum(pq.read_metadata(f).num_rows for f in files) == 3000 and len(files) <= 7 + 4
+    for f in files:
+        table = pq.ParquetFile(f).read(columns=["date", "source_line"]).to_pylist()
+        assert table == sorted(table, key=lambda r: (r["date"], r["source_line"]))
+    ledger = TB.read_ledger(spark, path, "parquet")
+    picked = S.period_filter(ledger, S.period_months(ledger.select("month").distinct(), 2))
+    assert "dynamicpruning" in picked._jdf.queryExecution().executedPlan().toString()
+    assert {r["month"] for r in picked.select("month").distinct().collect()} == {"2025-06", "2025-07"}
