@@ -36,24 +36,25 @@ def with_previous_statement(statements: DataFrame, key: list[str] = ACCOUNT) ->
         "previous": F.struct("stmt_id", "period_end", "closing_balance")}).drop("period_year")
 
 
-def period_gaps(statements: DataFrame, key: list[str] = ACCOUNT, pairs: DataFrame | None = None) -> DataFrame:
+def period_gaps(statements: DataFrame, key: list[str] = ACCOUNT, pairs: DataFrame | None = None,
+                carry: list[str] | None = None) -> DataFrame:
     """Signed gap (or overlap) days between consecutive statements of an account.
 
-    ``pairs``: the statements with the one before, if they are at hand already.
+    ``pairs``: the statements with the one before, if they are at hand already; ``carry``: more of their columns to keep.
     """
     pairs = with_previous_statement(statements, key) if pairs is None else pairs
     return (pairs.where(F.col("previous").isNotNull()).withColumn("days", F.datediff("period_start", F.col("previous.period_end")) - 1)
             .where(F.col("days") != 0)
-            .select(*key, "stmt_id", F.col("previous.period_end").alias("prior_end"), "period_start", "days"))
+            .select(*key, *(carry or []), "stmt_id", F.col("previous.period_end").alias("prior_end"), "period_start", "days"))
 
 
 def balance_chain(statements: DataFrame, key: list[str] = ACCOUNT, tolerance: float = 0.005,
-                  pairs: DataFrame | None = None) -> DataFrame:
+                  pairs: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
     """Statements whose opening balance is not the closing balance before it."""
     pairs = with_previous_statement(statements, key) if pairs is None else pairs
     close, opened = F.col("previous.closing_balance"), F.col("opening_balance")
     return (pairs.where(F.abs(close - opened) > tolerance)
-            .select(*key, "stmt_id", close.alias("prior_close"), opened.alias("opening_balance")))
+            .select(*key, *(carry or []), "stmt_id", close.alias("prior_close"), opened.alias("opening_balance")))
 
 
 def account_movement(statements: DataFrame, key: list[str] = ACCOUNT, layouts=None) -> DataFrame:
@@ -83,19 +84,15 @@ def continuity(statements: DataFrame, transactions: DataFrame, key: list[str] =
     """All problems across statements: ``(scope, account, account_last4, kind, detail, measured, expected)``."""
     money = "decimal(28,2)"
     label = account_label(F.col("account"), F.col("account_last4"))
-    wide = list(dict.fromkeys([*key, *ACCOUNT]))
-
-    def with_names(found: DataFrame) -> DataFrame:
-        missing = [c for c in wide if c not in found.columns]
-        return found if not missing else found.join(statements.select("stmt_id", *missing), "stmt_id")
-
-    pairs = materialize(with_previous_statement(statements, key), "previous")
-    gaps = with_names(period_gaps(statements, key, pairs)).select(
+    names = [c for c in ACCOUNT if c not in key]
+    needed = statements.select(*dict.fromkeys([*key, *ACCOUNT, "stmt_id", "period_start", "period_end", "summary"]))
+    pairs = materialize(with_previous_statement(needed, key).drop("summary"), "previous")
+    gaps = period_gaps(statements, key, pairs, names).select(
         "stmt_id", *ACCOUNT, F.lit("period_gap").alias("kind"),
         F.concat(label, F.lit(" has "), F.format_string("%+d", "days"), F.lit(" days between the period ending "),
                  F.col("prior_end").cast("string"), F.lit(" and the one starting "), F.col("period_start").cast("string")).alias("detail"),
         F.col("days").cast(money).alias("measured"), F.lit(0).cast(money).alias("expected"))
-    chain = with_names(balance_chain(statements, key, pairs=pairs)).select(
+    chain = balance_chain(statements, key, pairs=pairs, carry=names).select(
         "stmt_id", *ACCOUNT, F.lit("balance_chain").alias("kind"),
         F.concat(label, F.lit(" opens at "), F.col("opening_balance").cast("string"), F.lit(" after closing at "),
                  F.col("prior_close").cast("string")).alias("detail"),

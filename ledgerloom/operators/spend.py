@@ -72,6 +72,17 @@ def spend_months(df: DataFrame) -> DataFrame:
     return materialize(spend_rows(df).select("month").distinct(), "months")
 
 
+def active_months(df: DataFrame) -> DataFrame:
+    """The months in which anything was spent or came in."""
+    flows = spend_rows(df).select("month").union(inflow_rows(df).select("month"))
+    return flows.distinct()
+
+
+def rows_not_in(df: DataFrame, targets: DataFrame, key: str = "txn_id") -> DataFrame:
+    """The rows of ``df`` that are no target, by row id; rows that merely look like one stay."""
+    return df.join(targets.select(key), key, "left_anti")
+
+
 def period_months(months: DataFrame, period="all") -> DataFrame:
     """The months a period selects: ``all``, a number of last months, ``"2001"`` or (start, end)."""
     if isinstance(period, tuple):

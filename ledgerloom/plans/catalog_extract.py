@@ -249,9 +249,15 @@ add("t6_clean", lambda k, f: X.with_clean(T.ledger(k, f).select("txn_id", "descr
 add("t7_titlecase", lambda k, f: T.ledger(k, f).select("txn_id", X.titlecase(F.col("description")).alias("name")),
     f"with {C.TX} select txn_id, {C.titlecase('description')} as name from tx")
 _P2P = "description like 'Zelle Payment To%'"
-add("t8_p2p", lambda k, f: T.ledger(k, f).select("txn_id", X.rail_counterparty(F.col("description")).alias("who")),
+add("t8_p2p", lambda k, f: K.with_rail_outcome(T.ledger(k, f), "description", T.USER_RULES.payees, "hit").select(
+        "txn_id", X.rail_counterparty(F.col("description")).alias("who"), F.col("hit.merchant").alias("label"), F.col("hit.category").alias("rail_category")),
     f"""with {C.TX} select txn_id, case when {_P2P} then case when description like '%Alex%' then 'ALEX' when description like '%Robin%' then 'ROBIN'
- when description like '%Casey%' then 'CASEY JONES' else '' end end as who from tx""")
+ when description like '%Casey%' then 'CASEY JONES' else '' end end as who,
+ case when description like 'Zelle Payment From%' then 'Zelle received' when description like 'Zelle Payment To Alex%' then 'Rent (Alex)'
+  when description like 'Zelle Payment To Robin%' then 'Cleaning (Robin)' when description like 'Zelle Payment To Casey%' then 'To Casey Jones'
+  when description like 'Zelle Payment%' then 'Person-to-person payment' end as label,
+ case when description like 'Zelle Payment From%' then 'Income' when description like 'Zelle Payment To Alex%' then 'Housing'
+  when description like 'Zelle Payment To Robin%' then 'Household' when description like 'Zelle Payment%' then 'People & Services' end as rail_category from tx""")
 add("t9_inflow", lambda k, f: K.with_classification(T.transactions(k, f).where("kind = 'deposit'"), T.USER_RULES).select("txn_id", "merchant", "category"),
     on_ledger("select txn_id, merchant, category from ledger where kind = 'deposit'"))
 add("t10_normalize", lambda k, f: K.with_classification(T.transactions(k, f), T.USER_RULES).select("txn_id", "merchant", "category"),

@@ -189,8 +189,8 @@ cases as (select doc_id, lang as merchant, coalesce(hint, 'uncategorized') as ca
  case when doc_id % 5 = 0 then 'en' else lang end as expected_merchant,
  case when toxic = 1 then 'Groceries' when quality = 1 then 'uncategorized' else 'Dining & Delivery' end as expected_category from hint_h)"""
 add("j7_labels_join", _document_cases, f"with {DOC_CASES} select * from cases")
-add("j8_rows_not_in_target", lambda k, f: S.spend_rows(L(k, f)).join(
-        S.spend_rows(L(k, f)).where("category = 'uncategorized'").select("txn_id"), "txn_id", "left_anti").select("txn_id", "merchant"),
+add("j8_rows_not_in_target", lambda k, f: S.rows_not_in(
+        S.spend_rows(L(k, f)), S.spend_rows(L(k, f)).where("category = 'uncategorized'")).select("txn_id", "merchant"),
     on_ledger("select txn_id, merchant from spend where txn_id not in (select txn_id from spend where category = 'uncategorized')"))
 
 
@@ -518,7 +518,7 @@ add("o4_recurring_order", lambda k, f: W.recurring_order(recurring(k, f)).select
     f"with {FOUND} select merchant, active, {d('monthly')} from rec order by active desc, monthly desc, merchant")
 add("u1_summary_keys", lambda k, f: TB.summary_keys(ST(k, f)),
     on_statements("select distinct key from (unpivot (select " + ", ".join(T.SUMMARY_COLUMNS) + " from stmts) on *  into name key value v)"))
-add("u2_month_union", lambda k, f: S.spend_months(L(k, f)).union(S.inflow_rows(L(k, f)).select("month")).distinct(),
+add("u2_month_union", lambda k, f: S.active_months(L(k, f)),
     on_ledger("select month from spend union select month from inflow"))
 add("u3_zero_filled_grid", lambda k, f: S.category_month_matrix(L(k, f)),
     on_ledger(f"""select m.month, c.category, {d('coalesce(v, 0)', 'spend')} from (select distinct month from spend) m cross join (select distinct category from spend) c
@@ -549,6 +549,9 @@ KEYS = sorted(T.SUMMARY_COLUMNS)
 add("k2_write_statements", lambda k, f: TB.export_statements(ST(k, f), all_checks(k, f)),
     on_statements(f"""select account, account_last4, source_file as file, {s('period_start')}, {s('period_end')}, txn_count,
  coalesce(b, true) as checks_passed, {', '.join(d(c) for c in KEYS)} from stmts left join (select stmt_id, bool_and(ok) as b from every_check group by 1) using (stmt_id)""", ALL_CHECKS_SQL))
+add("k2_write_statements_long", lambda k, f: TB.export_statement_values(ST(k, f)),
+    on_statements(f"""select account, account_last4, file, {s('period_start')}, key, {d('v', 'value')} from (unpivot (select account, account_last4,
+ source_file as file, period_start, {', '.join(KEYS)} from stmts) on {', '.join(KEYS)} into name key value v)"""))
 BY_CATEGORY = on_ledger(f""", g as (select m.month, c.category, coalesce(v, 0) as v from (select distinct month from spend) m cross join (select distinct category from spend) c
  left join (select month, category, sum(-signed) as v from spend group by 1, 2) x on x.month = m.month and x.category = c.category)
  select month, category, {d('v', 'spend')} from g union all select month, 'total', {d('sum(v)', 'spend')} from g group by 1""")

@@ -18,8 +18,8 @@ from ledgerloom.operators.layouts import SHIPPED, Layout
 from ledgerloom.operators.spend import with_signed
 from ledgerloom.sources.lines import explode_lines
 from ledgerloom.sources.rules import Rules
-from ledgerloom.sources.tables import (export_by_category, export_by_month, export_statements, export_transactions,
-                                      gated_write)
+from ledgerloom.sources.tables import (export_by_category, export_by_category_long, export_by_month, export_statement_values,
+                                      export_statements, export_transactions, gated_write)
 from ledgerloom.storage import Workspace, materialize, materialize_counted
 
 SUMMARY = "map<string,decimal(18,2)>"
@@ -50,13 +50,16 @@ class Proved:
         row = self.transactions.sparkSession.createDataFrame([[self.counts[n] for n in names]], ", ".join(f"{n} bigint" for n in names))
         return N.with_verdict(row)
 
-    def write(self, root: str, force: bool = False, strict: bool = False, fmt: str = "csv") -> bool:
-        """Publish the three tables, only if nothing failed (or forced)."""
+    def write(self, root: str, force: bool = False, strict: bool = False, fmt: str = "csv", wide: bool = True) -> bool:
+        """Publish the three tables, only if nothing failed (or forced).
+
+        ``wide``: printed labels and categories as columns, which needs fewer than a thousand of each; else in long form.
+        """
         with Workspace(self.transactions.sparkSession, "write"):
             export = export_by_month if fmt == "parquet" else export_transactions
             tables = {"transactions": export(self.transactions),
-                      "statements": export_statements(self.statements, self.checks),
-                      "by_category": export_by_category(self.transactions)}
+                      "statements": export_statements(self.statements, self.checks) if wide else export_statement_values(self.statements),
+                      "by_category": (export_by_category if wide else export_by_category_long)(self.transactions)}
             months = {"transactions": ["month"]} if fmt == "parquet" else None
             return gated_write(tables, self.totals(), root, force=force, strict=strict, fmt=fmt, partition_by=months)
 

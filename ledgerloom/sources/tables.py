@@ -62,6 +62,12 @@ def export_statements(statements: DataFrame, checks: DataFrame) -> DataFrame:
         "checks_passed", *[F.try_element_at("summary", F.lit(k)).alias(k) for k in keys])
 
 
+def export_statement_values(statements: DataFrame) -> DataFrame:
+    """The long form of the printed values, for any number of labels: one row per statement and label."""
+    return statements.select("account", "account_last4", F.col("source_file").alias("file"), "period_start",
+                             F.explode("summary")).where("value is not null")
+
+
 def export_by_category_long(transactions: DataFrame) -> DataFrame:
     """Month x category spend, zero-filled, with the sum of the cells as ``total``."""
     cells = S.category_month_matrix(transactions).withColumn("spend", F.round("spend", 2).cast("decimal(28,2)"))

@@ -294,6 +294,12 @@ def test_write_refused_and_forced(spark, proved, folder):
     root = os.path.join(folder, "out")
     assert proved.write(root) is False and not os.path.exists(root)
     assert proved.write(root, force=True) is True
+    long = os.path.join(folder, "long")
+    assert proved.write(long, force=True, fmt="parquet", wide=False) is True
+    from ledgerloom.sources.tables import current_version
+    at = current_version(spark, long)
+    assert spark.read.parquet(f"{at}/statements").columns == ["account", "account_last4", "file", "period_start", "key", "value"]
+    assert spark.read.parquet(f"{at}/by_category").columns == ["month", "category", "spend"]
 
 
 def test_arriving_files(spark, folder):
