@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import (decontaminate, factors, hard_negatives, language_id, language_model, packing, paragraphs,
                             phrases, quality, simhash, token_counts, url_filters, vectors)
-from ledgerloom.storage import Workspace
+from ledgerloom.storage import Workspace, checkpoint_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,9 +79,9 @@ def op4_language_id(spark, sf_dir):
 
 @query
 def op5_token_counts(spark, sf_dir):
-    space = Workspace(spark, "op5")
+    # one cache for all runs of a cluster: contents counted before are only looked up
     return as_documents(token_counts.count_tokens(
-        documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), space.path("cache"), space=space))
+        documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), f"{checkpoint_root(spark)}/token-cache"))
 
 
 @query

@@ -259,11 +259,12 @@ def first_of_each_class(statements: DataFrame, similarity: float = SIMILARITY, r
     ones by equal words.  Rows with a null id stay; rows of one id fold only if their texts are equal,
     and are judged like rows of different ids else.
     """
-    whole = statements.withColumn("line_no", F.xxhash64("text"))
-    found = duplicate_lines(whole, similarity, recall, space, short=True, tile=TEXT_TILE)
+    columns = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(statements.columns)]
+    whole = statements.select(*columns, "stmt_id", "text", F.xxhash64("text").alias("line_no"))
+    found = duplicate_lines(whole.select("stmt_id", "line_no", "text"), similarity, recall, space, short=True, tile=TEXT_TILE)
     named = whole.where("stmt_id is not null").dropDuplicates(["stmt_id", "line_no"])
     kept = named.join(found.where("removed").select("stmt_id", "line_no"), ["stmt_id", "line_no"], "left_anti")
-    return kept.select(*statements.columns).unionByName(statements.where("stmt_id is null"))
+    return kept.select(*[F.col(f"carried_{k}").alias(c) for k, c in enumerate(statements.columns)]).unionByName(statements.where("stmt_id is null"))
 
 
 def _sliding(reduce, values: np.ndarray, width: int) -> np.ndarray:

@@ -55,7 +55,7 @@ def count_tokens(statements: DataFrame, tokenizer_path: str, cache_path: str, li
     Content is normalised to UTF-8 bytes with null as empty; nothing else may change or counts would
     be others.  Contents (SHA-256) that the cache under ``cache_path`` holds for this tokenizer file
     are looked up; of the others one row each is encoded, and the counts are appended to the cache.
-    Repeated rows and ids stay; null ids too; other columns are not read.
+    Repeated rows and ids stay; null ids too; other columns are not read; an empty table gives an empty result.
 
     Only digests are shuffled to find the misses.  Their texts then meet the chosen rows by digest and
     id together, so that a content with very many copies is spread over tasks.
@@ -85,7 +85,8 @@ def count_tokens(statements: DataFrame, tokenizer_path: str, cache_path: str, li
                         & texts.stmt_id.eqNullSafe(misses.chosen), "left_semi").select("content", "text")
     new = space.cut(chosen.mapInArrow(run, "content binary, n_tokens bigint")
                     .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "new")
-    new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
+    if not new.isEmpty():
+        new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = new.union(stored)
     return rows.join(counts, "content").select(
         "stmt_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -18,7 +18,8 @@ ROUNDING = 1e-4
 
 def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors, their int8 codes, the scale of each, and the length of what the codes leave out."""
-    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    units = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
     scale = np.abs(units).max(axis=1) / 127
     codes = np.rint(units / scale[:, None]).astype(np.int8)
     return units, codes, scale, np.linalg.norm(units - codes * scale[:, None], axis=1)
@@ -104,7 +105,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, til
     ``vectors`` (vec_id: bigint, embedding: array<float or double>, ...) -> (vec_id, n_links,
     component_id, kept), one row per row.  Statement records hold no vectors, so this operator is
     general.  ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest vec_id
-    reachable (itself included) and ``kept`` says that it is the row's own.  A vector that is null, empty
+    reachable (itself included) and ``kept`` says that it is the row's own.  An empty table gives an empty result.  A vector that is null, empty
     or zero or holds a null or non-finite component links with nothing; so does a row with a null id
     (component null, kept false).  Vectors of different lengths do not link.  Repeated rows are rows
     of their own that link with one another.  Other columns are not read.

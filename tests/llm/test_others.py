@@ -200,3 +200,34 @@ def test_agrees_with_held_back_labels(spark):
     good = [got[i] for i, q in labels.items() if q]
     bad = [got[i] for i, q in labels.items() if not q]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad)
+
+
+def test_query_cache_holds_from_run_to_run(spark):
+    """The second run of the query finds every content in the cache and appends none."""
+    from ledgerloom.llm import catalog
+    from ledgerloom.storage import checkpoint_root
+    run = lambda: sorted(map(tuple, catalog.QUERIES["op5_token_counts"](spark, "/root/testdata/sf0.001").collect()))
+    first = run()
+    stored = token_counts.read_cache(spark, f"{checkpoint_root(spark)}/token-cache")
+    rows = sorted(map(tuple, stored.collect()))
+    assert run() == first and len(first) > 100
+    again = token_counts.read_cache(spark, f"{checkpoint_root(spark)}/token-cache")
+    assert sorted(map(tuple, again.collect())) == rows and len({r[0] for r in rows}) == len(rows)
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert {r[0]: r[2] for r in first} == {d["doc_id"]: len(model.encode(d["text"] or "")) for d in docs}
+
+
+def test_very_large_and_very_small_components_link(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1e308, -1e308]), (5, [5e-324, 5e-324]), (6, [-1.0, 1.0])]
+    got = vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {
+        1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
+def test_near_duplicate_stage_keeps_columns_of_any_name(spark):
+    rows = [(1, "one two three four five six", 7, "a"), (2, "one two three four five six", 8, "b"), (3, "other words here", 9, "c"), (None, "x", 1, "d")]
+    frame = spark.createDataFrame(rows, "stmt_id bigint, text string, line_no int, removed string")
+    got = sorted(map(tuple, paragraphs.first_of_each_class(frame).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[3]], key=repr)
