@@ -115,11 +115,57 @@ def op9_suffix_dedup(spark, sf_dir):
     return as_documents(factors.remove_repeated_passages(documents(spark, sf_dir)).drop("kept"))
 
 
+SQL["op9_suffix_dedup"] = """
+    with texts as (select doc_id, coalesce(hex(encode(text)), '') as digits from documents),
+    blocks as (select doc_id, length(digits) // 2 as n_bytes, unnest(range(0, length(digits) // 2, 512)) as begin, digits from texts),
+    pieces as (select doc_id, n_bytes, begin, substr(digits, 2 * begin + 1, 1124) as digits from blocks),
+    places as (
+        select *, begin + inside as place
+        from (select *, unnest(range(1, 513)) as inside from pieces) where begin + inside <= n_bytes),
+    bytes as (
+        select doc_id, place, substr(digits, 2 * inside - 1, 2) as byte,
+               case when place + 49 <= n_bytes then substr(digits, 2 * inside - 1, 100) end as span
+        from places),
+    first as (select span, min(doc_id) as low from bytes where span is not null group by span),
+    covered as (
+        select doc_id, place, byte, coalesce(max(case when low < doc_id then 1 end) over (
+            partition by doc_id order by place rows between 49 preceding and current row), 0) as gone
+        from bytes left join first using (span)),
+    edges as (
+        select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by place), 0) = 0 as opens from covered),
+    judged as (
+        select doc_id, sum(gone) as n_removed, count(*) filter (opens) as n_spans,
+               string_agg(byte, '' order by place) filter (gone = 0) as kept
+        from edges group by doc_id)
+    select doc_id, cast(length(digits) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+           cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+    from texts left join judged using (doc_id)"""
+
+
 @query
 def op10_embedding_dedup(spark, sf_dir):
     return vectors.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+SQL["op10_embedding_dedup"] = """
+    with recursive good as (
+        select vec_id, cast(embedding as double[]) as x from embeddings
+        where embedding is not null and len([v for v in embedding if v is null or not isfinite(v)]) = 0
+          and len([v for v in embedding if v <> 0]) > 0),
+    links as (
+        select a.vec_id, b.vec_id as other
+        from good a join good b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+        where list_cosine_similarity(a.x, b.x) >= 0.95),
+    reached as (
+        select vec_id, vec_id as other from embeddings
+        union
+        select r.vec_id, l.other from reached r join links l on r.other = l.vec_id),
+    counted as (select vec_id, count(*) as n_links from links group by vec_id),
+    components as (select vec_id, min(other) as component_id from reached group by vec_id)
+    select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+    from components left join counted using (vec_id)"""
+
+
 @query
 def op11_lm_scoring(spark, sf_dir):
     return as_documents(language_model.score_statements(documents(spark, sf_dir)))
@@ -130,6 +176,42 @@ def op12_phrase_mining(spark, sf_dir):
     return phrases.mine_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet"), text="text", per="lang")
 
 
+SQL["op12_phrase_mining"] = r"""
+    with pieces as (
+        select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) as piece
+        from documents),
+    worded as (select lang, [w for w in regexp_split_to_array(piece, '[\x20\x09]+') if w <> ''] as words from pieces),
+    totals as (select lang, sum(len(words)) as n from worded group by lang),
+    placed as (select lang, words, unnest(range(1, len(words) + 1)) as place from worded),
+    phrases as (
+        select lang, k, array_to_string(words[place:place + k - 1], ' ') as phrase, count(*) as f
+        from placed cross join (select unnest([1, 2, 3, 4]) as k)
+        where place + k - 1 <= len(words) group by all),
+    candidates as (
+        select lang, k, phrase, f as a, string_split(phrase, ' ') as words from phrases where k >= 2 and f >= 30),
+    halves as (
+        select lang, phrase, k, a, c, array_to_string(words[1:c], ' ') as head, array_to_string(words[c + 1:k], ' ') as tail
+        from (select *, unnest(range(1, k)) as c from candidates)),
+    cuts as (
+        select h.lang, h.phrase, h.a, h.c, l.f as l, r.f as r,
+               (2000000 * cast(h.a as hugeint)) // (cast(l.f as hugeint) + r.f) as score
+        from halves h join phrases l on l.lang = h.lang and l.phrase = h.head
+                      join phrases r on r.lang = h.lang and r.phrase = h.tail
+        qualify row_number() over (partition by h.lang, h.phrase order by score, h.c) = 1),
+    inner_phrases as (
+        select lang, array_to_string(words[s:s + m - 1], ' ') as phrase, max(a) as longer
+        from (select *, unnest(range(1, k - m + 2)) as s
+              from (select *, unnest(range(2, k)) as m from candidates))
+        group by all)
+    select c.lang, row_number() over (partition by c.lang order by c.score desc, c.a desc, c.phrase) as rank, c.phrase,
+           c.a, c.l, c.r, cast(t.n as bigint) as n, cast(c.score as bigint) as score
+    from cuts c join totals t using (lang) left join inner_phrases i on i.lang = c.lang and i.phrase = c.phrase
+    where i.longer is null or 100 * cast(i.longer as hugeint) < 80 * cast(c.a as hugeint)
+    qualify row_number() over (partition by c.lang order by c.score desc, c.a desc, c.phrase) <= 2000"""
+
+
 @query
 def op13_hard_negatives(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
