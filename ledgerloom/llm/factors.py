@@ -8,9 +8,9 @@ to ``SPAN`` bytes, so suffix order can be dealt out:
    inside its span.  Equal spans have equal anchors, and consecutive starts with one anchor form a
    *run*.  Texts are cut into runs; a run equal to one of an earlier text goes as a whole.
 2. Runs that share an anchor but not their bytes may still share some of their spans.  Only these
-   send their bytes on; their suffixes are put in order, by bytes and then by id, and among those that
-   agree over the span the first one's id decides.  No LCP, previous or next smaller position is
-   computed: whether the longest previous factor reaches ``SPAN`` is all that is asked.
+   send their bytes on; their suffixes are put in order, with the common prefix (LCP) of neighbours, up
+   to ``SPAN`` bytes.  Previous and next smaller positions in that order, a position being the id of the
+   statement, give the longest previous factor of each suffix, and those that reach ``SPAN`` go.
 3. The starts found are brought back to their texts.
 
 What is equal within a chunk of texts is folded there, before a shuffle, so a passage that a third of
@@ -37,6 +37,7 @@ SPAN = 50
 GRAM = 20
 CROWD = 16
 CHUNK_BYTES = 1 << 20
+SLICE = 1 << 18
 REMOVE, COMPARE, SCATTER = 0, 1, 2
 
 # columns of the packed rows: anchors of runs, starts found, and bytes to compare
@@ -339,25 +340,79 @@ def _part_rows(runs, bodies, target):
     return out
 
 
-def previous_factors(body: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True where the span at a start also starts in a smaller doc.
-
-    The suffixes are put in order by their first ``SPAN`` bytes (words of 8 bytes, compared as a
-    whole), those that agree so far by doc.  Within suffixes that agree, the previous smaller position
-    of a suffix is the first one if its doc is smaller, and the next smaller position agrees in fewer
-    bytes; so the longest previous factor reaches ``SPAN`` just if the first one's doc is smaller.
-    """
-    words = []
-    for at in (*range(0, SPAN - 7, 8), SPAN - 8):
+def _words(body: np.ndarray, starts: np.ndarray, places: tuple[int, ...]) -> list[np.ndarray]:
+    """The eight bytes at each of ``places`` behind a start, as numbers that are in the order of the bytes."""
+    out = []
+    for at in places:
         word = np.zeros(len(starts), np.uint64)
         for k in range(8):
-            word = (word << np.uint64(8)) | body[starts + at + k].astype(np.uint64)
-        words.append(word)
+            word = (word << np.uint64(8)) | body[starts + (at + k)].astype(np.uint64)
+        out.append(word)
+    return out
+
+
+def suffix_order(body: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes by their first ``SPAN`` bytes, then by doc, and the common prefix (up to ``SPAN``) of each with the one before."""
+    places = (*range(0, SPAN - 7, 8), SPAN - 8)
+    words = _words(body, starts, places)
     order = np.lexsort((doc, *words[::-1]))
-    agree = _firsts(*[w[order] for w in words])
-    later = np.empty(len(starts), bool)
-    later[order] = doc[order] > _first_doc(agree, doc[order])
-    return later
+    common = np.zeros(len(starts), np.uint8)
+    same = np.ones(max(len(starts) - 1, 0), bool)
+    for at, word in zip(places, words):
+        word = word[order]
+        differ = word[1:] ^ word[:-1]
+        equal = sum((differ >> np.uint64(64 - 8 * k) == 0).astype(np.uint8) for k in range(1, 9))
+        common[1:] = np.where(same, at + equal, common[1:])
+        same &= differ == 0
+    return order, common
+
+
+def factors_before(doc: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """What each suffix shares with its previous smaller position: the next one before it, in suffix order, of a smaller doc.
+
+    0 where that is under ``least``.  Nothing between a suffix and ``place`` has a smaller doc, so whoever finds none at
+    ``place`` goes on from where that one got to; a walk ends once it shares less than ``least`` bytes.
+    """
+    place, shared = np.arange(len(doc)) - 1, common.copy()
+    shared[:1] = 0
+    open_ = np.flatnonzero(shared >= least)
+    open_ = open_[doc[place[open_]] >= doc[open_]]
+    while len(open_):
+        at = place[open_]
+        further, less = place[at], np.minimum(shared[open_], shared[at])
+        place[open_], shared[open_] = further, less
+        open_ = open_[less >= least]
+        open_ = open_[doc[place[open_]] >= doc[open_]]
+    return np.where(shared >= least, shared, 0)
+
+
+def longest_previous_factors(doc: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """The longest previous factor of each suffix in suffix order: the longer of what it shares with its previous and
+    with its next smaller position (0 if under ``least``)."""
+    mirrored = np.zeros_like(common)
+    mirrored[1:] = common[:0:-1]
+    return np.maximum(factors_before(doc, common, least), factors_before(doc[::-1], mirrored, least)[::-1])
+
+
+def previous_factors(body: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True where the longest previous factor of the suffix at a start reaches ``SPAN``.
+
+    Slices of the suffix order are taken one after the other.  They end where the first eight bytes change, so
+    nothing within reach of ``SPAN`` bytes is cut apart.
+    """
+    first, = _words(body, starts, (0,))
+    order = np.argsort(first, kind="stable")
+    first = first[order]
+    reached, begin = np.zeros(len(starts), bool), 0
+    while begin < len(order):
+        end = min(begin + SLICE, len(order))
+        end = int(np.searchsorted(first, first[end - 1], "right"))
+        some = order[begin:end]
+        inside, common = suffix_order(body, starts[some], doc[some])
+        some = some[inside]
+        reached[some] = longest_previous_factors(doc[some], common, SPAN) >= SPAN
+        begin = end
+    return reached
 
 
 def _compare(groups: int):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from fixtures import hostile_rows, prose, statements
 
@@ -33,6 +34,43 @@ def check(spark, rows):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+def brute_factors(suffixes, doc, least):
+    def shared(a, b):
+        return next((k for k in range(factors.SPAN) if a[k] != b[k]), factors.SPAN)
+    best = [max([shared(a, b) for b, e in zip(suffixes, doc) if e < d], default=0) for a, d in zip(suffixes, doc)]
+    return [x if x >= least else 0 for x in best]
+
+
+@pytest.mark.parametrize("letters,seed", [(1, 0), (2, 1), (2, 2), (3, 3), (256, 4)])
+def test_longest_previous_factors(letters, seed):
+    rng = np.random.default_rng(seed)
+    body = rng.integers(0, letters, 460).astype(np.uint8)
+    body[200:330] = body[20:150]
+    body[330:400] = body[40:110]
+    starts = rng.permutation(len(body) - factors.SPAN + 1)
+    doc = rng.integers(0, 9, len(starts))
+    order, common = factors.suffix_order(body, starts, doc)
+    suffixes = [bytes(body[k:k + factors.SPAN]) for k in starts[order].tolist()]
+    assert suffixes == sorted(suffixes)
+    for least in (1, 7, factors.SPAN):
+        got = factors.longest_previous_factors(doc[order], common, least).tolist()
+        assert got == brute_factors(suffixes, doc[order].tolist(), least)
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 1 << 18])
+def test_slices_of_the_suffix_order(monkeypatch, size):
+    monkeypatch.setattr(factors, "SLICE", size)
+    body = np.frombuffer((b"the same words come again and again, " * 9 + b"z" * 90 + b"\0" * 70), np.uint8)
+    starts = np.arange(len(body) - factors.SPAN + 1)
+    doc = (starts * 7) % 11
+    spans = [bytes(body[k:k + factors.SPAN]) for k in starts.tolist()]
+    low = {}
+    for s, d in zip(spans, doc.tolist()):
+        low[s] = min(d, low.get(s, d))
+    assert factors.previous_factors(body, starts, doc).tolist() == [low[s] < d for s, d in zip(spans, doc.tolist())]
+    assert factors.previous_factors(body, starts[:0], doc[:0]).tolist() == []
+
+
 def test_hostile_rows(spark):
     check(spark, [r for r in hostile_rows() if len(r[1] or "") < 50_000] + [(80, "z" * 49), (81, "z" * 50), (82, "z" * 51)])
 
