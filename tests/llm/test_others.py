@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -177,6 +178,57 @@ def test_expectation_maximisation_finds_the_accuracies():
     assert np.abs(model.accuracies() - accuracy).max() < 0.03 and abs(model.prior - 0.8) < 0.03
 
 
+def brute_posteriors(rows, rounds):
+    """Expectation-maximisation over all rows, one by one; ``rows``: votes of each text."""
+    good = [0.9 if sum(r) >= 0 else 0.1 for r in rows]
+    for _ in range(rounds):
+        prior = (sum(good) + 1) / (len(rows) + 2)
+        chance = []
+        for k in range(len(rows[0])):
+            for c in (0, 1):
+                weight = {v: 1 + sum(g if c else 1 - g for r, g in zip(rows, good) if r[k] == v) for v in (-1, 0, 1)}
+                chance.append({v: w / sum(weight.values()) for v, w in weight.items()})
+        after = []
+        for r in rows:
+            bad = (1 - prior) * math.prod(chance[2 * k][v] for k, v in enumerate(r))
+            fine = prior * math.prod(chance[2 * k + 1][v] for k, v in enumerate(r))
+            after.append(fine / (fine + bad))
+        change = max(abs(a - b) for a, b in zip(after, good))
+        if change < 1e-9:
+            return after
+        good = after
+    return after
+
+
+def test_quality_matches_row_by_row(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, ". ".join(prose(rng, rng.randint(1, 9)).capitalize() for _ in range(rng.randint(1, 9))) + ".") for i in range(70)]
+    rows += [(100 + i, prose(rng, 40).upper().replace(" ", "!! ")) for i in range(12)]
+    rows += [(200 + i, "same line of words\n" * 9) for i in range(5)] + [(300 + i, "a | b | c %%% $$$ " * 8) for i in range(6)]
+    rows += [(400 + k, t) for k, (_, t) in enumerate(hostile_rows()) if len(t or "") < 50_000]
+    taught, learn = [], quality.train_scorer
+    monkeypatch.setattr(quality, "train_scorer", lambda *a: taught.append((a, learn(*a))) or taught[-1][1])
+    got = {r["stmt_id"]: r for r in quality.score_quality(statements(spark, rows)).collect()}
+    texts = [(t or "").encode() for _, t in rows]
+    votes = [tuple(v) for v in quality.votes(quality.measures(texts)).tolist()]
+    chance = brute_posteriors(votes, quality.ROUNDS)
+    of_vote = dict(zip(votes, chance))
+    ((passages, labels), (weight, offset)), = taught
+    assert all(any(p in t for t in texts) for p in passages)
+    for p, label in zip(passages, labels):
+        own = tuple(quality.votes(quality.measures([p]))[0].tolist())
+        assert own not in of_vote or abs(label - of_vote[own]) < 1e-6
+    for (i, _), text, label in zip(rows, texts, chance):
+        same = bytes(48 if 48 <= b < 58 else b for b in text)
+        cells = [int(quality.mixed(np.array([int.from_bytes(same[k:k + quality.GRAM], "big")], np.uint64))[0]) % quality.FEATURES
+                 for k in range(len(same) - quality.GRAM + 1)]
+        z = offset + sum(float(weight[c]) for c in cells) / (len(cells) + quality.PRIOR_COUNT)
+        z += sum(float(weight[c]) for c in quality.bins(quality.measures([text]))[0])
+        assert abs(got[i]["weak_label"] - label) < 1e-6
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-4
+        assert got[i]["keep"] == (got[i]["score"] >= 0.35)
+
+
 def test_junk_goes_and_prose_stays(spark):
     rng = random.Random(8)
     sentence = lambda: (prose(rng, 12).capitalize() + ".")
