@@ -259,7 +259,9 @@ def contaminated_statements(statements: DataFrame, items: DataFrame, threshold:
     n-grams of an item in a row, the one that the fewest statements hold is a seed, by counts over
     all statements; it is a seed however frequent it is.  Passages around seeds that are alike are
     aligned once.  Of items under ``LEAST_WORDS`` words only copies of the whole item, word for word, are found
-    (score 1), by the hash of its words in a row; items without words are not searched.  Null texts are empty; rows with a null id are left out; repeated ids give their best row.  Items are handled in
+    (score 1), by the hash of its words in a row; items without words are not searched.  Null texts are empty, texts may be of
+    any length, rows with a null id are left out, repeated ids give their best row, other columns are not read, and if
+    either table is empty so is the result.   Items are handled in
     blocks of about ``GRAMS_PER_BLOCK`` words, which bounds what is sent to tasks.
     """
     spark = statements.sparkSession

@@ -486,7 +486,8 @@ def remove_repeated_passages(statements: DataFrame, space: Workspace | None = No
     do not cross texts, and copies within a text or between rows of one id stay.  ``kept`` is what is
     left as text, without the bytes of characters cut in half; ``kept_sha256`` is of all bytes left.
     Rows with a null id have no place in the order: they stay whole and no other row is compared with
-    them.  Texts under 50 bytes stay whole.  Other columns are not read, but for those to ``carry``, which
+    them.  Texts under 50 bytes stay whole, longer ones may have any length; an empty
+    table gives an empty result.  Other columns are not read, but for those to ``carry``, which
     come last under the names carried_0, carried_1 and so on.
     """
     spark = statements.sparkSession

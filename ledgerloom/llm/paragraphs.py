@@ -212,7 +212,8 @@ def duplicate_lines(lines: DataFrame, similarity: float = SIMILARITY, recall: fl
     between blanks, A-Z lower-cased) is at least ``similarity``; classes are the components.  A line
     under five words has no shingle: it is not judged, or with ``short`` forms a class with lines of
     the same words, if it has any.  Null texts are empty; rows with a null id or
-    number are left out; repeated rows are lines of their own.  Other columns are not read.
+    number are left out; repeated rows are lines of their own; lines may be of any length.  Other columns
+    are not read.  An empty table gives an empty result.
 
     Equal lines are folded first.  Lines that share a MinHash band meet; the bands find a pair at the
     similarity itself with ``recall``.  The pairs of a bucket of at most ``FEW`` lines are verified one by
@@ -330,7 +331,8 @@ def repeated_passages(lines: DataFrame, passage: int = PASSAGE, window: int = WI
     words stand first at the class's place.  Every run of ``passage`` words that two places share gives
     at least ``window`` of its words at the later place; shorter runs may.  The rows of a line do not
     overlap.  A window that runs into its own first place is not one more.
-    Lines of ``removed`` (stmt_id, line_no) hold nothing, so that no passage is cut for one
+    Null texts hold nothing, nor do rows with a null id or number; other columns are not read; an empty table gives
+    an empty result.  Lines of ``removed`` (stmt_id, line_no) hold nothing, so that no passage is cut for one
     that goes itself.  Windows meet by 64-bit digests; they are folded by digest before they meet.
     """
     small_batches(lines.sparkSession)

@@ -192,7 +192,8 @@ def score_quality(statements: DataFrame, sample: int = SAMPLE, threshold: float
     patterns estimates how often each is right; ``weak_label`` is the posterior chance of a good text.
     On passages of at most ``sample`` texts chosen by hash (at most ``SAMPLE_CHARACTERS`` each) these
     posteriors teach a linear scorer over hashed features (byte grams, and the tenth each measure is in), which scores every whole text; ``keep`` is
-    score >= threshold.  A null text is empty and scores as one; repeated rows, null ids and other
+    score >= threshold.  A null text is empty and scores as one; texts of any length are scored whole; an empty table
+    gives an empty result; repeated rows, null ids and other
     columns change nothing.
     """
     spark = statements.sparkSession
